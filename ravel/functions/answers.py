@@ -153,3 +153,37 @@ def parse_verdict(c: Column | str) -> Column:
 def parse_topic_verdict(c: Column | str, word: str = TOPIC_WORD) -> Column:
     """Reply names the topic word (after strip and uppercase)."""
     return F.upper(py_strip(col_(c))).contains(word)
+
+
+def with_grade(df, question: str, pred: Column | str, gold: Column | str, out: str = "is_correct",
+               ignore_not_parseable: bool = False):
+    """``grade`` as staged projections: every intermediate is computed once.
+
+    Each normaliser reads its input several times; nesting them as one
+    expression would copy the inner ones over and over.  Separate
+    projections of non-trivial expressions are kept apart by the optimizer,
+    so the work per row stays linear.
+    """
+    s = df.withColumn("_gp0", normalize_text_cmd(F.coalesce(col_(pred), F.lit(""))))
+    s = s.withColumn("_gg0", normalize_text_cmd(F.coalesce(col_(gold), F.lit(""))))
+    s = s.withColumn("_gp1", normalize_dne("_gp0")).withColumn("_gg1", normalize_dne("_gg0"))
+    s = s.withColumn("_gpl", choice_letter("_gp1")).withColumn("_ggl", choice_letter("_gg1"))
+    s = s.withColumn("_gpv", F.when(F.col("_gpl") != "", choice_value("_gpl", question)).otherwise(F.lit("")))
+    s = s.withColumn("_ggv", F.when(F.col("_ggl") != "", choice_value("_ggl", question)).otherwise(F.lit("")))
+    s = s.withColumn("_gp", F.when(F.col("_gpv") != "", F.col("_gpv")).otherwise(F.col("_gp1")))
+    s = s.withColumn("_gg", F.when(F.col("_ggv") != "", F.col("_ggv")).otherwise(F.col("_gg1")))
+    for side in ("p", "g"):
+        s = s.withColumn(f"_g{side}a", canonical(after_equals(f"_g{side}")))
+        s = s.withColumn(f"_g{side}f", canonical(f"_g{side}"))
+    for c in ("pa", "ga", "pf", "gf"):
+        s = s.withColumn(f"_g{c}v", numeric_value(f"_g{c}"))
+
+    def eq(p: str, g: str) -> Column:
+        cp, cg, vp, vg = F.col(f"_g{p}"), F.col(f"_g{g}"), F.col(f"_g{p}v"), F.col(f"_g{g}v")
+        same_num = vp.isNotNull() & vg.isNotNull() & (F.abs(vp - vg) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(vg)))
+        same = (cp != "") & ((cp == cg) | same_num)
+        return ((cg == "") | same) if ignore_not_parseable else F.coalesce(same, F.lit(False))
+
+    s = s.withColumn(out, F.coalesce(eq("pa", "ga") | eq("pf", "gf"), F.lit(False)))
+    helpers = [c for c in s.columns if c.startswith("_g") and c not in df.columns]
+    return s.drop(*helpers)

@@ -32,13 +32,34 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _empty(t: str) -> Column:
+    return F.array().cast(t)
+
+
+def _positions(arr: Column) -> Column:
+    """0..size-1 (empty for an empty array)."""
+    return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(_empty("array<int>"))
+
+
+# Lambdas below read only their own variables: an outer expression used
+# inside a lambda is evaluated again for every element (and the optimizer
+# inlines staged columns into lambdas), so outer arrays travel in the fold
+# accumulator or as zip_with arguments.
+
+
 def find_sublist_end(seq: Column | str, sub: list[int]) -> Column:
     """End index (0-based, exclusive) of the first occurrence of ``sub``, or -1."""
     s = col_(seq)
     m = len(sub)
-    starts = F.sequence(F.lit(0), F.size(s) - m) if m else F.sequence(F.lit(0), F.size(s))
-    hits = F.filter(starts, lambda k: _matches_at(s, k, sub)) if m else starts
-    return F.when(F.size(s) - m < 0, F.lit(-1)).otherwise(F.coalesce(F.get(hits, 0) + m, F.lit(-1)))
+    if m == 0:
+        return F.when(s.isNotNull(), F.lit(0))
+    init = F.struct(s.alias("a"), F.lit(-1).alias("found"))
+
+    def step(acc, k):
+        hit = (acc["found"] < 0) & (F.slice(acc["a"], k + 1, m) == _int_array(sub))
+        return F.when(hit, F.struct(acc["a"].alias("a"), (k + m).alias("found"))).otherwise(acc)
+
+    return F.aggregate(_positions(s), init, step)["found"]
 
 
 def generated_token_count(ids: Column | str, input_len: Column | int, pad_id: int) -> Column:
@@ -52,16 +73,31 @@ def generated_token_count(ids: Column | str, input_len: Column | int, pad_id: in
 def sft_labels(ids: Column | str, think_id: int, ignore: int = IGNORE_INDEX) -> Column:
     """Everything up to and including the first think token is ignored; null if no think token."""
     s = col_(ids)
-    pos = F.array_position(s, think_id)
-    return F.when(pos > 0, F.transform(s, lambda x, i: F.when(i < pos, F.lit(ignore)).otherwise(x)))
+    pos = F.array_position(s, think_id).cast("int")
+    rest = F.slice(s, pos + 1, F.greatest(F.size(s) - pos, F.lit(0)))
+    return F.when(pos > 0, F.concat(F.array_repeat(F.lit(ignore), pos), rest))
+
 
+def apply_span_mask(labels: Column, spans: Column, ignore: int = IGNORE_INDEX) -> Column:
+    """Set labels to ``ignore`` inside spans flagged ``m``.
 
-def _mask_positions(labels: Column, masked: Column, ignore: int) -> Column:
-    return F.transform(labels, lambda x, i: F.when(F.array_contains(masked, i), F.lit(ignore)).otherwise(x))
+    ``spans``: array<struct<s,l,m>> sorted by start, non-overlapping.  A
+    flag array is built segment by segment, then zipped with the labels.
+    """
+    ends = F.transform(spans, lambda sp: sp["s"] + sp["l"])
+    prev = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+    segs = F.zip_with(
+        spans, prev,
+        lambda sp, pe: F.concat(F.array_repeat(F.lit(False), sp["s"] - pe), F.array_repeat(sp["m"], sp["l"])),
+    )
+    tail = F.array_repeat(F.lit(False), F.size(labels) - F.element_at(ends, -1))
+    flags = F.concat(F.flatten(segs), tail)
+    masked = F.zip_with(labels, flags, lambda x, f: F.when(f, F.lit(ignore)).otherwise(x))
+    return F.when(F.size(spans) > 0, masked).otherwise(labels)
 
 
 def step_number_spans(ids: Column | str, step_ids: list[int], colon_id: int) -> Column:
-    """Spans ``(start, len)`` of step numbers: after each step prefix, up to the next colon token.
+    """Spans ``(s, l)`` of step numbers: after each step prefix, up to the next colon token.
 
     Occurrences are taken left to right; the search for the next prefix
     starts at the colon that closed the previous number.  A prefix with no
@@ -69,31 +105,24 @@ def step_number_spans(ids: Column | str, step_ids: list[int], colon_id: int) ->
     """
     s = col_(ids)
     m = len(step_ids)
-    span_t = "array<struct<s:int,l:int>>"
     init = F.struct(
+        s.alias("a"),
         F.lit(0).alias("search"),
         F.lit(-1).alias("pending"),
-        F.array().cast(span_t).alias("spans"),
+        _empty("array<struct<s:int,l:int>>").alias("spans"),
     )
 
+    def state(acc, search, pending, spans):
+        return F.struct(acc["a"].alias("a"), search.alias("search"), pending.alias("pending"), spans.alias("spans"))
+
     def step(acc, k):
-        closes = (acc["pending"] >= 0) & (k >= acc["pending"]) & (F.element_at(s, k + 1) == colon_id)
-        after_close = F.when(
-            closes,
-            F.struct(
-                k.alias("search"),
-                F.lit(-1).alias("pending"),
-                F.concat(acc["spans"], F.array(F.struct(acc["pending"].alias("s"), (k - acc["pending"]).alias("l")))).alias("spans"),
-            ),
-        ).otherwise(acc)
-        opens = (after_close["pending"] < 0) & (k >= after_close["search"]) & _matches_at(s, k, step_ids)
-        return F.when(
-            opens,
-            F.struct(after_close["search"].alias("search"), (k + m).alias("pending"), after_close["spans"].alias("spans")),
-        ).otherwise(after_close)
-
-    positions = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
-    return F.aggregate(F.when(F.size(s) > 0, positions).otherwise(F.array().cast("array<int>")), init, step)["spans"]
+        closes = (acc["pending"] >= 0) & (k >= acc["pending"]) & (F.element_at(acc["a"], k + 1) == colon_id)
+        closed_spans = F.concat(acc["spans"], F.array(F.struct(acc["pending"].alias("s"), (k - acc["pending"]).alias("l"))))
+        after = F.when(closes, state(acc, k, F.lit(-1), closed_spans)).otherwise(acc)
+        opens = (after["pending"] < 0) & (k >= after["search"]) & (F.slice(after["a"], k + 1, m) == _int_array(step_ids))
+        return F.when(opens, state(after, after["search"], k + m, after["spans"])).otherwise(after)
+
+    return F.aggregate(_positions(s), init, step)["spans"]
 
 
 def mask_step_numbers(
@@ -109,16 +138,12 @@ def mask_step_numbers(
     spans = step_number_spans(ids, step_ids, colon_id)
     n = F.size(spans)
     keep = F.floor(unit_hash(F.lit(seed), col_(row_key), F.lit("step")) * n).cast("int")
-    masked = F.flatten(
-        F.transform(
-            spans,
-            lambda sp, i: F.when((i != keep) & (sp["l"] > 0), F.sequence(sp["s"], sp["s"] + sp["l"] - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-        )
+    flagged = F.zip_with(
+        F.zip_with(spans, _positions(spans), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
+        F.array_repeat(keep, n),
+        lambda sp, kp: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), (sp["i"] != kp).alias("m")),
     )
-    lab = col_(labels)
-    return F.when(n > 0, _mask_positions(lab, masked, ignore)).otherwise(lab)
+    return apply_span_mask(col_(labels), flagged, ignore)
 
 
 def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
@@ -133,21 +158,17 @@ def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
     for w in word_seqs:
         if w and list(w) not in seqs:
             seqs.append(list(w))
-    span_t = "array<struct<s:int,l:int>>"
-    init = F.struct(F.lit(0).alias("free"), F.array().cast(span_t).alias("spans"))
+    init = F.struct(s.alias("a"), F.lit(0).alias("free"), _empty("array<struct<s:int,l:int>>").alias("spans"))
 
     def step(acc, k):
         hit = F.lit(0)
         for seq in reversed(seqs):
-            hit = F.when(_matches_at(s, k, seq), F.lit(len(seq))).otherwise(hit)
+            hit = F.when(F.slice(acc["a"], k + 1, len(seq)) == _int_array(seq), F.lit(len(seq))).otherwise(hit)
         take = (k >= acc["free"]) & (hit > 0)
-        return F.when(
-            take,
-            F.struct((k + hit).alias("free"), F.concat(acc["spans"], F.array(F.struct(k.alias("s"), hit.alias("l")))).alias("spans")),
-        ).otherwise(acc)
+        spans = F.concat(acc["spans"], F.array(F.struct(k.alias("s"), hit.alias("l"))))
+        return F.when(take, F.struct(acc["a"].alias("a"), (k + hit).alias("free"), spans.alias("spans"))).otherwise(acc)
 
-    positions = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(positions, init, step)["spans"]
+    return F.aggregate(_positions(s), init, step)["spans"]
 
 
 def mask_marker_words(
@@ -161,14 +182,19 @@ def mask_marker_words(
 ) -> Column:
     """Mask ``int(n * ratio)`` of the matched word spans, chosen at random (seeded per row)."""
     spans = word_spans(ids, word_seqs)
-    n_mask = F.floor(F.size(spans) * F.lit(float(ratio))).cast("int")
-    keyed = F.transform(
-        spans, lambda sp, i: F.struct(unit_hash(F.lit(seed), col_(row_key), i).alias("u"), sp["s"].alias("s"), sp["l"].alias("l"))
+    n = F.size(spans)
+    n_mask = F.floor(n * F.lit(float(ratio))).cast("int")
+    key = F.array_repeat(F.concat_ws(":", F.lit(str(seed)), col_(row_key).cast("string")), n)
+    keyed = F.zip_with(
+        F.zip_with(spans, _positions(spans), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
+        key,
+        lambda sp, k: F.struct(
+            F.md5(F.concat_ws(":", k, sp["i"].cast("string"))).alias("u"), sp["s"].alias("s"), sp["l"].alias("l")
+        ),
     )
     chosen = F.slice(F.array_sort(keyed), 1, n_mask)
-    masked = F.flatten(F.transform(chosen, lambda sp: F.sequence(sp["s"], sp["s"] + sp["l"] - 1)))
-    lab = col_(labels)
-    return F.when(n_mask > 0, _mask_positions(lab, masked, ignore)).otherwise(lab)
+    ordered = F.array_sort(F.transform(chosen, lambda sp: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), F.lit(True).alias("m"))))
+    return F.when(n_mask > 0, apply_span_mask(col_(labels), ordered, ignore)).otherwise(col_(labels))
 
 
 def token_weights(labels: Column | str, end_think_id: int, response_weight: float = 0.3, ignore: int = IGNORE_INDEX) -> Column:
@@ -180,21 +206,19 @@ def token_weights(labels: Column | str, end_think_id: int, response_weight: floa
     is missing every weight is ``response_weight``.
     """
     lab = col_(labels)
-    start = F.array_position(F.transform(lab, lambda x: x != ignore), True) - 1
-    end = F.array_position(lab, end_think_id) - 1
+    n = F.size(lab)
+    start = F.array_position(F.transform(lab, lambda x: x != ignore), True).cast("int") - 1
+    end = F.array_position(lab, end_think_id).cast("int") - 1
     length = end - start
     rw = F.lit(float(response_weight))
-
-    def w(x, k):
-        think_w = F.when(length > 1, F.lit(1.0) - F.cos(F.lit(math.pi / 2) * (k - start) / (length - 1))).otherwise(F.lit(1.0))
-        return (
-            F.when((start < 0) | (end < 0), rw)
-            .when(k >= end, rw)
-            .when((k >= start) & (k < end), think_w)
-            .otherwise(F.lit(0.0))
-        )
-
-    return F.transform(lab, w)
+    ramp = (
+        F.when(length > 1, F.zip_with(F.sequence(F.lit(0), length - 1), F.array_repeat(length - 1, length),
+                                      lambda i, d: F.lit(1.0) - F.cos(F.lit(math.pi / 2) * i / d)))
+        .when(length == 1, F.array(F.lit(1.0)))
+        .otherwise(_empty("array<double>"))
+    )
+    body = F.concat(F.array_repeat(F.lit(0.0), F.least(start, end)), ramp, F.array_repeat(rw, n - end))
+    return F.when(lab.isNull(), F.lit(None)).when((start < 0) | (end < 0), F.array_repeat(rw, n)).otherwise(body)
 
 
 def left_pad(arr: Column | str, target_len: Column, pad_value: int) -> Column:

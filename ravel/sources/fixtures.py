@@ -49,12 +49,23 @@ FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
 
 # Model completions: four per prompt_id; some have a formula header, some
-# lack the newline around the closing think tag.
+# lack the newline around the closing think tag; the final line boxes one
+# of several answer forms (plain, fraction, "x = n", \text{DNE}, spelled
+# out, a choice letter, \text{c}, or a box that is never closed).
 COMPLETIONS = """
 SELECT id AS completion_id, prompt_id, problem, answer AS solution,
  concat('<think>', chr(10), CASE WHEN id % 3 = 0 THEN concat('- formula 1: f', chr(10)) ELSE '' END, 'Step 1: start',
   chr(10), chr(10), coalesce(think, ''),
-  CASE WHEN id % 7 = 6 THEN '</think>' ELSE concat(chr(10), '</think>', chr(10)) END, response) AS content,
+  CASE WHEN id % 7 = 6 THEN '</think>' ELSE concat(chr(10), '</think>', chr(10)) END, response, chr(10), 'Final: ',
+  CASE id % 8
+    WHEN 0 THEN concat(chr(92), 'boxed{{', answer, '}}')
+    WHEN 1 THEN concat(chr(92), 'boxed{{', chr(92), 'frac{{', CAST(2 * (id % 13) AS STRING), '}}{{2}}}}')
+    WHEN 2 THEN concat(chr(92), 'boxed{{x = ', answer, '}}')
+    WHEN 3 THEN concat(chr(92), 'boxed{{', chr(92), 'text{{DNE}}}}')
+    WHEN 4 THEN concat(chr(92), 'boxed{{Does  Not Exist}}')
+    WHEN 5 THEN concat(chr(92), 'boxed{{B}}')
+    WHEN 6 THEN concat(chr(92), 'boxed{{ ', chr(92), 'text{{c}} }}.')
+    ELSE concat(chr(92), 'boxed{{', answer, ' and more') END) AS content,
  CAST(length(response) AS BIGINT) AS token_generated
 FROM {reasoning}
 """
