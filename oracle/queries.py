@@ -29,7 +29,7 @@ SELECT src, count(*) AS n_problems FROM ranked WHERE rn = 1 GROUP BY src
 from ravel.params import BOXED_INSTRUCTION, EQUIVALENCE_PROMPT, SYSTEM_PROMPT, TOPIC_SYSTEM_PROMPT  # noqa: E402
 
 Q = o.q
-BX = "bx AS (SELECT completion_id, problem, solution, content, " + o.extract_boxed("content") + " AS boxed FROM completions)"
+BX = "bx AS MATERIALIZED (SELECT completion_id, problem, solution, content, " + o.extract_boxed("content") + " AS boxed FROM completions)"
 
 
 def C(*fx: str):
@@ -178,7 +178,7 @@ ORACLE["union_sources"] = duckdb_ctes("completions") + (
     "UNION ALL SELECT completion_id, 'completions', solution, length(problem) FROM completions")
 
 # ---- 2.5 aggregations ----
-DETAILS = ("d0 AS (SELECT r.id AS sample_id, r.problem, r.lang, c.token_generated, "
+DETAILS = ("d0 AS MATERIALIZED (SELECT r.id AS sample_id, r.problem, r.lang, c.token_generated, "
            f"{o.normalize_gold('r.answer')} AS gold, {o.extract_boxed('c.content')} AS pred, {o.strip('c.content')} AS raw_output "
            "FROM reasoning r JOIN completions c ON c.completion_id = r.id)," + o.grade_ctes("d0", "problem", "pred", "gold", False))
 ORACLE["eval_accuracy"] = _with(("completions",), DETAILS + """
@@ -235,7 +235,7 @@ b AS (SELECT lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY sam
 s AS (SELECT lang, batch, sum(CAST(is_correct AS BIGINT)) AS c, count(*) AS n FROM b GROUP BY lang, batch)
 SELECT lang, batch, sum(c) OVER w AS correct_so_far, sum(n) OVER w AS seen_so_far, round(sum(c) OVER w / sum(n) OVER w * 100.0, 9) AS accuracy_so_far
 FROM s WINDOW w AS (PARTITION BY lang ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-CORRECT = ("cc0 AS (SELECT completion_id, prompt_id, content, solution, " + o.extract_boxed("content") + " AS boxed FROM completions),"
+CORRECT = ("cc0 AS MATERIALIZED (SELECT completion_id, prompt_id, content, solution, " + o.extract_boxed("content") + " AS boxed FROM completions),"
            + o.grade_ctes("cc0", "content", "boxed", "solution", True, out="k"))
 ORACLE["reward_length"] = _with(("completions",), CORRECT + """,
 e AS (SELECT prompt_id, min(length(content)) AS mn, max(length(content)) AS mx FROM k5 GROUP BY prompt_id)

@@ -176,13 +176,13 @@ def grade_ctes(src: str, question: str, pred: str, gold: str, ignore: bool, out:
     eq_parts.append(eq("pa", "ga"))
     eq_parts.append(eq("pf", "gf"))
     return f"""
-{out}1 AS (SELECT *, {dne(text_cmd(f'coalesce({pred}, {q("")})'))} AS _p0, {dne(text_cmd(f'coalesce({gold}, {q("")})'))} AS _g0 FROM {src}),
-{out}2 AS (SELECT *, {choice_letter('_p0')} AS _pl, {choice_letter('_g0')} AS _gl FROM {out}1),
-{out}3 AS (SELECT *, CASE WHEN _pl <> '' AND {choice_value('_pl', question)} <> '' THEN {choice_value('_pl', question)} ELSE _p0 END AS _p,
+{out}1 AS MATERIALIZED (SELECT *, {dne(text_cmd(f'coalesce({pred}, {q("")})'))} AS _p0, {dne(text_cmd(f'coalesce({gold}, {q("")})'))} AS _g0 FROM {src}),
+{out}2 AS MATERIALIZED (SELECT *, {choice_letter('_p0')} AS _pl, {choice_letter('_g0')} AS _gl FROM {out}1),
+{out}3 AS MATERIALIZED (SELECT *, CASE WHEN _pl <> '' AND {choice_value('_pl', question)} <> '' THEN {choice_value('_pl', question)} ELSE _p0 END AS _p,
                     CASE WHEN _gl <> '' AND {choice_value('_gl', question)} <> '' THEN {choice_value('_gl', question)} ELSE _g0 END AS _g FROM {out}2),
-{out}4 AS (SELECT *, {canonical(after_equals('_p'))} AS pa_c, {canonical(after_equals('_g'))} AS ga_c,
+{out}4 AS MATERIALIZED (SELECT *, {canonical(after_equals('_p'))} AS pa_c, {canonical(after_equals('_g'))} AS ga_c,
                     {canonical('_p')} AS pf_c, {canonical('_g')} AS gf_c FROM {out}3),
-{out}5 AS (SELECT * EXCLUDE (_p0, _g0, _pl, _gl, _p, _g, pa_c, ga_c, pf_c, gf_c, pa_v, ga_v, pf_v, gf_v),
+{out}5 AS MATERIALIZED (SELECT * EXCLUDE (_p0, _g0, _pl, _gl, _p, _g, pa_c, ga_c, pf_c, gf_c, pa_v, ga_v, pf_v, gf_v),
                   coalesce({eq_parts[0]} OR {eq_parts[1]}, false) AS is_correct
            FROM (SELECT *, {numeric('pa_c')} AS pa_v, {numeric('ga_c')} AS ga_v, {numeric('pf_c')} AS pf_v, {numeric('gf_c')} AS gf_v FROM {out}4))"""
 

@@ -158,6 +158,15 @@ def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
     for w in word_seqs:
         if w and list(w) not in seqs:
             seqs.append(list(w))
+    if all(len(q) == 1 for q in seqs):
+        # single-token words cannot overlap: every matching position is a span (linear, no fold)
+        wanted = F.array(*[F.lit(int(q[0])) for q in seqs]).cast("array<int>")
+        hits = F.filter(
+            F.zip_with(_positions(s), F.zip_with(s, F.array_repeat(wanted, F.size(s)), lambda x, w: F.array_contains(w, x)),
+                       lambda k, h: F.struct(k.alias("s"), F.lit(1).alias("l"), h.alias("h"))),
+            lambda e: e["h"],
+        )
+        return F.transform(hits, lambda e: F.struct(e["s"].alias("s"), e["l"].alias("l")))
     init = F.struct(s.alias("a"), F.lit(0).alias("free"), _empty("array<struct<s:int,l:int>>").alias("spans"))
 
     def step(acc, k):

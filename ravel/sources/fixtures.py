@@ -130,10 +130,25 @@ FIXTURES = {
 }
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan with at least ``defaultParallelism`` partitions.
+
+    Text operators are CPU-bound per row; a small file with one row group
+    scans as one task, so it is spread by a round-robin repartition.  On a
+    cluster the scan already has far more splits than cores and this is a
+    no-op.
+    """
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a fixture view as a DataFrame."""
     if name in BASE_TABLES:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        return read_spread(spark, os.path.join(sf_dir, f"{name}.parquet"))
     sql, _, deps = FIXTURES[name]
     return spark.sql(sql, **{d: table(spark, sf_dir, d) for d in deps})
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ravel.functions.text import normalized_key
 from ravel.session import scratch_path
@@ -32,7 +32,7 @@ TOPK_OUT = StructType([
     StructField("version", LongType()),
 ])
 TOPK_STATE = StructType([
-    StructField("rewards", StructType().add("r", "array<double>").add("s", "array<long>")),
+    StructField("rewards", StructType([StructField("r", ArrayType(DoubleType())), StructField("s", ArrayType(LongType()))])),
     StructField("version", LongType()),
 ])
 
