@@ -293,10 +293,14 @@ ORACLE["reward_steps"] = duckdb_ctes(*_C) + (
     f"SELECT completion_id, round(least(1.0, len(regexp_extract_all(coalesce(content, ''), {Q(_STEP)})) / 3.0), 9) AS reward FROM completions")
 
 
-def _cos(progress: str) -> str:
+def _cos_raw(progress: str) -> str:
     lo = "CASE WHEN is_correct THEN 0.5 ELSE -0.5 END"
     hi = "CASE WHEN is_correct THEN 1.0 ELSE 0.0 END"
-    return f"round(({lo}) + 0.5 * (({hi}) - ({lo})) * (1.0 + cos(({progress}) * pi())), 9)"
+    return f"(({lo}) + 0.5 * (({hi}) - ({lo})) * (1.0 + cos(({progress}) * pi())))"
+
+
+def _cos(progress: str) -> str:
+    return f"round({_cos_raw(progress)}, 9)"
 
 
 ORACLE["reward_cosine_length"] = _with(_C, CORRECT + f" SELECT completion_id, {_cos('least(length(content) / 12000.0, 1.0)')} AS reward FROM k5")
@@ -321,7 +325,7 @@ ORACLE["flag_script"] = duckdb_ctes(*_C) + (
 ORACLE["reward_total"] = _with(_C, CORRECT + ", " + REP + f""",
 parts AS (SELECT k5.completion_id,
    CASE WHEN {o.count_literal('k5.content', chr(10) + '</think>' + chr(10))} = 1 THEN 1.0 ELSE 0.0 END AS fmt,
-   {_cos(f'least(({_MT.replace("content", "k5.content")}) / 15.0, 1.0)').replace('round(', '(', 1).rsplit(',', 1)[0]} AS cm,
+   {_cos_raw(f'least(({_MT.replace("content", "k5.content")}) / 15.0, 1.0)')} AS cm,
    rep.r AS rp FROM k5 JOIN rep ON rep.completion_id = k5.completion_id)
 SELECT completion_id, round(1.0 * fmt + 2.0 * cm + 0.1 * rp, 9) AS reward FROM parts""")
 
@@ -421,7 +425,7 @@ parts AS (SELECT k5.completion_id, CAST(k5.is_correct AS DOUBLE) AS accuracy,
    CASE WHEN mx = mn THEN 0.0 WHEN is_correct THEN 0.5 - CAST(length(content) - mn AS DOUBLE) / (mx - mn)
         ELSE least(0.0, 0.5 - CAST(length(content) - mn AS DOUBLE) / (mx - mn)) END AS length,
    CASE WHEN {o.count_literal('k5.content', chr(10) + '</think>' + chr(10))} = 1 THEN 1.0 ELSE 0.0 END AS fmt,
-   {_cos(f'least(({_MT.replace("content", "k5.content")}) / 15.0, 1.0)').replace('round(', '(', 1).rsplit(',', 1)[0]} AS cm,
+   {_cos_raw(f'least(({_MT.replace("content", "k5.content")}) / 15.0, 1.0)')} AS cm,
    rep.r AS rp FROM k5 JOIN e USING (prompt_id) JOIN rep ON rep.completion_id = k5.completion_id)
 SELECT completion_id, round(accuracy, 9) AS accuracy, round(length, 9) AS length, round(1.0 * fmt + 2.0 * cm + 0.1 * rp, 9) AS total FROM parts""")
 ORACLE["compare_answers"] = duckdb_ctes("answer_pairs", "verdicts") + (

@@ -116,11 +116,17 @@ def step_number_spans(ids: Column | str, step_ids: list[int], colon_id: int) ->
         return F.struct(acc["a"].alias("a"), search.alias("search"), pending.alias("pending"), spans.alias("spans"))
 
     def step(acc, k):
+        # one CASE over the accumulator fields only (no nested re-evaluation)
         closes = (acc["pending"] >= 0) & (k >= acc["pending"]) & (F.element_at(acc["a"], k + 1) == colon_id)
-        closed_spans = F.concat(acc["spans"], F.array(F.struct(acc["pending"].alias("s"), (k - acc["pending"]).alias("l"))))
-        after = F.when(closes, state(acc, k, F.lit(-1), closed_spans)).otherwise(acc)
-        opens = (after["pending"] < 0) & (k >= after["search"]) & (F.slice(after["a"], k + 1, m) == _int_array(step_ids))
-        return F.when(opens, state(after, after["search"], k + m, after["spans"])).otherwise(after)
+        prefix = F.slice(acc["a"], k + 1, m) == _int_array(step_ids)
+        closed = F.concat(acc["spans"], F.array(F.struct(acc["pending"].alias("s"), (k - acc["pending"]).alias("l"))))
+        opens = (acc["pending"] < 0) & (k >= acc["search"]) & prefix
+        return (
+            F.when(closes & prefix, state(acc, k, k + m, closed))
+            .when(closes, state(acc, k, F.lit(-1), closed))
+            .when(opens, state(acc, acc["search"], k + m, acc["spans"]))
+            .otherwise(acc)
+        )
 
     return F.aggregate(_positions(s), init, step)["spans"]
 

@@ -125,8 +125,8 @@ def stream_dedup(spark: SparkSession, source_dir: str, schema: StructType, probl
 
 
 def write_in_arrival_order(df: DataFrame, path: str, order: str, parts: int) -> None:
-    """Write ``df`` as ``parts`` successive appends in ``order`` ranges, so a file source
-    sees them as successive micro-batches (used to replay a log)."""
+    """Write ``df`` as ``parts`` successive appends in ``order`` ranges, one sorted file per
+    range, so a file source (one file per trigger) replays the log in order."""
     bounds = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10000).alias("b")).first()["b"]
     edges = [None, *bounds, None]
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -135,4 +135,4 @@ def write_in_arrival_order(df: DataFrame, path: str, order: str, parts: int) ->
             cond = cond & (F.col(order) > lo)
         if hi is not None:
             cond = cond & (F.col(order) <= hi)
-        df.filter(cond).write.mode("append").parquet(path)
+        df.filter(cond).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)

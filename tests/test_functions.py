@@ -124,7 +124,8 @@ def test_strip_tags(spark):
 def test_low_quality_patterns(spark):
     lq = FL.low_quality(F.col("p"), F.col("t"), F.col("r"))
     assert one(spark, lq, p="q", t="fine", r="so \\boxed {1}") is False
-    assert one(spark, lq, p="see [image\u2028 x]", t="fine", r="\\boxed{1}") is False  # '.' stops at \n only
+    assert one(spark, lq, p="see [image\u2028 x]", t="fine", r="\\boxed{1}") is True  # '.' crosses U+2028
+    assert one(spark, lq, p="see [image\n x]", t="fine", r="\\boxed{1}") is False  # '.' stops at \n only
     assert one(spark, lq, p="see [image x]", t="fine", r="\\boxed{1}") is True
     assert one(spark, lq, p="q", t="a . . . b", r="\\boxed{1}") is True
     assert one(spark, lq, p="q", t="ok", r="</think> no box") is True
