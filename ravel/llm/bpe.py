@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ravel.llm.chunks import ChunkEncoder, Numbering, gather
 from ravel.llm.common import slices, texts
@@ -234,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*names, ids_col]
             )
 
-    schema = source.schema.add(ids_col, "array<int>")
+    schema = source.schema.add(ids_col, ArrayType(IntegerType()))
     return source.mapInArrow(run, schema)
 
 
