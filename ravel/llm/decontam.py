@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravel.llm.common import empty_like, shingle_hashes, slices, text_bytes
+from ravel.llm.jaccard import SHINGLES_SQL
 
 BLOCK_CHARS = 8_000_000
 _FILTER_BITS = 22
@@ -139,3 +140,13 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, threshold: float =
 
         result = result.union(source.mapInArrow(probe, schema))
     return result
+
+
+CONTAMINATED_SQL = (
+    "WITH d AS (" + SHINGLES_SQL.format(t="documents", i="doc_id") + "), i AS (" + SHINGLES_SQL.format(t="benchmark", i="item_id") + r"""),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+p AS (SELECT d.doc_id, i.item_id, count(*) AS c FROM d JOIN i ON d.sh = i.sh GROUP BY 1, 2)
+SELECT p.doc_id, p.item_id, p.c AS n_shared, n.n AS n_item_shingles, p.c::DOUBLE / n.n AS containment
+FROM p JOIN n ON n.item_id = p.item_id WHERE 10 * p.c >= 8 * n.n
+"""
+)

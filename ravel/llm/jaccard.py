@@ -264,3 +264,24 @@ def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame
     kept = groups.where("doc_id = component_id").select("doc_id")
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+#: Distinct shingles of a table's texts as DuckDB SQL; ``{t}`` the table, ``{i}`` its id.
+SHINGLES_SQL = r"""
+SELECT {i}, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+FROM (SELECT {i}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {t})
+"""
+
+GROUPS_SQL = (
+    "WITH RECURSIVE s AS (" + SHINGLES_SQL.format(t="documents", i="doc_id") + r"""),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.o = e.a),
+c AS (SELECT d, min(o) AS component_id FROM r GROUP BY d)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.d = d.doc_id
+"""
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravel.llm import bpe, decontam, jaccard, lines, quality, toxicity, wavelet
+from ravel.llm import bpe, decontam, jaccard, lines, quality, secrets, substrings, toxicity, vectors, wavelet
 from ravel.session import scratch_path
 
 
@@ -21,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secret_digests(secrets.find_secrets(docs, secrets.fit_secrets(docs)))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encoding_digests(bpe.encode_documents(docs.select("doc_id", "text")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op4_jaccard_join, op5_token_shards, op6_toxicity, op7_decontamination, op10_byte_bpe,
+    op1_line_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_token_shards,
+    op6_toxicity, op7_decontamination, op8_secret_scan, op9_near_vectors, op10_byte_bpe,
 )}
-ORACLE = {"op1_line_dedup": lines.LINE_DIGESTS_SQL}
+ORACLE = {"op1_line_dedup": lines.LINE_DIGESTS_SQL, "op4_jaccard_join": jaccard.GROUPS_SQL, "op7_decontamination": decontam.CONTAMINATED_SQL, "op9_near_vectors": vectors.NEAR_SQL}
