@@ -26,7 +26,7 @@ SELECT src, count(*) AS n_problems FROM ranked WHERE rn = 1 GROUP BY src
 """)
 
 
-from ravel.params import BOXED_INSTRUCTION, EQUIVALENCE_PROMPT, SYSTEM_PROMPT, TOPIC_SYSTEM_PROMPT  # noqa: E402
+from ravel.params import BOXED_INSTRUCTION, EQUIVALENCE_PROMPT, MASK_WORDS, SYSTEM_PROMPT, TOPIC_SYSTEM_PROMPT  # noqa: E402
 
 Q = o.q
 BX = "bx AS MATERIALIZED (SELECT completion_id, problem, solution, content, " + o.extract_boxed("content") + " AS boxed FROM completions)"
@@ -81,6 +81,52 @@ LAB = ("lab AS (SELECT id, input_ids, CASE WHEN coalesce(list_position(input_ids
        "CAST(list_transform(input_ids, lambda x, i: CASE WHEN i <= list_position(input_ids, 1000) THEN -100 ELSE x END) AS INTEGER[]) "
        "END AS labels FROM token_rows)")
 ORACLE["sft_examples"] = _with(("token_rows",), LAB + " SELECT id, input_ids, labels FROM lab")
+SEQS = [[len(w)] if w not in ("Let", "Now") else [3, len(w) + 1] for w in MASK_WORDS]
+
+
+def _step_mask(src: str) -> str:
+    """CTEs up to ``sm`` (id, input_ids, labels): numbers between a step prefix [3, 4] and the next 2 are masked but for one."""
+    return f"""
+sp0 AS (SELECT id, input_ids, labels, list_filter(range(0, len(input_ids) - 1), lambda k: input_ids[k + 1] = 3 AND input_ids[k + 2] = 4) AS ps,
+   list_filter(range(0, len(input_ids)), lambda k: input_ids[k + 1] = 2) AS cs FROM {src}),
+sp1 AS (SELECT id, a, c, 1 AS j FROM (SELECT id, list_filter(ps, lambda p: p >= 0)[1] + 2 AS a, cs FROM sp0) x,
+   LATERAL (SELECT list_filter(x.cs, lambda k: k >= x.a)[1] AS c) WHERE a IS NOT NULL AND c IS NOT NULL
+ UNION ALL SELECT y.id, y.a, z.c, y.j FROM (SELECT sp1.id, list_filter(sp0.ps, lambda p: p >= sp1.c)[1] + 2 AS a, sp0.cs, sp1.j + 1 AS j
+   FROM sp1 JOIN sp0 ON sp0.id = sp1.id) y, LATERAL (SELECT list_filter(y.cs, lambda k: k >= y.a)[1] AS c) z WHERE y.a IS NOT NULL AND z.c IS NOT NULL),
+sp2 AS (SELECT id, count(*) AS n FROM sp1 GROUP BY id),
+sp3 AS (SELECT sp1.id, list([a, c]) AS m FROM sp1 JOIN sp2 ON sp2.id = sp1.id
+   WHERE sp1.j - 1 <> CAST(floor({o.md5_unit("'42'", "sp1.id || ':step'")} * sp2.n) AS BIGINT) GROUP BY sp1.id),
+sm0 AS (SELECT sp0.id, unnest(range(0, len(labels))) AS k, unnest(labels) AS l FROM sp0),
+smk AS (SELECT id, unnest(range(s[1], s[2])) AS k FROM (SELECT id, unnest(m) AS s FROM sp3)),
+sm1 AS (SELECT sm0.id, list(CASE WHEN smk.k IS NOT NULL THEN -100 ELSE l END ORDER BY sm0.k) AS labels
+   FROM sm0 LEFT JOIN smk ON smk.id = sm0.id AND smk.k = sm0.k GROUP BY sm0.id),
+sm AS (SELECT sp0.id, sp0.input_ids, CAST(coalesce(sm1.labels, []) AS INTEGER[]) AS labels FROM sp0 LEFT JOIN sm1 ON sm1.id = sp0.id)"""
+
+
+def _word_mask(src: str, seqs: list[list[int]], ratio: float) -> str:
+    """CTEs up to ``wm`` (id, labels): a share of the greedy left-to-right matches is masked."""
+    def at(seq: list[int]) -> str:
+        return "(" + " AND ".join(f"input_ids[k + {i + 1}] = {x}" for i, x in enumerate(seq)) + ")"
+
+    size = "CASE " + " ".join(f"WHEN {at(q_)} THEN {len(q_)}" for q_ in seqs) + " ELSE 0 END"
+    return f"""
+wh AS (SELECT id, list_filter(list_transform(range(0, len(input_ids)), lambda k: {{'k': k, 'l': {size}}}), lambda h: h.l > 0) AS h FROM {src}),
+ws AS (SELECT id, list_reduce(h, lambda acc, x: CASE WHEN x.k >= acc.free THEN {{'free': x.k + x.l, 's': list_append(acc.s, {{'k': x.k, 'l': x.l}})}} ELSE acc END,
+   {{'free': CAST(0 AS BIGINT), 's': CAST([] AS STRUCT(k BIGINT, l INTEGER)[])}}).s AS s FROM
+   (SELECT id, list_transform(h, lambda x: {{'free': CAST(0 AS BIGINT), 's': CAST([] AS STRUCT(k BIGINT, l INTEGER)[]), 'k': x.k, 'l': x.l}}) AS h FROM wh)),
+wr AS (SELECT id, i, s[i + 1] AS x, len(s) AS n FROM (SELECT id, s, unnest(range(0, len(s))) AS i FROM ws)),
+wc AS (SELECT id, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws(':', '42', CAST(id AS VARCHAR), CAST(i AS VARCHAR)))) AS rn FROM wr)
+   WHERE rn <= floor(n * CAST({ratio} AS DOUBLE))),
+wk AS (SELECT id, unnest(range(x.k, x.k + x.l)) AS k FROM wc),
+wl AS (SELECT id, unnest(range(0, len(labels))) AS k, unnest(labels) AS l FROM {src}),
+wm1 AS (SELECT wl.id, list(CASE WHEN wk.k IS NOT NULL THEN -100 ELSE l END ORDER BY wl.k) AS labels FROM wl LEFT JOIN wk ON wk.id = wl.id AND wk.k = wl.k GROUP BY wl.id),
+wm AS (SELECT s.id, CAST(coalesce(wm1.labels, []) AS INTEGER[]) AS labels FROM {src} s LEFT JOIN wm1 ON wm1.id = s.id)"""
+
+
+ORACLE["mask_step_numbers"] = _with(("token_rows",), LAB + "," + _step_mask("lab") + " SELECT id, labels FROM sm").replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["mask_marker_words"] = _with(("token_rows",), LAB + "," + _word_mask("lab", SEQS, 0.3) + " SELECT id, labels FROM wm")
+ORACLE["prepare_sft"] = _with(("token_rows",), LAB + "," + _step_mask("lab") + "," + _word_mask("sm", SEQS, 0.3)
+                              + " SELECT id, labels FROM wm").replace("WITH ", "WITH RECURSIVE ", 1)
 WTS = ("wt AS (SELECT id, labels, list_position(list_transform(labels, lambda x: x <> -100), true) - 1 AS s0, "
        "list_position(labels, 1001) - 1 AS e0 FROM lab)")
 _W = ("list_transform(labels, lambda x, i: round(CASE WHEN s0 IS NULL OR e0 IS NULL THEN 0.3 WHEN i - 1 >= e0 THEN 0.3 "
@@ -136,7 +182,7 @@ ORACLE["rl_examples"] = duckdb_ctes("reasoning") + (
     f"SELECT id, [{_SYS}, {{'role': 'user', 'content': problem}}] AS prompt, answer AS solution FROM reasoning")
 ORACLE["topic_prompts"] = duckdb_ctes("reasoning") + (
     f"SELECT id, [{{'role': 'system', 'content': {Q(TOPIC_SYSTEM_PROMPT)}}}, {{'role': 'user', 'content': "
-    f"replace({Q('Classify this problem:' + chr(10) + chr(10) + '{problem}')}, '{{problem}}', substr(problem, 1, 1500))}}] AS messages FROM reasoning")
+    f"replace({Q('Classify this problem:' + chr(10) + chr(10) + '{problem}')}, '{{problem}}', problem)}}] AS messages FROM reasoning")
 ORACLE["fill_equivalence_prompt"] = duckdb_ctes("answer_pairs") + (
     f"SELECT id, replace(replace(replace({Q(EQUIVALENCE_PROMPT)}, {Q(chr(34) * 2 + '{instruction}' + chr(34) * 2)}, coalesce(instruction, '')), "
     f"{Q(chr(34) * 2 + '{ans1}' + chr(34) * 2)}, coalesce(ans1, '')), {Q(chr(34) * 2 + '{ans2}' + chr(34) * 2)}, coalesce(ans2, '')) AS prompt "
@@ -166,10 +212,6 @@ ORACLE["join_predictions"] = duckdb_ctes("completions") + (
     "SELECT r.id AS sample_id, r.answer, length(c.content) AS output_len FROM reasoning r JOIN completions c ON c.completion_id = r.id")
 ORACLE["join_solutions"] = _with(("completions",), """sol AS (SELECT prompt_id, min(answer) AS solution FROM reasoning GROUP BY prompt_id)
 SELECT c.completion_id, c.prompt_id, s.solution FROM completions c JOIN sol s ON s.prompt_id = c.prompt_id""")
-ORACLE["antijoin_holdout"] = (f"SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE "
-                              f"{o.key('b.text')} = {o.key('d.text')})")
-ORACLE["semijoin_holdout"] = (f"SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE "
-                              f"{o.key('b.text')} = {o.key('d.text')})")
 ORACLE["join_verdicts"] = duckdb_ctes("reasoning", "verdicts") + (
     f"SELECT r.id, {o.parse_verdict('v.verdict_text')} AS verdict FROM reasoning r LEFT JOIN verdicts v ON v.id = r.id")
 ORACLE["except_holdout"] = duckdb_ctes("reasoning", "verdicts") + "SELECT id, prompt_id FROM reasoning WHERE id NOT IN (SELECT id FROM verdicts)"
@@ -189,7 +231,7 @@ DECISIONS = (f"dec AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {o.ke
              f"THEN 'duplicate' WHEN NOT contains(coalesce(response, ''), {Q(chr(92) + 'boxed')}) THEN 'no_boxed' "
              f"WHEN {o.topic('problem')} THEN 'topic' ELSE 'other' END AS decision FROM reasoning)")
 ORACLE["curation_counts"] = _with(("reasoning",), DECISIONS + " SELECT decision, count(*) AS n FROM dec GROUP BY decision")
-_WC = {w: o.count_word("content", w).replace(o.W, "[" + o.JW + "]") for w in ("Wait", "Alternatively", "But")}
+_WC = {w: o.count_word("content", w) for w in ("Wait", "Alternatively", "But")}
 ORACLE["count_marker_words"] = duckdb_ctes("completions") + (
     "SELECT " + ", ".join(f"coalesce(sum({e}), 0) AS {w}" for w, e in _WC.items())
     + f", coalesce(sum({' + '.join(_WC.values())}), 0) AS total FROM completions")
@@ -256,6 +298,11 @@ nv AS (SELECT k, CAST(floor(k * (CAST(0.017 AS DOUBLE) / (CAST(0.017 AS DOUBLE)
 vgrid AS (SELECT CAST(floor(CAST(g.range AS DOUBLE) * (CAST(nv.k AS DOUBLE) / nv.nval)) AS BIGINT) AS i FROM nv, range(nv.nval) g)
 SELECT rk.id, CASE WHEN grid.i IS NULL THEN 'train' WHEN vgrid.i IS NOT NULL THEN 'val' ELSE 'test' END AS split
 FROM rk LEFT JOIN grid ON grid.p = rk.rank LEFT JOIN vgrid ON vgrid.i = grid.i""")
+_HELD = UNIQ + f", held AS (SELECT {o.key('r.problem')} AS k FROM reasoning r JOIN rk ON rk.id = r.id JOIN grid ON grid.p = rk.rank) "
+ORACLE["semijoin_holdout"] = _with(("reasoning",), _HELD + f"SELECT id FROM reasoning WHERE {o.key('problem')} IN (SELECT k FROM held)")
+ORACLE["antijoin_holdout"] = _with(("reasoning",), _HELD + f"SELECT id FROM reasoning WHERE {o.key('problem')} NOT IN (SELECT k FROM held)")
+ORACLE["leakage"] = _with(("reasoning",), _HELD + f"SELECT r.id FROM reasoning r JOIN rk ON rk.id = r.id LEFT JOIN grid ON grid.p = rk.rank "
+                          f"WHERE grid.i IS NULL AND {o.key('r.problem')} IN (SELECT k FROM held)")
 ORACLE["take_n"] = _R + "SELECT id FROM reasoning ORDER BY id LIMIT 100"
 ORACLE["seeded_shuffle"] = _R + "SELECT id, md5(concat_ws(':', '3407', CAST(id AS VARCHAR))) AS shuffle_key FROM reasoning"
 ORACLE["sample_first_accepted"] = _R + (
@@ -394,10 +441,8 @@ def curate_sql(p: str, src: str, name: str, q_: str, a: str, think: str | None,
    {o.strip('_th') if think is not None else 'CAST(NULL AS VARCHAR)'} AS think, true AS boxed_force FROM {p}6)"""
 
 
-CUR_R = curate_sql("ra", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", group="src",
-                   max_per_group=15, n=120, min_tok=10, max_tok=6000)
-CUR_C = curate_sql("cb", "completions", "completions", "problem", "content", "content", "completion_id", split_think=True,
-                   n=80, max_tok=8000)
+CUR_R = curate_sql("ra", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
+CUR_C = curate_sql("cb", "completions", "completions", "problem", "content", "content", "completion_id", split_think=True, max_tok=8000)
 ORACLE["curate_source"] = _with(("reasoning",), CUR_R + " SELECT * FROM ra_out")
 ORACLE["write_records"] = ORACLE["curate_source"]
 ORACLE["build_corpus"] = _with(("completions",), CUR_R + "," + CUR_C + " SELECT * FROM ra_out UNION ALL SELECT * FROM cb_out")
@@ -409,11 +454,9 @@ _DEC = lambda topic_expr, src="reasoning": (
     f"WHEN {topic_expr} THEN 'topic' ELSE 'other' END AS decision FROM {src})")
 ORACLE["filter_topic"] = _with(("reasoning", "verdicts"), "rv AS (SELECT r.*, v.is_topic AS v_topic FROM reasoning r LEFT JOIN verdicts v ON v.id = r.id), "
                                + _DEC(f"({o.topic('problem')} OR coalesce(v_topic, false))", "rv") + " SELECT id FROM dec WHERE decision = 'topic'")
-ORACLE["filter_topic_dataset"] = _with(("reasoning",), "first_rows AS (SELECT * FROM reasoning ORDER BY id LIMIT 600), "
-                                       + _DEC(o.topic("problem"), "first_rows") + " SELECT id FROM dec WHERE decision = 'topic'")
+ORACLE["filter_topic_dataset"] = _with(("reasoning",), _DEC(o.topic("problem")) + " SELECT id FROM dec WHERE decision = 'topic'")
 ORACLE["write_with_rejects"] = _with(("reasoning",), _DEC(o.topic("problem")) + " SELECT id, decision FROM dec WHERE decision IN ('topic', 'other')")
-_CUR_ALL = curate_sql("sa", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
-ORACLE["split_corpus"] = _with(("reasoning",), _CUR_ALL + ", cur AS (SELECT row_id AS id, problem, think FROM sa_out), " + UNIQ.replace("FROM reasoning", "FROM cur") + """,
+ORACLE["split_corpus"] = _with(("reasoning",), CUR_R + ", cur AS (SELECT row_id AS id, problem, think FROM ra_out), " + UNIQ.replace("FROM reasoning", "FROM cur") + """,
 nv AS (SELECT k, CAST(floor(k * (CAST(0.017 AS DOUBLE) / (CAST(0.017 AS DOUBLE) + CAST(0.032 AS DOUBLE)))) AS BIGINT) AS nval FROM sz),
 vgrid AS (SELECT CAST(floor(CAST(g.range AS DOUBLE) * (CAST(nv.k AS DOUBLE) / nv.nval)) AS BIGINT) AS i FROM nv, range(nv.nval) g)
 SELECT rk.id AS row_id, CASE WHEN grid.i IS NULL THEN 'train' WHEN vgrid.i IS NOT NULL THEN 'val' ELSE 'test' END AS split

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ravel.operators.dedup import dedup_problems
 from ravel.operators.filters import low_quality, step_by_step, topic_match
+from ravel.session import scratch_path
 from ravel.sources.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +63,11 @@ from ravel.operators import selection as SL  # noqa: E402
 from ravel.operators import split as SP  # noqa: E402
 from ravel.operators.dedup import dedup_keep_first, distinct_problems  # noqa: E402
 from ravel.operators.ranking import sort_by_difficulty  # noqa: E402
-from ravel.params import EQUIVALENCE_PROMPT, EQUIVALENCE_SLOTS  # noqa: E402
+from ravel.params import EQUIVALENCE_PROMPT, EQUIVALENCE_SLOTS, MASK_WORDS  # noqa: E402
 
+# Stand-in token sequences of the mask words: token_rows has word lengths for ids, so a word is its length; "Let" and "Now"
+# become two tokens, as a sub-word tokeniser may cut them.
+MASK_SEQS = [[len(w)] if w not in ("Let", "Now") else [3, len(w) + 1] for w in MASK_WORDS]
 R9 = 9  # decimals kept for transcendental results (engines differ in the last bits)
 
 
@@ -179,14 +183,12 @@ def q_token_weights(spark, sf):
 
 @register("mask_step_numbers")
 def q_mask_step_numbers(spark, sf):
-    lab = _labels(spark, sf)
-    return lab.select("id", TK.mask_step_numbers("input_ids", "labels", [3, 4], 2, "id").alias("labels"))
+    return TK.mask_step_numbers(_labels(spark, sf), "input_ids", "labels", [3, 4], 2, "id").select("id", "labels")
 
 
 @register("mask_marker_words")
 def q_mask_marker_words(spark, sf):
-    lab = _labels(spark, sf)
-    return lab.select("id", TK.mask_marker_words("input_ids", "labels", [[4], [13], [3]], 0.3, "id").alias("labels"))
+    return TK.mask_marker_words(_labels(spark, sf), "input_ids", "labels", MASK_SEQS, 0.3, "id").select("id", "labels")
 
 
 @register("pad_batches")
@@ -366,16 +368,32 @@ def q_join_solutions(spark, sf):
     return JN.join_solutions(c, sol, "prompt_id").select("completion_id", "prompt_id", "solution")
 
 
+def _held_out(rows: DataFrame) -> DataFrame:
+    """Problems of the val and test splits of ``rows``."""
+    labels = SP.split_labels(rows, "problem", "think", "id").filter("split <> 'train'")
+    return rows.join(labels, "id").select("problem")
+
+
 @register("antijoin_holdout")
 def q_antijoin_holdout(spark, sf):
-    d = T(spark, sf, "documents").select("doc_id", "text")
-    return SP.antijoin_holdout(d, T(spark, sf, "benchmark"), "text", "text").select("doc_id")
+    r = T(spark, sf, "reasoning").select("id", "problem", "think")
+    return SP.antijoin_holdout(r, _held_out(r), "problem", "problem").select("id")
 
 
 @register("semijoin_holdout")
 def q_semijoin_holdout(spark, sf):
-    d = T(spark, sf, "documents").select("doc_id", "text")
-    return SP.semijoin_holdout(d, T(spark, sf, "benchmark"), "text", "text").select("doc_id")
+    r = T(spark, sf, "reasoning").select("id", "problem", "think")
+    return SP.semijoin_holdout(r, _held_out(r), "problem", "problem").select("id")
+
+
+@register("leakage")
+def q_leakage(spark, sf):
+    """Problems of the train split that the held-out splits hold as well: none."""
+    split = SP.split_train_val_test(T(spark, sf, "reasoning"), "problem", "think", "id").select("id", "problem", "split")
+    path = scratch_path(spark, "leakage")
+    split.write.parquet(path)
+    back = spark.read.schema(split.schema).parquet(path)
+    return SP.leakage(back.filter("split = 'train'"), back.filter("split <> 'train'")).select("id")
 
 
 @register("join_verdicts")
@@ -454,14 +472,8 @@ def q_length_quantile_curve(spark, sf):
 def _aligned_tokens(spark, sf):
     """Loss rows with the next position's label and weight (one-position shift)."""
     lab = _labels(spark, sf).withColumn("w", TK.token_weights("labels", 1001, 0.3))
-    pos = lab.select("id", F.posexplode("input_ids").alias("pos", "tok"), "labels", "w")
-    aligned = pos.select(
-        "id", "pos",
-        F.coalesce(F.element_at("labels", F.col("pos") + 2), F.lit(-100)).alias("label"),
-        F.element_at("w", F.col("pos") + 2).alias("weight"),
-    )
     losses = T(spark, sf, "token_losses").select("id", "pos", "nll", "neg_logprob_sum")
-    return aligned.join(losses, ["id", "pos"])
+    return AG.align_losses(losses, lab, "id", "labels", "w")
 
 
 @register("token_loss_profile")
@@ -586,11 +598,11 @@ def _reward(col_builder, graded: bool = False):
     return q
 
 
-QUERIES["reward_accuracy"] = _reward(lambda: RWD.reward_accuracy("content", "solution", F.col("_correct")), True)
+QUERIES["reward_accuracy"] = _reward(lambda: RWD.reward_accuracy(F.col("_correct")), True)
 QUERIES["reward_format"] = _reward(lambda: RWD.reward_format("content"))
 QUERIES["reward_steps"] = _reward(lambda: RWD.reward_steps("content"))
-QUERIES["reward_cosine_length"] = _reward(lambda: RWD.reward_cosine_length("content", "solution", correct=F.col("_correct")), True)
-QUERIES["reward_cosine_markers"] = _reward(lambda: RWD.reward_cosine_markers("content", "solution", correct=F.col("_correct")), True)
+QUERIES["reward_cosine_length"] = _reward(lambda: RWD.reward_cosine_length("content", F.col("_correct")), True)
+QUERIES["reward_cosine_markers"] = _reward(lambda: RWD.reward_cosine_markers("content", F.col("_correct")), True)
 QUERIES["reward_repetition"] = _reward(lambda: RWD.reward_repetition("content"))
 QUERIES["reward_formula"] = _reward(lambda: RWD.reward_formula("content"))
 QUERIES["flag_script"] = _reward(lambda: RWD.flag_script("content"))
@@ -599,7 +611,7 @@ QUERIES["flag_script"] = _reward(lambda: RWD.flag_script("content"))
 @register("reward_total")
 def q_reward_total(spark, sf):
     c = RWD.with_correct(T(spark, sf, "completions"), "content", "solution")
-    regs = RWD.reward_registry("content", "solution", correct=F.col("_correct"))
+    regs = RWD.reward_registry(F.col("_correct"))
     return c.select("completion_id", F.round(RWD.reward_total(regs, {"format": 1.0, "cosine_markers": 2.0, "repetition": 0.1}), R9).alias("reward"))
 
 
@@ -608,14 +620,12 @@ from ravel.params import SourceSpec  # noqa: E402
 from ravel.plans import curate as CU  # noqa: E402
 from ravel.plans import evaluate as EV  # noqa: E402
 from ravel.plans import topic as TP  # noqa: E402
-from ravel.session import scratch_path  # noqa: E402
 from ravel.sources import io as IO  # noqa: E402
 
 REASONING_SPEC = SourceSpec(name="reasoning", question_col="problem", answer_col="response", think_col="think",
-                            correct_col="grade", row_id_col="id", group_col="src", max_per_group=15, n_samples=120,
-                            min_token=10, max_token=6000)
+                            correct_col="grade", row_id_col="id", min_token=10, max_token=6000)
 COMPLETION_SPEC = SourceSpec(name="completions", question_col="problem", answer_col="</think>", think_col="content",
-                             row_id_col="completion_id", n_samples=80, max_token=8000)
+                             row_id_col="completion_id", max_token=8000)
 TEST_SPEC = SourceSpec(name="test", question_col="problem", answer_col="response", row_id_col="id", answer_signal="So ")
 
 
@@ -643,13 +653,12 @@ def q_filter_topic(spark, sf):
 
 @register("filter_topic_dataset")
 def q_filter_topic_dataset(spark, sf):
-    return TP.filter_topic_dataset(T(spark, sf, "reasoning"), max_samples=600, row_id="id").select("id")
+    return TP.filter_topic_dataset(T(spark, sf, "reasoning"), row_id="id").select("id")
 
 
 @register("split_corpus")
 def q_split_corpus(spark, sf):
-    spec = SourceSpec(**{**REASONING_SPEC.__dict__, "n_samples": None, "group_col": None})
-    corpus = CU.curate_source(T(spark, sf, "reasoning"), spec)
+    corpus = CU.curate_source(T(spark, sf, "reasoning"), REASONING_SPEC)
     split = SP.split_train_val_test(corpus, "problem", "think", "row_id")
     path = scratch_path(spark, "split")
     split.write.mode("overwrite").partitionBy("split").parquet(path)
@@ -676,7 +685,7 @@ def q_compare_answers(spark, sf):
 
 @register("prepare_sft")
 def q_prepare_sft(spark, sf):
-    return EV.prepare_sft(T(spark, sf, "token_rows"), 1000, [3, 4], 2, [[4], [13], [3]]).select("id", "labels")
+    return EV.prepare_sft(T(spark, sf, "token_rows"), 1000, [3, 4], 2, MASK_SEQS).select("id", "labels")
 
 
 @register("read_jsonl")

@@ -1,6 +1,6 @@
 """Answer normalisation and grading as Column expressions.
 
-``grade`` follows the original order of steps: ``\\text{}`` to lowercase,
+``with_grade`` follows the original order of steps: ``\\text{}`` to lowercase,
 "does not exist" to ``dne``, a choice letter to the value printed in the
 question, then a comparison of the after-``=`` forms or else the full forms.
 
@@ -74,12 +74,6 @@ def choice_value(letter: Column | str, question: Column | str) -> Column:
     return py_strip(py_rstrip_chars(py_strip(out), "."))
 
 
-def resolve_choice(ans: Column, question: Column) -> Column:
-    letter = choice_letter(ans)
-    resolved = choice_value(letter, question)
-    return F.when((letter != "") & (resolved != ""), resolved).otherwise(ans)
-
-
 def canonical(c: Column | str) -> Column:
     """Canonical answer string used for the equality test."""
     s = col_(c)
@@ -114,31 +108,6 @@ def numeric_value(c: Column | str) -> Column:
     )
 
 
-def answers_equal(pred: Column, gold: Column, ignore_not_parseable: bool = False) -> Column:
-    """Re-aimed equality of two answer strings (see module docstring)."""
-    cp, cg = canonical(pred), canonical(gold)
-    vp, vg = numeric_value(cp), numeric_value(cg)
-    same_num = vp.isNotNull() & vg.isNotNull() & (F.abs(vp - vg) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(vg)))
-    same = (cp != "") & ((cp == cg) | same_num)
-    if ignore_not_parseable:
-        return (cg == "") | same
-    return F.coalesce(same, F.lit(False))
-
-
-def grade(question: Column | str, pred: Column | str, gold: Column | str, ignore_not_parseable: bool = False) -> Column:
-    """Is the predicted answer equal to the gold answer (boolean Column)."""
-    q = col_(question)
-    p = normalize_dne(normalize_text_cmd(F.coalesce(col_(pred), F.lit(""))))
-    g = normalize_dne(normalize_text_cmd(F.coalesce(col_(gold), F.lit(""))))
-    p = resolve_choice(p, q)
-    g = resolve_choice(g, q)
-    return F.coalesce(
-        answers_equal(after_equals(p), after_equals(g), ignore_not_parseable)
-        | answers_equal(p, g, ignore_not_parseable),
-        F.lit(False),
-    )
-
-
 def normalize_gold(c: Column | str, signal: str = GOLD_SIGNAL) -> Column:
     """Gold answer: stripped string, last line, signal removed, stripped."""
     return py_strip(F.replace(last_line(col_(c).cast("string")), F.lit(signal), F.lit("")))
@@ -157,7 +126,7 @@ def parse_topic_verdict(c: Column | str, word: str = TOPIC_WORD) -> Column:
 
 def with_grade(df, question: str, pred: Column | str, gold: Column | str, out: str = "is_correct",
                ignore_not_parseable: bool = False):
-    """``grade`` as staged projections: every intermediate is computed once.
+    """Is the predicted answer equal to the gold answer, as staged projections: every intermediate is computed once.
 
     Each normaliser reads its input several times; nesting them as one
     expression would copy the inner ones over and over.  Separate

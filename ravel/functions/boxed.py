@@ -56,7 +56,7 @@ def after_equals(c: Column | str) -> Column:
 def first_boxed_simple(c: Column | str) -> Column:
     """First ``\\boxed{...}`` without nesting, on one line; null if none."""
     s = col_(c)
-    pat = r"(?U)\\boxed\{(.*?)\}"
+    pat = r"(?dU)\\boxed\{(.*?)\}"
     return F.when(s.rlike(pat), py_strip(F.regexp_extract(s, pat, 1)))
 
 
@@ -68,13 +68,6 @@ def extract_answer_fallback(c: Column | str) -> Column:
     return F.coalesce(first_boxed_simple(s), last_digits, F.lit(NOT_FOUND_TEXT))
 
 
-def reasoning_after_question(c: Column | str) -> Column:
-    """Text after the first ``Question:`` (up to the next one), stripped."""
-    s = col_(c)
-    part = F.when(s.contains("Question:"), F.split(s, "Question:").getItem(1)).otherwise(s)
-    return py_strip(part)
-
-
 def fix_choice_box(c: Column | str) -> Column:
     """In each ``\\boxed{...}`` (one nested level allowed) keep only a letter A-D if one is present.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ravel.functions.text import col_
-from ravel.params import BOXED_INSTRUCTION, SYSTEM_PROMPT, TOPIC_PROBLEM_CHARS, TOPIC_SYSTEM_PROMPT, TOPIC_USER_PROMPT
+from ravel.params import BOXED_INSTRUCTION, SYSTEM_PROMPT, TOPIC_SYSTEM_PROMPT, TOPIC_USER_PROMPT
 
 IM_START = "<|im_start|>"
 IM_END = "<|im_end|>"
@@ -76,8 +76,12 @@ def render_chat(messages: Column | str, add_generation_prompt: bool = False, ope
     return text
 
 
-def topic_prompts(problem: Column | str) -> Column:
-    """Classifier request: topic system prompt + user prompt with the problem cut to 1500 characters."""
+def topic_prompts(problem: Column | str, max_chars: int | None = None) -> Column:
+    """Classifier request: topic system prompt + user prompt with the problem.
+
+    ``max_chars`` cuts the problem for a model with a short input; the whole text is the default.
+    """
     p = col_(problem)
-    user = F.replace(F.lit(TOPIC_USER_PROMPT), F.lit("{problem}"), F.substring(p, 1, TOPIC_PROBLEM_CHARS))
+    shown = p if max_chars is None else F.substring(p, 1, max_chars)
+    user = F.replace(F.lit(TOPIC_USER_PROMPT), F.lit("{problem}"), shown)
     return F.array(_msg("system", F.lit(TOPIC_SYSTEM_PROMPT)), _msg("user", user))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ravel.functions.text import col_, py_lines, py_strip
+from ravel.functions.text import col_, py_lines, py_pattern, py_strip
 from ravel.params import EASY_BELOW, MEDIUM_BELOW
 
 THINK_END = "</think>"
@@ -13,7 +13,7 @@ THINK_END = "</think>"
 
 def rewrite_steps(c: Column | str) -> Column:
     """Newline + ``N.`` becomes a rule and ``### Step N: ``; result stripped."""
-    return py_strip(F.regexp_replace(col_(c), r"(?U)\n\s*(\d+)\.", "\n\n---\n\n### Step $1: "))
+    return py_strip(F.regexp_replace(col_(c), py_pattern(r"(?U)\n\s*(\d+)\."), "\n\n---\n\n### Step $1: "))
 
 
 def box_answer_signal(c: Column | str, signal: str) -> Column:

@@ -8,6 +8,7 @@ also treat U+001C..U+001F as whitespace, which Java's ``\\s`` does not.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,30 @@ WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+# What Python's \\w is in Java: letters, all of category N and the underscore, but no combining marks.
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+_ESCAPE = re.compile(r"\\(.)")
+
+
+def py_pattern(pattern: str) -> str:
+    """A Python pattern with ``\\s`` and ``\\b`` spelled out so that Java matches the same places (use with ``(?U)``).
+
+    A border beside a literal letter needs a look at the other side only.
+    """
+    def spell(m: re.Match) -> str:
+        if m[1] == "s":
+            return WS
+        if m[1] != "b":
+            return m[0]
+        if pattern[m.end() : m.end() + 1].isalnum():
+            return f"(?<!{_WORD_CHAR})"
+        if pattern[: m.start()][-1:].isalnum():
+            return f"(?!{_WORD_CHAR})"
+        return f"(?:(?<={_WORD_CHAR})(?!{_WORD_CHAR})|(?<!{_WORD_CHAR})(?={_WORD_CHAR}))"
+
+    return _ESCAPE.sub(spell, pattern)
+
+
 def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravel.functions.text import col_
@@ -132,24 +132,29 @@ def step_number_spans(ids: Column | str, step_ids: list[int], colon_id: int) ->
 
 
 def mask_step_numbers(
-    ids: Column | str,
-    labels: Column | str,
+    df: DataFrame,
+    ids: str,
+    labels: str,
     step_ids: list[int],
     colon_id: int,
-    row_key: Column | str,
+    row_key: str,
     seed: int = 42,
     ignore: int = IGNORE_INDEX,
-) -> Column:
-    """Mask the number tokens of every step except one chosen at random (seeded per row)."""
-    spans = step_number_spans(ids, step_ids, colon_id)
-    n = F.size(spans)
-    keep = F.floor(unit_hash(F.lit(seed), col_(row_key), F.lit("step")) * n).cast("int")
+) -> DataFrame:
+    """``df`` with the number tokens of every step masked in ``labels``, except one step chosen at random (seeded per row).
+
+    The spans are a column of their own, so the fold over the tokens runs once a row.
+    """
+    spanned = df.withColumn("_spans", step_number_spans(ids, step_ids, colon_id))
+    n = F.size("_spans")
+    keep = F.floor(unit_hash(F.lit(seed), F.col(row_key), F.lit("step")) * n).cast("int")
     flagged = F.zip_with(
-        F.zip_with(spans, _positions(spans), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
+        F.zip_with("_spans", _positions(F.col("_spans")), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
         F.array_repeat(keep, n),
         lambda sp, kp: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), (sp["i"] != kp).alias("m")),
     )
-    return apply_span_mask(col_(labels), flagged, ignore)
+    marked = spanned.withColumn("_flagged", flagged)
+    return marked.withColumn(labels, apply_span_mask(F.col(labels), F.col("_flagged"), ignore)).drop("_spans", "_flagged")
 
 
 def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
@@ -187,29 +192,30 @@ def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
 
 
 def mask_marker_words(
-    ids: Column | str,
-    labels: Column | str,
+    df: DataFrame,
+    ids: str,
+    labels: str,
     word_seqs: list[list[int]],
     ratio: float,
-    row_key: Column | str,
+    row_key: str,
     seed: int = 42,
     ignore: int = IGNORE_INDEX,
-) -> Column:
-    """Mask ``int(n * ratio)`` of the matched word spans, chosen at random (seeded per row)."""
-    spans = word_spans(ids, word_seqs)
-    n = F.size(spans)
-    n_mask = F.floor(n * F.lit(float(ratio))).cast("int")
-    key = F.array_repeat(F.concat_ws(":", F.lit(str(seed)), col_(row_key).cast("string")), n)
+) -> DataFrame:
+    """``df`` with ``int(n * ratio)`` of the matched word spans masked in ``labels``, chosen at random (seeded per row)."""
+    spanned = df.withColumn("_spans", word_spans(ids, word_seqs))
+    n = F.size("_spans")
+    key = F.array_repeat(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string")), n)
     keyed = F.zip_with(
-        F.zip_with(spans, _positions(spans), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
+        F.zip_with("_spans", _positions(F.col("_spans")), lambda sp, i: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), i.alias("i"))),
         key,
         lambda sp, k: F.struct(
             F.md5(F.concat_ws(":", k, sp["i"].cast("string"))).alias("u"), sp["s"].alias("s"), sp["l"].alias("l")
         ),
     )
-    chosen = F.slice(F.array_sort(keyed), 1, n_mask)
+    chosen = F.slice(F.array_sort(keyed), 1, F.floor(n * F.lit(float(ratio))).cast("int"))
     ordered = F.array_sort(F.transform(chosen, lambda sp: F.struct(sp["s"].alias("s"), sp["l"].alias("l"), F.lit(True).alias("m"))))
-    return F.when(n_mask > 0, apply_span_mask(col_(labels), ordered, ignore)).otherwise(col_(labels))
+    marked = spanned.withColumn("_flagged", ordered)
+    return marked.withColumn(labels, apply_span_mask(F.col(labels), F.col("_flagged"), ignore)).drop("_spans", "_flagged")
 
 
 def token_weights(labels: Column | str, end_think_id: int, response_weight: float = 0.3, ignore: int = IGNORE_INDEX) -> Column:

@@ -147,6 +147,23 @@ def length_quantile_curve(df: DataFrame, length: Column | str) -> DataFrame:
     )
 
 
+def align_losses(losses: DataFrame, labelled: DataFrame, row: str = "id", labels: str = "labels", weights: str = "w",
+                 pos: str = "pos", ignore: int = -100) -> DataFrame:
+    """``losses`` (``row, pos, ...``) with ``label`` and ``weight`` of the next position (one-position shift).
+
+    Labels and weights are zipped from the second position on and exploded together, so no
+    exploded row carries an array.  The last position has no label and counts as ignored.
+    """
+    def tail(c: str) -> Column:
+        return F.slice(F.col(c), 2, F.greatest(F.size(c) - 1, F.lit(0)))
+
+    pairs = F.arrays_zip(tail(labels).alias("label"), tail(weights).alias("weight"))
+    flat = labelled.select(F.col(row), F.posexplode(pairs).alias(pos, "_z"))
+    shifted = flat.select(row, pos, F.col("_z.label").alias("label"), F.col("_z.weight").alias("weight"))
+    joined = losses.join(shifted, [row, pos], "left")
+    return joined.withColumn("label", F.coalesce("label", F.lit(ignore)))
+
+
 def token_loss_profile(losses: DataFrame, loss: str = "nll", label: str = "label", threshold: float = 0.15,
                        ignore: int = -100) -> DataFrame:
     """Per-token losses of valid labels: total, below / at-or-above threshold, min, max, mean."""

@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from ravel.functions.text import col_, normalized_key
 
 
-def first_per_key(df: DataFrame, key: Column | str, order: list[Column | str], flag: str = "_first") -> DataFrame:
-    """Add a boolean ``flag`` that is true on the first row of each key in ``order``."""
-    w = Window.partitionBy(col_(key)).orderBy(*[col_(o) for o in order])
-    return df.withColumn(flag, F.row_number().over(w) == 1)
+def key_digest(key: Column | str) -> Column:
+    """256-bit digest that stands for a text key in shuffles (null stays null)."""
+    return F.sha2(col_(key), 256)
+
+
+def mark_first(df: DataFrame, key: Column | str, row_id: str, flag: str = "_first") -> DataFrame:
+    """Add a boolean ``flag`` that is true on the row with the smallest ``row_id`` of each key.
+
+    The smallest id per key digest is a partial aggregate, so a key that holds very many
+    rows is no hot task; its rows get the flag by an equi-join on the id.
+    """
+    firsts = df.groupBy(key_digest(key).alias("_d")).agg(F.min(row_id).alias(row_id)).select(row_id, F.lit(True).alias(flag))
+    return df.join(firsts, row_id, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def dedup_keep_first(df: DataFrame, key: Column | str, order: list[Column | str]) -> DataFrame:
     """Keep the first row of each key in ``order`` (order key should be unique).
 
-    Planned as ``row_number() = 1``: Spark adds a partial per-task group
-    limit before the shuffle, so a key held by a third of the rows sends at
-    most one row per task across the network.
+    Planned as ``row_number() = 1`` per key digest: Spark adds a partial per-task
+    group limit before the shuffle, so a key held by a third of the rows sends at
+    most one row per task across the network, and long text keys are not shuffled.
     """
-    w = Window.partitionBy(col_(key)).orderBy(*[col_(o) for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    w = Window.partitionBy("_kd").orderBy(*[col_(o) for o in order])
+    ranked = df.withColumn("_kd", key_digest(key)).withColumn("_rn", F.row_number().over(w))
+    return ranked.filter(F.col("_rn") == 1).drop("_rn", "_kd")
 
 
 def dedup_problems(df: DataFrame, problem: str = "problem", order: list[str] | None = None) -> DataFrame:
@@ -33,4 +43,4 @@ def dedup_problems(df: DataFrame, problem: str = "problem", order: list[str] | N
 
 def distinct_problems(df: DataFrame, problem: str = "problem") -> DataFrame:
     """Number of unique normalised problems (exact)."""
-    return df.agg(F.count_distinct(normalized_key(problem)).alias("n_unique"))
+    return df.agg(F.count_distinct(key_digest(normalized_key(problem))).alias("n_unique"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType
 
 from ravel.functions.rewrite import THINK_END
-from ravel.functions.text import any_regex, col_, py_strip
+from ravel.functions.text import any_regex, col_, py_pattern, py_strip
 from ravel.params import GOOD_THINKING_MARKERS, LOW_QUALITY_PATTERNS, TOPIC_PATTERNS
 
 TOPIC_FLAGS = "iudU"  # case-insensitive (Unicode), '.'/'$' stop at \n only, Unicode classes
@@ -55,7 +55,7 @@ def filter_correct(df: DataFrame, column: str) -> DataFrame:
 
 def topic_match(c: Column | str, patterns=TOPIC_PATTERNS) -> Column:
     """Any topic pattern matches the lowercased text (one alternation regex)."""
-    return F.coalesce(F.lower(col_(c)).rlike(any_regex(patterns, TOPIC_FLAGS)), F.lit(False))
+    return F.coalesce(F.lower(col_(c)).rlike(py_pattern(any_regex(patterns, TOPIC_FLAGS))), F.lit(False))
 
 
 def filter_topic(df: DataFrame, column: str = "problem", patterns=TOPIC_PATTERNS) -> DataFrame:
@@ -80,8 +80,8 @@ def low_quality(problem: Column | str, think: Column | str | None, response: Col
     """
     resp = F.coalesce(col_(response), F.lit(""))
     after = F.substring_index(resp, THINK_END, -1)
-    no_box = ~after.rlike(r"(?U)\\boxed\s*\{")
-    pat = any_regex(LOW_QUALITY_PATTERNS, "iUd")
+    no_box = ~after.rlike(py_pattern(r"(?U)\\boxed\s*\{"))
+    pat = py_pattern(any_regex(LOW_QUALITY_PATTERNS, "iUd"))
     fields = [col_(problem), resp] + ([col_(think)] if think is not None else [])
     bad = reduce(lambda a, b: a | b, [F.coalesce(f.rlike(pat), F.lit(False)) for f in fields])
     return no_box | bad
@@ -93,7 +93,7 @@ def filter_low_quality(df: DataFrame, problem="problem", think="think", response
 
 def step_by_step(c: Column | str, min_steps: int = 2) -> Column:
     """At least ``min_steps`` numbered steps (newline, optional space, digits, dot)."""
-    return F.regexp_count(F.coalesce(col_(c), F.lit("")), F.lit(r"(?U)\n\s*\d+\.")) >= min_steps
+    return F.regexp_count(F.coalesce(col_(c), F.lit("")), F.lit(py_pattern(r"(?U)\n\s*\d+\."))) >= min_steps
 
 
 def filter_step_by_step(df: DataFrame, response: str = "response") -> DataFrame:

@@ -10,7 +10,8 @@ a size known before the job) give the offsets, which are broadcast back.
 The sorted, numbered rows are checkpointed to the shared checkpoint folder
 first: both the counts and the final rows then read the same numbering,
 and a lost executor re-reads it instead of recomputing a sort whose
-partition boundaries could differ.
+partition boundaries could differ.  Callers therefore pass slim frames
+(order key and row id) and join what they need by row id.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravel.operators.aggregates import attach_one_row
 from ravel.session import ensure_checkpoint_dir
 
-TOP_K_DIRECT = 100_000  # above this a limit is taken by rank instead of a driver-side top-k
-
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -29,8 +29,9 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` = 0-based position in ``order`` (the order key must be unique)."""
+def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank", num_partitions: int | None = None,
+                total_col: str | None = None) -> DataFrame:
+    """Add ``rank_col`` = 0-based position in ``order`` (the order key must be unique) and, if asked, the number of rows."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -43,27 +44,29 @@ def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank"
     )
     pid = F.shiftright(F.col("_mid"), 33)
     counts = numbered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).fillna(0, subset=["_off"])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select("_pid", F.sum("_n").over(before).alias("_off"), F.sum("_n").over(everything).alias("_all")).fillna(0, subset=["_off"])
     local = F.col("_mid") - F.shiftleft(pid, 33)
-    return (
-        numbered.join(F.broadcast(offsets), pid == F.col("_pid"))
-        .withColumn(rank_col, (F.col("_off") + local).cast("long"))
-        .drop("_mid", "_pid", "_off")
-    )
+    ranked = numbered.join(F.broadcast(offsets), pid == F.col("_pid")).withColumn(rank_col, (F.col("_off") + local).cast("long"))
+    if total_col:
+        ranked = ranked.withColumn(total_col, F.col("_all"))
+    return ranked.drop("_mid", "_pid", "_off", "_all")
 
 
 def take_first(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows in ``order`` (ties broken by the order key, which should be unique).
+    """First ``n`` rows in ``order`` (a unique key), whatever ``n`` is.
 
-    Small ``n``: ``orderBy().limit()`` plans a per-task top-k.  Large ``n``:
-    filter on ``global_rank`` so no single task or the driver holds ``n`` rows.
+    The order keys alone are ranked; the key at rank ``n - 1`` is the cutoff (one
+    row), and the rows up to it pass a filter.  Whole rows are not shuffled.
     """
-    if n <= TOP_K_DIRECT:
-        return df.orderBy(*order).limit(n)
-    return global_rank(df, order, "_rk").filter(F.col("_rk") < n).drop("_rk")
+    if n <= 0:
+        return df.limit(0)
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    key = F.struct(*[k.alias(f"o{i}") for i, k in enumerate(keys)])
+    slim = df.select(key.alias("_key"))
+    cut = global_rank(slim, ["_key"], "_rk").filter(F.col("_rk") == n - 1).agg(F.max("_key").alias("_cut"))
+    return attach_one_row(df, cut).filter(F.col("_cut").isNull() | (key <= F.col("_cut"))).drop("_cut")
 
 
 def sort_by_difficulty(df: DataFrame, think_len: str = "think_len", row_id: str = "id") -> DataFrame:

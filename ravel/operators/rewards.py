@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravel.functions.answers import grade
 from ravel.functions.boxed import extract_boxed
 from ravel.functions.markers import marker_total
 from ravel.functions.text import col_, count_literal, py_split_ws
@@ -28,18 +27,9 @@ def with_correct(df: DataFrame, content: str = "content", solution: str = "solut
     return with_grade(staged, content, "_boxed", solution, out, ignore_not_parseable=True).drop("_boxed")
 
 
-def is_correct(content: Column | str, solution: Column | str) -> Column:
-    """Boxed answer of the completion graded against the solution (unparseable gold counts as correct).
-
-    The completion text itself is passed as the question for choice lookup.
-    """
-    c = col_(content)
-    return grade(c, extract_boxed(c), col_(solution), ignore_not_parseable=True)
-
-
-def reward_accuracy(content: Column | str, solution: Column | str, correct: Column | None = None) -> Column:
-    ok = correct if correct is not None else is_correct(content, solution)
-    return ok.cast("double")
+def reward_accuracy(correct: Column) -> Column:
+    """1.0 where the completion is correct (see :func:`with_correct`), else 0.0."""
+    return correct.cast("double")
 
 
 def reward_format(content: Column | str) -> Column:
@@ -60,18 +50,16 @@ def _cosine(progress: Column, correct: Column, p: CosineParams) -> Column:
     return lo + F.lit(0.5) * (hi - lo) * (F.lit(1.0) + cos)
 
 
-def reward_cosine_length(content: Column | str, solution: Column | str, p: CosineParams = CosineParams(),
-                         correct: Column | None = None) -> Column:
+def reward_cosine_length(content: Column | str, correct: Column, p: CosineParams = CosineParams()) -> Column:
     """Cosine-scaled reward on text length (wrong answers swap the bounds)."""
     progress = F.least(F.length(col_(content)) / F.lit(float(p.max_len)), F.lit(1.0))
-    return _cosine(progress, correct if correct is not None else is_correct(content, solution), p)
+    return _cosine(progress, correct, p)
 
 
-def reward_cosine_markers(content: Column | str, solution: Column | str, p: CosineParams = CosineParams(),
-                          correct: Column | None = None) -> Column:
+def reward_cosine_markers(content: Column | str, correct: Column, p: CosineParams = CosineParams()) -> Column:
     """Same curve on the number of marker words (Wait / Alternatively / But)."""
     progress = F.least(marker_total(content) / F.lit(float(p.max_word)), F.lit(1.0))
-    return _cosine(progress, correct if correct is not None else is_correct(content, solution), p)
+    return _cosine(progress, correct, p)
 
 
 def reward_repetition(content: Column | str, ngram: int = REPETITION_NGRAM, max_penalty: float = REPETITION_MAX_PENALTY) -> Column:
@@ -81,15 +69,16 @@ def reward_repetition(content: Column | str, ngram: int = REPETITION_NGRAM, max_
     """
     if max_penalty > 0:
         raise ValueError(f"max_penalty {max_penalty} should not be positive")
-    c = col_(content)
-    words = py_split_ws(F.lower(c))
-    total = F.size(words) - ngram + 1
-    # n-gram strings from shifted slices (no lambda reads an outer value)
-    grams = F.slice(words, 1, F.greatest(total, F.lit(0)))
-    for j in range(1, ngram):
-        grams = F.zip_with(grams, F.slice(words, j + 1, F.greatest(total, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    score = (F.lit(1.0) - F.size(F.array_distinct(grams)) / total) * F.lit(float(max_penalty)) + F.lit(0.0)
-    return F.when(c == "", 0.0).when(F.size(py_split_ws(c)) < ngram, 0.0).otherwise(score)
+    # the words are split once: they are the one element of an array whose transform does the rest
+    def score(words: Column) -> Column:
+        total = F.size(words) - ngram + 1
+        grams = F.slice(words, 1, F.greatest(total, F.lit(0)))
+        for j in range(1, ngram):
+            grams = F.zip_with(grams, F.slice(words, j + 1, F.greatest(total, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        value = (F.lit(1.0) - F.size(F.array_distinct(grams)) / total) * F.lit(float(max_penalty)) + F.lit(0.0)
+        return F.when(F.size(words) < ngram, 0.0).otherwise(value)
+
+    return F.get(F.transform(F.array(py_split_ws(F.lower(col_(content)))), score), 0)
 
 
 def reward_formula(content: Column | str) -> Column:
@@ -132,17 +121,16 @@ def reward_total(rewards: dict[str, Column], weights: dict[str, float]) -> Colum
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * rewards[name] for name, w in weights.items()])
 
 
-def reward_registry(content: str = "content", solution: str = "solution", p: CosineParams = CosineParams(),
-                    correct: Column | None = None) -> dict[str, Column]:
+def reward_registry(correct: Column, content: str = "content", p: CosineParams = CosineParams()) -> dict[str, Column]:
     """Name -> reward Column (row-wise rewards; ``length`` is a DataFrame operator).
 
-    Pass ``correct`` (e.g. the column added by ``with_correct``) to grade once."""
+    ``correct`` is the flag added once by :func:`with_correct`."""
     return {
-        "accuracy": reward_accuracy(content, solution, correct),
+        "accuracy": reward_accuracy(correct),
         "format": reward_format(content),
         "reasoning_steps": reward_steps(content),
-        "cosine": reward_cosine_length(content, solution, p, correct),
-        "cosine_markers": reward_cosine_markers(content, solution, p, correct),
+        "cosine": reward_cosine_length(content, correct, p),
+        "cosine_markers": reward_cosine_markers(content, correct, p),
         "repetition": reward_repetition(content),
         "formula": reward_formula(content),
     }

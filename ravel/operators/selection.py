@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ravel.operators.ranking import global_rank
 from ravel.params import EVAL_BATCH_SIZE
 
+RANGE = 1000  # batches per range of a running sum
+
 
 def best_checkpoint(df: DataFrame, group: list[str], name: str = "checkpoint", accuracy: str = "accuracy") -> DataFrame:
     """Highest accuracy per group; ties go to the first name in sorted order."""
@@ -67,18 +69,22 @@ def running_accuracy(details: DataFrame, group: list[str], order: str = "sample_
     """Cumulative accuracy (%) after each batch of ``batch_size`` samples per group.
 
     Positions come from a range-partitioned global rank minus the group's
-    first rank, so no single task sorts a whole group.
+    first rank, and running sums go by ranges of batches, so no task holds a whole group.
     """
-    ranked = global_rank(details, [*group, order], "_g")
+    ranked = global_rank(details.select(*group, order, correct), [*group, order], "_g")
     first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
     per = ranked.join(first, group).withColumn("batch", F.floor((F.col("_g") - F.col("_g0")) / batch_size).cast("long"))
     batches = per.groupBy(*group, "batch").agg(
         F.sum(F.col(correct).cast("long")).alias("_c"), F.count(F.lit(1)).alias("_n")
     )
-    w = Window.partitionBy(*group).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return batches.select(
-        *group, "batch",
-        F.sum("_c").over(w).alias("correct_so_far"),
-        F.sum("_n").over(w).alias("seen_so_far"),
-        (F.sum("_c").over(w) / F.sum("_n").over(w) * 100.0).alias("accuracy_so_far"),
-    )
+    # running sums in two steps: ranges of RANGE batches, then the batches of each range on their own
+    ranged = batches.withColumn("_r", F.floor(F.col("batch") / RANGE))
+    earlier = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_r").agg(F.sum("_c").alias("_rc"), F.sum("_n").alias("_rn"))
+    before = sums.select(*group, "_r", F.coalesce(F.sum("_rc").over(earlier), F.lit(0)).alias("_bc"),
+                         F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_bn"))
+    w = Window.partitionBy(*group, "_r").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select(*group, "batch", "_r", F.sum("_c").over(w).alias("_ic"), F.sum("_n").over(w).alias("_in"))
+    done = inside.join(before, [*group, "_r"]).select(
+        *group, "batch", (F.col("_bc") + F.col("_ic")).alias("correct_so_far"), (F.col("_bn") + F.col("_in")).alias("seen_so_far"))
+    return done.withColumn("accuracy_so_far", F.col("correct_so_far") / F.col("seen_so_far") * 100.0)

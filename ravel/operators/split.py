@@ -20,22 +20,19 @@ from pyspark.sql import functions as F
 
 from ravel.functions.rewrite import think_length
 from ravel.functions.text import normalized_key
-from ravel.operators.dedup import dedup_keep_first
 from ravel.operators.ranking import global_rank
 from ravel.params import TEST_RATIO, VAL_RATIO
 
 
-def _on_grid(pos: Column, count: int, step: float) -> tuple[Column, Column]:
+def _on_grid(pos: Column, count: Column, step: Column) -> tuple[Column, Column]:
     """(is pos = int(i*step) for some 0 <= i < count, that i)."""
-    if count <= 0:
-        return F.lit(False), F.lit(None).cast("long")
-    base = F.floor(pos.cast("double") / F.lit(step))
+    base = F.floor(pos.cast("double") / step)
     hit = F.lit(False)
     which = F.lit(None).cast("long")
     for d in (1, 0, -1):
         i = base + d
-        ok = (i >= 0) & (i < count) & (F.floor(i.cast("double") * F.lit(step)) == pos)
-        hit = hit | ok
+        ok = (i >= 0) & (i < count) & (F.floor(i.cast("double") * step) == pos)
+        hit = hit | F.coalesce(ok, F.lit(False))
         which = F.when(ok, i.cast("long")).otherwise(which)
     return hit, which
 
@@ -47,51 +44,68 @@ def split_sizes(n_unique: int, val_ratio: float = VAL_RATIO, test_ratio: float =
     return k, n_val
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a.cast("double") / b)
+
+
 def unique_in_difficulty_order(df: DataFrame, problem: str = "problem", think: str = "think", row_id: str = "id") -> DataFrame:
-    """First row of each normalised problem in (think length, row id) order, with its rank."""
-    keyed = df.withColumn("think_len", think_length(think)).withColumn("_dkey", normalized_key(problem))
-    unique = dedup_keep_first(keyed, "_dkey", ["think_len", row_id]).drop("_dkey")
-    return global_rank(unique, ["think_len", row_id], "rank")
+    """``(row_id, think_len, rank, n_unique)`` of the first row of each normalised problem in (think length, row id) order.
+
+    Only a digest of the problem, the length and the id are shuffled.  The first
+    row of a problem is a minimum, which each task takes in part before the
+    shuffle, so a problem with very many copies is no hot key.
+    """
+    slim = df.select(F.sha2(normalized_key(problem), 256).alias("_d"), F.struct(think_length(think).alias("l"), F.col(row_id).alias("i")).alias("_o"))
+    first = slim.groupBy("_d").agg(F.min("_o").alias("_o")).select(F.col("_o.l").alias("think_len"), F.col("_o.i").alias(row_id))
+    return global_rank(first, ["think_len", row_id], "rank", total_col="n_unique")
+
+
+def _with_grid(ranked: DataFrame, val_ratio: float, test_ratio: float) -> DataFrame:
+    both = val_ratio + test_ratio
+    k = F.floor(F.col("n_unique") * F.lit(both))
+    sized = ranked.withColumn("_k", k).withColumn("_nv", F.floor(F.col("_k") * F.lit(val_ratio / both if both > 0 else 0.0)))
+    picked, i = _on_grid(F.col("rank"), F.col("_k"), _ratio(F.col("n_unique"), F.col("_k")))
+    return sized.withColumn("_picked", picked).withColumn("grid_index", i)
+
+
+def split_labels(df: DataFrame, problem: str = "problem", think: str = "think", row_id: str = "id",
+                 val_ratio: float = VAL_RATIO, test_ratio: float = TEST_RATIO) -> DataFrame:
+    """``(row_id, split)`` of the unique rows."""
+    grid = _with_grid(unique_in_difficulty_order(df, problem, think, row_id), val_ratio, test_ratio)
+    is_val, _ = _on_grid(F.col("grid_index"), F.col("_nv"), _ratio(F.col("_k"), F.col("_nv")))
+    label = F.when(~F.col("_picked"), "train").when(is_val, "val").otherwise("test")
+    return grid.select(row_id, label.alias("split"))
 
 
 def split_train_val_test(df: DataFrame, problem: str = "problem", think: str = "think", row_id: str = "id",
                          val_ratio: float = VAL_RATIO, test_ratio: float = TEST_RATIO) -> DataFrame:
-    """Unique rows with a ``split`` column in {train, val, test}; helper columns dropped."""
-    ranked = unique_in_difficulty_order(df, problem, think, row_id)
-    n_unique = ranked.count()
-    k, n_val = split_sizes(n_unique, val_ratio, test_ratio)
-    picked, i = _on_grid(F.col("rank"), k, n_unique / k if k else 1.0)
-    is_val, _ = _on_grid(i, n_val, k / n_val if n_val else 1.0)
-    label = F.when(~picked, "train").when(is_val, "val").otherwise("test")
-    return ranked.withColumn("split", label).drop("rank", "think_len")
+    """Unique rows with a ``split`` column in {train, val, test}; whole rows meet their label by row id."""
+    return df.join(split_labels(df, problem, think, row_id, val_ratio, test_ratio), row_id).select(*df.columns, "split")
 
 
 def even_spaced_rank(df: DataFrame, problem: str = "problem", think: str = "think", row_id: str = "id",
                      val_ratio: float = VAL_RATIO, test_ratio: float = TEST_RATIO) -> DataFrame:
     """Rank of each unique row in difficulty order and its index on the val/test grid (or null)."""
-    ranked = unique_in_difficulty_order(df, problem, think, row_id)
-    n_unique = ranked.count()
-    k, _ = split_sizes(n_unique, val_ratio, test_ratio)
-    _, i = _on_grid(F.col("rank"), k, n_unique / k if k else 1.0)
-    return ranked.select(F.col(row_id), "think_len", "rank", i.alias("grid_index"))
+    grid = _with_grid(unique_in_difficulty_order(df, problem, think, row_id), val_ratio, test_ratio)
+    return grid.select(F.col(row_id), "think_len", "rank", "grid_index")
 
 
 def leakage(train: DataFrame, holdout: DataFrame, problem: str = "problem") -> DataFrame:
     """Train rows whose normalised problem also occurs in the hold-out (should be empty)."""
-    t = train.withColumn("_k", normalized_key(problem))
-    h = holdout.select(normalized_key(problem).alias("_k"))
+    t = train.withColumn("_k", F.sha2(normalized_key(problem), 256))
+    h = holdout.select(F.sha2(normalized_key(problem), 256).alias("_k")).distinct()
     return t.join(h, "_k", "left_semi").drop("_k")
 
 
 def antijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text") -> DataFrame:
     """Rows whose normalised problem is not in the hold-out texts."""
-    t = df.withColumn("_k", normalized_key(problem))
-    h = holdout.select(normalized_key(holdout_text).alias("_k")).filter(F.col("_k").isNotNull())
+    t = df.withColumn("_k", F.sha2(normalized_key(problem), 256))
+    h = holdout.select(F.sha2(normalized_key(holdout_text), 256).alias("_k")).distinct().filter(F.col("_k").isNotNull())
     return t.join(h, "_k", "left_anti").drop("_k")
 
 
 def semijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text") -> DataFrame:
     """Rows whose normalised problem is in the hold-out texts."""
-    t = df.withColumn("_k", normalized_key(problem))
-    h = holdout.select(normalized_key(holdout_text).alias("_k"))
+    t = df.withColumn("_k", F.sha2(normalized_key(problem), 256))
+    h = holdout.select(F.sha2(normalized_key(holdout_text), 256).alias("_k")).distinct()
     return t.join(h, "_k", "left_semi").drop("_k")

@@ -70,9 +70,8 @@ MASK_WORDS: tuple[str, ...] = (
 )
 MASK_RATIO = 0.30
 
-# Step-number prefix inserted by the step rewrite, and the rewrite rule.
+# Step-number prefix inserted by the step rewrite.
 STEP_PREFIX = "### Step "
-STEP_REWRITE = "\n\n---\n\n### Step {n}: "
 
 # Default system message of the chat template and its boxed instruction.
 SYSTEM_PROMPT = (
@@ -107,7 +106,6 @@ NOT calculus:
 Answer with ONLY one word: "CALCULUS" or "OTHER"
 """
 TOPIC_USER_PROMPT = "Classify this problem:\n\n{problem}"
-TOPIC_PROBLEM_CHARS = 1500
 TOPIC_WORD = "CALCULUS"
 
 # Answer-equivalence prompt template with its three slots.
@@ -214,7 +212,7 @@ class SourceSpec:
     boxed_force: bool = True
     strip_answer_tags: tuple[str, ...] | None = None
     max_think_segment_chars: int | None = None
-    max_per_group: int = 50
+    max_per_group: int | None = None
     topic_only: bool = False
     seed: int = SHUFFLE_SEED
     system_prompt: str = SYSTEM_PROMPT

@@ -82,7 +82,7 @@ def curate_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """One raw source -> curated rows (see module docstring for the order of steps)."""
     df = shape_source(raw, spec)
     order = [shuffle_key(spec.seed, spec.row_id_col), F.col(spec.row_id_col)]
-    if spec.group_col is not None:
+    if spec.group_col is not None and spec.max_per_group is not None:
         df = cap_per_group(df, spec.group_col, spec.max_per_group, order)
     if spec.length_sampling:
         if spec.n_samples is None:

@@ -49,7 +49,7 @@ def score_completions(completions: DataFrame, content: str = "content", solution
     from ravel.operators.rewards import with_correct
 
     scored = reward_length(with_correct(completions, content, solution), content, solution, group, out="length")
-    regs = reward_registry(content, solution, correct=F.col("_correct"))
+    regs = reward_registry(F.col("_correct"), content)
     regs["length"] = F.col("length")
     cols = [regs[name].alias(name) for name in regs if name != "length"]
     out = scored.select("*", *cols)
@@ -75,8 +75,8 @@ def prepare_sft(tokens: DataFrame, think_id: int, step_ids: list[int], colon_id:
                 seed: int = 42) -> DataFrame:
     """input_ids + labels: prompt masked up to the think token; on training rows the step
     numbers (all but one) and a share of the marker-word spans are masked too."""
-    lab = sft_labels(ids, think_id)
+    rows = tokens.filter(F.array_contains(ids, think_id)).select(row_key, ids, sft_labels(ids, think_id).alias("labels"))
     if mask:
-        lab = mask_step_numbers(ids, lab, step_ids, colon_id, row_key, seed)
-        lab = mask_marker_words(ids, lab, word_seqs, ratio, row_key, seed)
-    return tokens.select(F.col(row_key), F.col(ids), lab.alias("labels")).filter(F.col("labels").isNotNull())
+        rows = mask_step_numbers(rows, ids, "labels", step_ids, colon_id, row_key, seed)
+        rows = mask_marker_words(rows, ids, "labels", word_seqs, ratio, row_key, seed)
+    return rows

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ravel.functions.answers import parse_topic_verdict
 from ravel.functions.text import normalized_key
-from ravel.operators.dedup import first_per_key
+from ravel.operators.dedup import mark_first
 from ravel.operators.filters import has_boxed, topic_match
 from ravel.operators.ranking import take_first
 from ravel.params import TOPIC_PATTERNS
@@ -48,13 +48,13 @@ def topic_decisions(df: DataFrame, problem: str = "problem", response: str = "re
     """Every row with its ``decision`` (duplicate / no_boxed / topic / other)."""
     rows = classify_topic(df, problem, **classify)
     if filter_duplicates:
-        rows = first_per_key(rows.withColumn("_dkey", normalized_key(F.coalesce(F.col(problem), F.lit("")))), "_dkey", [row_id])
+        rows = mark_first(rows, normalized_key(F.coalesce(F.col(problem), F.lit(""))), row_id)
         dup = ~F.col("_first")
     else:
         dup = F.lit(False)
     no_box = ~has_boxed(response) if filter_boxed else F.lit(False)
     decision = F.when(dup, "duplicate").when(no_box, "no_boxed").when(F.col("is_topic"), "topic").otherwise("other")
-    return rows.withColumn("decision", decision).drop("_dkey", "_first")
+    return rows.withColumn("decision", decision).drop("_first")
 
 
 def filter_topic(df: DataFrame, **kw) -> DataFrame:

@@ -28,7 +28,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ravel"
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # small test files still scan on all cores
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
