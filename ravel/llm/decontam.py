@@ -45,7 +45,7 @@ class ItemIndex:
             if len(found):
                 ids.append(item_id)
                 self.sets.append(found)
-        self.ids = np.array(ids, np.int64)
+        self.ids: list[int | None] = ids
         sizes = np.array([len(s) for s in self.sets], np.int64)
         self.need = np.array([math.ceil(round(threshold * n, 9)) for n in sizes], np.int64)
         minima, owners = [], []
@@ -78,7 +78,7 @@ class ItemIndex:
             at = np.searchsorted(whole, self.sets[i])
             held = int((whole[np.minimum(at, len(whole) - 1)] == self.sets[i]).sum())
             if held >= self.need[i]:
-                out.append((int(self.ids[i]), held, len(self.sets[i])))
+                out.append((self.ids[i], held, len(self.sets[i])))
         return out
 
 
