@@ -41,7 +41,7 @@ def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def usable_topic_problems(spark, sf):
     """Rows passing the quality, step and topic filters, deduplicated (first id wins), counted per source."""
     r = T(spark, sf, "reasoning")
-    ok = r.filter(~low_quality("problem", "think", "response") & step_by_step("response") & topic_match("problem"))
+    ok = r.filter(step_by_step("response") & topic_match("problem") & ~low_quality("problem", "think", "response"))
     return dedup_problems(ok, "problem", ["id"]).groupBy("src").agg(F.count(F.lit(1)).alias("n_problems"))
 
 

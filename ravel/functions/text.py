@@ -84,10 +84,74 @@ def count_literal(c: Column | str, needle: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("int")
 
 
-def any_regex(patterns: list[str] | tuple[str, ...], flags: str = "") -> str:
-    """One alternation regex (one scan per row instead of one per pattern)."""
-    body = "|".join(f"(?:{p})" for p in patterns)
-    return f"(?{flags}){body}" if flags else body
+def alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its top-level ``|``."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def required_literal(pattern: str) -> tuple[str, bool]:
+    """(the longest text that every match of a pattern without top-level ``|`` holds, whether it is the whole pattern)."""
+    runs, run, plain, i = [], "", True, 0
+    while i < len(pattern):
+        ch, step = pattern[i], 1
+        if ch == "\\":
+            ch, step = pattern[i + 1], 2
+            literal = not ch.isalnum()
+        else:
+            literal = ch not in ".^$*+?{}[]()|"
+        if ch in "([" and step == 1:  # groups and classes are skipped whole
+            depth = 0
+            while True:
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] in "([":
+                    depth += 1
+                elif pattern[i] in ")]":
+                    depth -= 1
+                i += 1
+                if depth == 0:
+                    break
+            step = 0
+        if literal and pattern[i + step : i + step + 1] not in ("?", "*", "{"):
+            run += ch
+        else:
+            plain = False
+            runs.append(run)
+            run = ""
+        i += step
+    return max([*runs, run], key=len), plain
+
+
+def has_any(c: Column | str, patterns: tuple[str, ...] | list[str], flags: str) -> Column:
+    """Any of the Python patterns occurs in the text, whatever the case; null counts as no.
+
+    Derived from the one list by rule: a pattern without operators is a plain search, and the others
+    run only where their longest literal occurs.  The text is lower-cased once (as the one element of an array).
+    The dotless i and the long s are case forms of ``i`` and ``s`` to both regex engines.
+    """
+    def test(row: Column) -> Column:
+        hits = []
+        for pattern in (a for p in patterns for a in alternatives(p)):
+            literal, plain = required_literal(pattern)
+            found = row["low"].contains(literal.lower())
+            hits.append(found if plain else found & row["raw"].rlike(py_pattern(f"(?{flags}){pattern}")))
+        return reduce(lambda a, b: a | b, hits)
+
+    row = F.struct(col_(c).alias("raw"), F.translate(F.lower(col_(c)), "ıſ", "is").alias("low"))
+    return F.coalesce(F.exists(F.array(row), test), F.lit(False))
 
 
 def strip_outer_tags(c: Column | str) -> Column:

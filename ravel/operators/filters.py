@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType
 
 from ravel.functions.rewrite import THINK_END
-from ravel.functions.text import any_regex, col_, py_pattern, py_strip
+from ravel.functions.text import col_, has_any, py_pattern, py_strip
 from ravel.params import GOOD_THINKING_MARKERS, LOW_QUALITY_PATTERNS, TOPIC_PATTERNS
 
 TOPIC_FLAGS = "iudU"  # case-insensitive (Unicode), '.'/'$' stop at \n only, Unicode classes
@@ -54,8 +54,8 @@ def filter_correct(df: DataFrame, column: str) -> DataFrame:
 
 
 def topic_match(c: Column | str, patterns=TOPIC_PATTERNS) -> Column:
-    """Any topic pattern matches the lowercased text (one alternation regex)."""
-    return F.coalesce(F.lower(col_(c)).rlike(py_pattern(any_regex(patterns, TOPIC_FLAGS))), F.lit(False))
+    """Any topic pattern matches the lowercased text."""
+    return has_any(F.lower(col_(c)), patterns, TOPIC_FLAGS)
 
 
 def filter_topic(df: DataFrame, column: str = "problem", patterns=TOPIC_PATTERNS) -> DataFrame:
@@ -81,10 +81,8 @@ def low_quality(problem: Column | str, think: Column | str | None, response: Col
     resp = F.coalesce(col_(response), F.lit(""))
     after = F.substring_index(resp, THINK_END, -1)
     no_box = ~after.rlike(py_pattern(r"(?U)\\boxed\s*\{"))
-    pat = py_pattern(any_regex(LOW_QUALITY_PATTERNS, "iUd"))
-    fields = [col_(problem), resp] + ([col_(think)] if think is not None else [])
-    bad = reduce(lambda a, b: a | b, [F.coalesce(f.rlike(pat), F.lit(False)) for f in fields])
-    return no_box | bad
+    fields = [resp, col_(problem)] + ([col_(think)] if think is not None else [])  # the short one first
+    return reduce(lambda a, b: a | b, [has_any(f, LOW_QUALITY_PATTERNS, "iUd") for f in fields], no_box)
 
 
 def filter_low_quality(df: DataFrame, problem="problem", think="think", response="response") -> DataFrame:
@@ -106,8 +104,7 @@ def good_thinking(think: Column | str, solution: Column | str, max_segment_chars
     marker word occurs in the lowercased think.  The solution must not open a LaTeX
     environment."""
     t = col_(think)
-    lowered = F.lower(t)
-    has_marker = reduce(lambda a, b: a | b, [lowered.contains(m) for m in markers])
+    has_marker = F.exists(F.array(F.lower(t)), lambda low: reduce(lambda a, b: a | b, [low.contains(m) for m in markers]))
     think_ok = has_marker
     if max_segment_chars is not None:
         seg_ok = F.forall(F.split(t, "\n\n"), lambda s: F.length(py_strip(s)) <= max_segment_chars)
@@ -120,13 +117,11 @@ def filter_good_thinking(df: DataFrame, think="think", solution="response", max_
 
 
 def token_in_range(c: Column | str, min_token: int | None, max_token: int | None) -> Column:
-    c = col_(c)
-    cond = F.lit(True)
-    if min_token is not None:
-        cond = cond & (c >= min_token)
-    if max_token is not None:
-        cond = cond & (c <= max_token)
-    return cond
+    bounds = [lambda n, b=min_token: n >= b] * (min_token is not None) + [lambda n, b=max_token: n <= b] * (max_token is not None)
+    if not bounds:
+        return F.lit(True)
+    # the count is one element of an array, so that it is taken once for both bounds
+    return F.exists(F.array(col_(c)), lambda n: reduce(lambda a, b: a & b, [test(n) for test in bounds]))
 
 
 def filter_token_range(df: DataFrame, token_len: str, min_token=None, max_token=None) -> DataFrame:

@@ -36,6 +36,20 @@ def _first(df: DataFrame, name: str) -> Column:
     return F.get(c, 0) if isinstance(df.schema[name].dataType, ArrayType) else c
 
 
+def rendered_token_count(question: str, think: str, answer: str, spec: SourceSpec) -> Column:
+    """Token count of the rendered chat: the parts' counts and those of the template around them.
+
+    Newlines and markup separate the parts, so no token spans two; the template's own
+    count is a constant (rendered with empty parts) that the planner folds.
+    """
+    def template(empty_think: Column) -> Column:
+        msgs = build_messages(F.lit(""), empty_think, F.lit(""), spec.boxed_force, True, spec.system_prompt)
+        return approx_token_count(render_chat(msgs))
+
+    around = F.when(F.col(think).isNull(), template(F.lit(None).cast("string"))).otherwise(template(F.lit("")))
+    return around + approx_token_count(question) + approx_token_count(think) + approx_token_count(answer)
+
+
 def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """Per-row mapping and filters (no caps): ``_q, _a, _think, _tok`` plus the raw columns."""
     df = raw
@@ -67,13 +81,12 @@ def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     df = df.filter(F.col("_a").isNotNull())
     if spec.strip_answer_tags:
         df = df.withColumn("_a", strip_named_tags("_a", spec.strip_answer_tags))
-    df = df.filter(good_thinking("_think", "_a", spec.max_think_segment_chars) & step_by_step("_a"))
+    df = df.filter(step_by_step("_a") & good_thinking("_think", "_a", spec.max_think_segment_chars))
     df = df.filter(~low_quality("_q", "_think", "_a"))
     if spec.token_len_col is not None:
         tok = F.col(spec.token_len_col).cast("long")
     else:
-        msgs = build_messages(F.col("_q"), F.col("_think"), F.col("_a"), spec.boxed_force, True, spec.system_prompt)
-        tok = approx_token_count(render_chat(msgs))
+        tok = rendered_token_count("_q", "_think", "_a", spec)
     df = df.withColumn("_tok", tok).filter(token_in_range("_tok", spec.min_token, spec.max_token))
     return df
 
