@@ -492,7 +492,5 @@ FROM summ, models GROUP BY ALL""")
 # ---- 2.10 streams ----
 ORACLE["stream_topk"] = ORACLE["topk_rewards"]
 ORACLE["stream_best_step"] = ORACLE["best_step"]
-ORACLE["stream_curate"] = _R + (
-    f"SELECT DISTINCT md5({o.key('problem')}) AS key_md5 FROM reasoning WHERE {o.steps('response')} "
-    f"AND contains(coalesce(response, ''), {Q(chr(92) + 'boxed')}) AND NOT {o.low_quality('problem', 'think', 'response')}")
+ORACLE["stream_curate"] = _with(("reasoning",), CUR_R + f" SELECT DISTINCT md5({o.key('problem')}) AS key_md5 FROM ra_out")
 ORACLE["stream_dedup"] = _R + f"SELECT DISTINCT md5({o.key('problem')}) AS key_md5 FROM reasoning"

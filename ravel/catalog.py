@@ -750,12 +750,12 @@ def q_append_result(spark, sf):
     return back.groupBy("model", "dataset", "accuracy", "avg_tokens_generated").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _replay(spark, sf, name: str, order: str, parts: int = 4):
+def _replay(spark, sf, name: str, order: str, key: str | None = None, parts: int = 4):
     from ravel.streaming.trackers import write_in_arrival_order
 
     src = T(spark, sf, name)
     path = scratch_path(spark, f"replay-{name}")
-    write_in_arrival_order(src, path, order, parts)
+    write_in_arrival_order(src, path, order, parts, key)
     return path, src.schema
 
 
@@ -763,7 +763,7 @@ def _replay(spark, sf, name: str, order: str, parts: int = 4):
 def q_stream_topk(spark, sf):
     from ravel.streaming.trackers import stream_topk
 
-    path, schema = _replay(spark, sf, "metrics_log", "step")
+    path, schema = _replay(spark, sf, "metrics_log", "step", "run_id")
     return stream_topk(spark, path, schema, 3)
 
 
@@ -771,7 +771,7 @@ def q_stream_topk(spark, sf):
 def q_stream_best_step(spark, sf):
     from ravel.streaming.trackers import stream_best_step
 
-    path, schema = _replay(spark, sf, "metrics_log", "step")
+    path, schema = _replay(spark, sf, "metrics_log", "step", "run_id")
     return stream_best_step(spark, path, schema, 5)
 
 
@@ -780,8 +780,7 @@ def q_stream_curate(spark, sf):
     from ravel.streaming.trackers import stream_curate
 
     path, schema = _replay(spark, sf, "reasoning", "id")
-    keep = FL.step_by_step("response") & FL.has_boxed("response") & ~FL.low_quality("problem", "think", "response")
-    return stream_curate(spark, path, schema, keep).select(F.md5("_key").alias("key_md5"))
+    return stream_curate(spark, path, schema, REASONING_SPEC).select(F.md5(TX.normalized_key("problem")).alias("key_md5"))
 
 
 @register("stream_dedup")
@@ -789,4 +788,4 @@ def q_stream_dedup(spark, sf):
     from ravel.streaming.trackers import stream_dedup
 
     path, schema = _replay(spark, sf, "reasoning", "id")
-    return stream_dedup(spark, path, schema).select(F.md5("_key").alias("key_md5"))
+    return stream_dedup(spark, path, schema).select(F.md5(TX.normalized_key("problem")).alias("key_md5"))

@@ -105,6 +105,11 @@ def curate_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         df = sample_by_length(df, "_tok", spec.n_samples, spec.length_power, spec.seed, spec.row_id_col)
     else:
         df = sample_first_accepted(df, spec.n_samples, spec.max_candidates, spec.seed, spec.row_id_col)
+    return curated_columns(df, spec)
+
+
+def curated_columns(df: DataFrame, spec: SourceSpec) -> DataFrame:
+    """The curated schema of shaped rows."""
     a = py_strip("_a")
     return df.select(
         F.col(spec.row_id_col).cast("long").alias("row_id"),

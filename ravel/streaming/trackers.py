@@ -1,40 +1,34 @@
 """Structured Streaming versions of the online trackers and of incremental curation.
 
-* ``stream_topk`` keeps the k best logged rewards per run as records
-  arrive (the one custom stateful operator: ``applyInPandasWithState``,
-  state = at most k (reward, step) pairs per run).
-* ``stream_best_step`` keeps the best evaluated step per run with a plain
-  streaming aggregation (``max`` of an ordering struct), no Python.
-* ``stream_curate`` / ``stream_dedup`` apply stateless filters and a
-  streaming ``dropDuplicates`` on the normalised problem.
-
-Sources are file directories read with a fixed schema; checkpoints live in
-the shared checkpoint folder, so a restarted query resumes.
+* ``stream_topk`` and ``stream_best_step`` fold every micro-batch into a small
+  keyed table (at most k rows per run, one row per run) in ``foreachBatch``: the rows
+  held so far and the new ones go through the same DataFrame operator as in batch,
+  so a run with very many new rows is reduced by Spark's grouped plans.
+* ``stream_curate`` runs the row-wise curation of a source and a streaming
+  ``dropDuplicates`` on a digest of the normalised problem; ``stream_dedup`` only the latter.
+
+Sources are file directories read with a fixed schema; checkpoints and the
+keyed tables live in the shared checkpoint folder, so a restarted query resumes.
+A version of a keyed table is written per micro-batch under the batch's number; a
+batch that is run again overwrites its own version and reads the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ravel.functions.text import normalized_key
+from ravel.operators.dedup import key_digest
+from ravel.operators.selection import topk_rewards
+from ravel.params import SourceSpec
+from ravel.plans.curate import curated_columns, shape_source
 from ravel.session import scratch_path
 
-TOPK_OUT = StructType([
-    StructField("run_id", LongType()),
-    StructField("step", LongType()),
-    StructField("reward", DoubleType()),
-    StructField("version", LongType()),
-])
-TOPK_STATE = StructType([
-    StructField("rewards", StructType([StructField("r", ArrayType(DoubleType())), StructField("s", ArrayType(LongType()))])),
-    StructField("version", LongType()),
-])
+FILES_PER_BATCH = 8
 
 
 def keep_topk(held: list[tuple[float, int]], reward: float, step: int, k: int) -> list[tuple[float, int]]:
@@ -47,92 +41,107 @@ def keep_topk(held: list[tuple[float, int]], reward: float, step: int, k: int) -
     return held
 
 
-def _topk_fn(k: int):
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            (packed, version) = state.get
-            held = list(zip(packed["r"], packed["s"])) if packed is not None else []
-        else:
-            held, version = [], 0
-        rows = pd.concat(list(batches)).sort_values("step", kind="stable")
-        for r, s in zip(rows["reward"].tolist(), rows["step"].tolist()):
-            if r is None or pd.isna(r):
-                continue
-            held = keep_topk(held, float(r), int(s), k)
-        version += 1
-        state.update(({"r": [h[0] for h in held], "s": [h[1] for h in held]}, version))
-        yield pd.DataFrame({
-            "run_id": [int(key[0])] * len(held),
-            "step": [h[1] for h in held],
-            "reward": [h[0] for h in held],
-            "version": [version] * len(held),
-        })
-
-    return fn
-
-
-def _run_to_end(query_df: DataFrame, name: str, mode: str) -> DataFrame:
+def _read(spark: SparkSession, source_dir: str, schema: StructType, files_per_batch: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+
+
+def _fold(src: DataFrame, name: str, reduce_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The keyed table after all available micro-batches: ``reduce_rows`` of the rows held and the new ones, batch by batch."""
+    spark = src.sparkSession
+    state, ckpt = scratch_path(spark, f"{name}-state"), scratch_path(spark, f"{name}-ckpt")
+    done = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = batch
+        if number:
+            rows = session.read.schema(src.schema).parquet(f"{state}/{number - 1}").unionByName(batch)
+        reduce_rows(rows).write.mode("overwrite").parquet(f"{state}/{number}")
+        done.append(number)
+
+    query = src.writeStream.foreachBatch(step).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], src.schema)
+    return spark.read.schema(src.schema).parquet(f"{state}/{done[-1]}")
+
+
+def _append(query_df: DataFrame, name: str) -> DataFrame:
     spark = query_df.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    if mode == "complete":
-        table = f"{name}_{abs(hash(out)) % 10**9}"
-        q = (query_df.writeStream.outputMode("complete").format("memory").queryName(table)
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    query = (query_df.writeStream.outputMode("append").format("parquet").option("path", out)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.table(table)
-    q = (query_df.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    query.awaitTermination()
     return spark.read.schema(query_df.schema).parquet(out)
 
 
 def stream_topk(spark: SparkSession, source_dir: str, schema: StructType, k: int, run: str = "run_id",
-                step: str = "step", reward: str = "reward", files_per_batch: int = 1) -> DataFrame:
-    """Final top-k rows per run after all files of ``source_dir`` arrived (batches in file order)."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
-           .select(F.col(run).alias("run_id"), F.col(step).alias("step"), F.col(reward).cast("double").alias("reward")))
-    tracked = src.groupBy("run_id").applyInPandasWithState(_topk_fn(k), TOPK_OUT, TOPK_STATE, "append",
-                                                           GroupStateTimeout.NoTimeout)
-    snapshots = _run_to_end(tracked, "topk", "append")
-    latest = snapshots.groupBy("run_id").agg(F.max("version").alias("version"))
-    return snapshots.join(latest, ["run_id", "version"]).select("run_id", "step", "reward")
-
-
-def stream_best_step(spark: SparkSession, source_dir: str, schema: StructType, eval_steps: int,
-                     run: str = "run_id", step: str = "step", accuracy: str = "accuracy", tokens: str = "avg_tokens") -> DataFrame:
+                step: str = "step", reward: str = "reward", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Final top-k rows per run after all files of ``source_dir`` arrived (a run's batches in step order).
+
+    Keeping on from the rows held is the same as keeping from the start, so the batch
+    closed form over held and new rows gives the online keeper's state.
+    """
+    src = _read(spark, source_dir, schema, files_per_batch).select(
+        F.col(run).alias("run_id"), F.col(step).alias("step"), F.col(reward).cast("double").alias("reward"))
+    return _fold(src, "topk", lambda rows: topk_rewards(rows, k))
+
+
+def stream_best_step(spark: SparkSession, source_dir: str, schema: StructType, eval_steps: int, run: str = "run_id",
+                     step: str = "step", accuracy: str = "accuracy", tokens: str = "avg_tokens",
+                     files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Best evaluated step per run: highest accuracy, then lowest tokens, then earliest step."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    evaluated = src.filter((F.col(step) % eval_steps == 0) & (F.col(step) != 0))
-    best = evaluated.groupBy(run).agg(
-        F.max(F.struct(F.col(accuracy).alias("a"), (-F.col(tokens)).alias("t"), (-F.col(step)).alias("s"))).alias("b")
-    )
-    final = _run_to_end(best, "best_step", "complete")
-    return final.select(F.col(run).alias("run_id"), (-F.col("b.s")).alias("step"), F.col("b.a").alias("accuracy"),
-                        (-F.col("b.t")).alias("avg_tokens"))
+    src = _read(spark, source_dir, schema, files_per_batch).select(
+        F.col(run).alias("run_id"), F.col(step).alias("step"), F.col(accuracy).alias("accuracy"), F.col(tokens).alias("avg_tokens"))
+    evaluated = src.filter((F.col("step") % eval_steps == 0) & (F.col("step") != 0))
+
+    def best(rows: DataFrame) -> DataFrame:
+        top = F.max(F.struct(F.col("accuracy").alias("a"), (-F.col("avg_tokens")).alias("t"), (-F.col("step")).alias("s"))).alias("b")
+        return rows.groupBy("run_id").agg(top).select("run_id", (-F.col("b.s")).alias("step"), F.col("b.a").alias("accuracy"), (-F.col("b.t")).alias("avg_tokens"))
+
+    return _fold(evaluated, "best-step", best)
+
+
+def _first_arrivals(rows: DataFrame, problem: str, within: tuple[str, str] | None) -> DataFrame:
+    keyed = rows.withColumn("_digest", key_digest(normalized_key(problem)))
+    if within is None:
+        return keyed.dropDuplicates(["_digest"]).drop("_digest")
+    time_col, delay = within
+    return keyed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
+
+
+def stream_curate(spark: SparkSession, source_dir: str, schema: StructType, spec: SourceSpec,
+                  within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Row-wise curation of a source (no caps or samples, which need the whole source), then streaming dedup."""
+    rows = curated_columns(shape_source(_read(spark, source_dir, schema, files_per_batch), spec), spec)
+    return _append(_first_arrivals(rows, "problem", within), "curate")
 
 
-def stream_curate(spark: SparkSession, source_dir: str, schema: StructType, keep, problem: str = "problem") -> DataFrame:
-    """Stateless filters (``keep`` is a boolean Column) then streaming dedup on the normalised problem."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    rows = src.filter(keep).withColumn("_key", normalized_key(problem)).dropDuplicates(["_key"])
-    return _run_to_end(rows, "curate", "append")
+def stream_dedup(spark: SparkSession, source_dir: str, schema: StructType, problem: str = "problem",
+                 within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Streaming keep-first dedup (the first arrival of a key is kept).
 
+    The state holds a digest of every key seen; ``within`` = (time column, delay) bounds
+    it to duplicates that arrive within the watermark's delay.
+    """
+    return _append(_first_arrivals(_read(spark, source_dir, schema, files_per_batch), problem, within), "dedup")
 
-def stream_dedup(spark: SparkSession, source_dir: str, schema: StructType, problem: str = "problem") -> DataFrame:
-    """Streaming keep-first dedup (the first arrival of a key is kept; state holds every key seen)."""
-    return stream_curate(spark, source_dir, schema, F.lit(True), problem)
 
+def write_in_arrival_order(df: DataFrame, path: str, order: str, parts: int, key: str | None = None) -> None:
+    """Write ``df`` as ``parts`` successive appends in ``order`` ranges, so that a file source replays the log in order.
 
-def write_in_arrival_order(df: DataFrame, path: str, order: str, parts: int) -> None:
-    """Write ``df`` as ``parts`` successive appends in ``order`` ranges, one sorted file per
-    range, so a file source (one file per trigger) replays the log in order."""
-    bounds = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10000).alias("b")).first()["b"]
+    Within a range the rows of a ``key`` stay in one file, sorted; rows without an order come last.
+    """
+    bounds = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10000).alias("b")).first()["b"] or []
     edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
+    for at, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col(order) > lo)
         if hi is not None:
             cond = cond & (F.col(order) <= hi)
-        df.filter(cond).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+        if at == len(edges) - 2:
+            cond = cond | F.col(order).isNull()
+        rows = df.filter(cond)
+        rows = rows.repartition(F.col(key)) if key else rows
+        rows.sortWithinPartitions(order).write.mode("append").parquet(path)
