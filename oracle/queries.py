@@ -444,6 +444,16 @@ def curate_sql(p: str, src: str, name: str, q_: str, a: str, think: str | None,
 CUR_R = curate_sql("ra", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
 CUR_C = curate_sql("cb", "completions", "completions", "problem", "content", "content", "completion_id", split_think=True, max_tok=8000)
 ORACLE["curate_source"] = _with(("reasoning",), CUR_R + " SELECT * FROM ra_out")
+_ALT = ("CASE WHEN lang <> 'en' THEN concat('Aufgabe: ', problem, CASE WHEN length(problem) % 7 = 0 THEN ' Figure 3' ELSE '' END) END")
+CUR_2 = curate_sql("rb", "reasoning2", "reasoning", "problem2", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
+ORACLE["alternate_question"] = _with(("reasoning",), f"reasoning2 AS (SELECT *, {_ALT} AS problem2 FROM reasoning)," + CUR_R + "," + CUR_2 + """,
+ev AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', '3407', CAST(id AS VARCHAR))), id) AS rk, a.problem AS p1, b.problem AS p2
+   FROM (SELECT row_id AS id FROM ra_out UNION SELECT row_id FROM rb_out) i LEFT JOIN ra_out a ON a.row_id = i.id LEFT JOIN rb_out b ON b.row_id = i.id),
+walk AS (SELECT 1 AS rk, 0 AS parity UNION ALL
+   SELECT w.rk + 1, CASE WHEN w.parity = 0 THEN (CASE WHEN e.p1 IS NOT NULL THEN 1 ELSE 0 END) ELSE (CASE WHEN e.p2 IS NOT NULL THEN 0 ELSE 1 END) END
+   FROM walk w JOIN ev e ON e.rk = w.rk)
+SELECT e.id AS row_id, CASE WHEN w.parity = 0 THEN p1 ELSE p2 END AS problem FROM ev e JOIN walk w ON w.rk = e.rk
+WHERE CASE WHEN w.parity = 0 THEN p1 ELSE p2 END IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLE["write_records"] = ORACLE["curate_source"]
 ORACLE["build_corpus"] = _with(("completions",), CUR_R + "," + CUR_C + " SELECT * FROM ra_out UNION ALL SELECT * FROM cb_out")
 ORACLE["build_test_set"] = _with(("reasoning",), curate_sql("ts", "reasoning", "test", "problem", "response", None, "id", signal="So ")

@@ -8,6 +8,7 @@ key through the library code.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -634,6 +635,17 @@ def q_curate_source(spark, sf):
     return CU.curate_source(T(spark, sf, "reasoning"), REASONING_SPEC)
 
 
+# A stand-in second question: none for English rows, and one that points to a figure for some others.
+SECOND_QUESTION = ("CASE WHEN lang <> 'en' THEN concat('Aufgabe: ', problem, "
+                   "CASE WHEN length(problem) % 7 = 0 THEN ' Figure 3' ELSE '' END) END")
+
+
+@register("alternate_question")
+def q_alternate_question(spark, sf):
+    raw = T(spark, sf, "reasoning").withColumn("problem2", F.expr(SECOND_QUESTION))
+    return CU.curate_source(raw, replace(REASONING_SPEC, question_alt_col="problem2")).select("row_id", "problem")
+
+
 @register("build_corpus")
 def q_build_corpus(spark, sf):
     return CU.build_corpus([(T(spark, sf, "reasoning"), REASONING_SPEC), (T(spark, sf, "completions"), COMPLETION_SPEC)])

@@ -11,9 +11,10 @@ think, boxed_force``.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -24,10 +25,11 @@ from ravel.functions.text import py_strip, strip_named_tags, strip_outer_tags
 from ravel.operators.filters import (
     any_key_equals, correct_flag, good_thinking, low_quality, nonempty, step_by_step, token_in_range, topic_match,
 )
-from ravel.operators.ranking import take_first
+from ravel.operators.ranking import global_rank, take_first
 from ravel.operators.sampling import cap_per_group, sample_by_length, sample_first_accepted, seeded_shuffle, shuffle_key
 from ravel.params import TEST_SHUFFLE_SEED, SourceSpec
 
+BUCKET = 100_000  # rows per bucket of the turn of questions
 CURATED_COLUMNS = ["row_id", "problem", "response", "data_type", "difficulty", "source", "answer", "mask", "think", "boxed_force"]
 
 
@@ -91,10 +93,62 @@ def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     return df
 
 
+def _parity(before: WindowSpec, start: Column) -> Column:
+    """0 / 1 before a row, from ``start`` on: the last value set before it, turned by the flips since (or ``start``, by all)."""
+    flips = F.coalesce(F.sum("_flip").over(before), F.lit(0))
+    held = F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", F.col("_done").alias("done"))), ignorenulls=True).over(before)
+    return F.pmod(F.when(held.isNotNull(), held["_set"] + flips - held["done"]).otherwise(start + flips), F.lit(2)).cast("int")
+
+
+def alternate_questions(first: DataFrame, second: DataFrame, row_id: str, order: list[Column], bucket: int = BUCKET) -> DataFrame:
+    """``(row_id, alternate)`` of the accepted rows when the second question is asked after an odd number of accepted rows.
+
+    ``first`` / ``second``: the rows that would be accepted with either question.  Going
+    through the rows in ``order``, one that both accept flips the parity, one that only
+    the first (second) accepts sets it to 1 (0).  These four maps compose, so buckets of
+    ``bucket`` rows are summed up on their own, a table with one row per bucket gives each its
+    start, and the rows of a bucket follow from there: no task sees the whole source.
+    """
+    ids = first.select(row_id, F.lit(1).alias("_e"), F.lit(0).alias("_v")).union(second.select(row_id, F.lit(0), F.lit(1)))
+    flags = ids.groupBy(row_id).agg(F.max("_e").alias("_e"), F.max("_v").alias("_v"))
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(order)]
+    ranked = global_rank(flags.select(row_id, "_e", "_v", *keys), [f"_k{i}" for i in range(len(order))], "_rank")
+    rows = (ranked.withColumn("_b", F.floor(F.col("_rank") / bucket))
+            .withColumn("_flip", F.col("_e") * F.col("_v"))
+            .withColumn("_set", F.when(F.col("_e") != F.col("_v"), F.col("_e"))))
+    upto = Window.partitionBy("_b").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_done", F.sum("_flip").over(upto))
+    last = F.max_by(F.struct("_set", F.col("_done").alias("done")), F.when(F.col("_set").isNotNull(), F.col("_rank")))
+    sums = rows.groupBy("_b").agg(last.alias("_l"), F.sum("_flip").alias("_n"))
+    sums = sums.select("_b", F.pmod(F.col("_l._set") + F.col("_n") - F.col("_l.done"), F.lit(2)).alias("_set"),
+                       F.when(F.col("_l").isNull(), F.col("_n")).otherwise(0).alias("_flip"))
+    everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("_done", F.sum("_flip").over(everything))
+    starts = sums.select("_b", _parity(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("_b").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.join(starts, "_b").withColumn("_p", _parity(earlier, F.col("_start")))
+    taken = F.when(F.col("_p") == 0, F.col("_e")).otherwise(F.col("_v")) == 1
+    return told.filter(taken).select(row_id, (F.col("_p") == 1).alias("alternate"))
+
+
+def _accepted(raw: DataFrame, spec: SourceSpec, order: list[Column]) -> DataFrame:
+    """Shaped rows; with a second question column, each row with the question that its turn asks."""
+    if spec.question_alt_col is None:
+        return shape_source(raw, spec)
+    if spec.group_col is not None:
+        raise ValueError("the turn of a question depends on all rows accepted before; it can't be paired with a cap per group")
+    first = shape_source(raw, replace(spec, question_alt_col=None))
+    second = shape_source(raw, replace(spec, question_col=spec.question_alt_col, question_alt_col=None))
+    turns = alternate_questions(first, second, spec.row_id_col, order)
+    parts = [rows.join(turns.filter(F.col("alternate") == flag).select(spec.row_id_col), spec.row_id_col, "left_semi")
+             for flag, rows in ((False, first), (True, second))]
+    return parts[0].unionByName(parts[1])
+
+
 def curate_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """One raw source -> curated rows (see module docstring for the order of steps)."""
-    df = shape_source(raw, spec)
     order = [shuffle_key(spec.seed, spec.row_id_col), F.col(spec.row_id_col)]
+    df = _accepted(raw, spec, order)
     if spec.group_col is not None and spec.max_per_group is not None:
         df = cap_per_group(df, spec.group_col, spec.max_per_group, order)
     if spec.length_sampling:

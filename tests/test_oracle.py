@@ -8,7 +8,8 @@ from conftest import SF_SMALL
 from ravel.sources.fixtures import BASE_TABLES
 
 SAMPLE = ["usable_topic_problems", "grade", "extract_boxed", "curate_source", "split_train_val_test", "topk_rewards",
-          "reward_total", "length_histogram", "token_weights", "filter_topic", "build_corpus", "stream_topk"]
+          "reward_total", "length_histogram", "token_weights", "filter_topic", "build_corpus", "stream_topk", "stream_best_step",
+          "stream_dedup", "prepare_sft", "weighted_token_loss", "alternate_question", "semijoin_holdout"]
 
 
 def _norm(v):

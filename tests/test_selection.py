@@ -97,3 +97,20 @@ def test_take_first_any_size(spark):
     df = spark.range(50).select((49 - F.col("id")).alias("id"), F.lit("text").alias("t"))
     for n in (0, 1, 7, 50, 80):
         assert sorted(r.id for r in take_first(df, [F.col("id")], n).collect()) == list(range(min(n, 50)))
+
+
+def test_alternate_questions(spark):
+    from ravel.plans.curate import alternate_questions
+
+    rng = random.Random(9)
+    rows = [(i, rng.random() < 0.6, rng.random() < 0.6) for i in range(300)]
+    want, accepted = [], 0
+    for i, e, v in rows:
+        odd = accepted % 2 == 1
+        if v if odd else e:
+            want.append((i, odd))
+            accepted += 1
+    df = spark.createDataFrame(rows, "id long, e boolean, v boolean")
+    for bucket in (7, 1000):
+        got = alternate_questions(df.filter("e").select("id"), df.filter("v").select("id"), "id", [F.col("id")], bucket).collect()
+        assert sorted((r.id, r.alternate) for r in got) == want
