@@ -12,7 +12,7 @@ each class goes on.  It leaves
 
 Documents that share a tile are compared only within neighbouring size bands (a
 band spans a factor of 1 / threshold, so similar sets lie in one band or in two neighbours).
-The first round verifies the documents of a tile against its smallest id and
+The first round verifies, as far as the bitmaps allow a link, the documents of a tile against its smallest id and
 joins what is linked; tiles within one component are done.  Later rounds compare the
 bitmaps of the others' open pairs, in units of bounded size, and verify a spanning forest of the
 pairs that the bound lets pass, until no open pair is left.  So a group of many
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravel.llm.common import U64, arrow_rows, connected_components, mix64, scratch_table, shingle_hashes, slices, text_bytes
@@ -37,7 +37,7 @@ PERCENT = 80
 ROWS, TILES = 3, 28
 UNIT = 2048
 _LEAST_BITS, _MOST_BITS = 128, 1 << 16
-_SEEDS = mix64(np.arange(1, ROWS * TILES + 1, dtype=np.uint64)) | U64(1)
+_SEEDS = (mix64(np.arange(1, ROWS * TILES + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -64,18 +64,20 @@ def fold(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def tile_keys(found: np.ndarray) -> np.ndarray:
-    """Hashes of ROWS minima each."""
-    least = np.empty(len(_SEEDS), np.uint64)
-    for i, seed in enumerate(_SEEDS):  # xor-multiply-shift families of the mixed hashes
-        x = found * seed
-        least[i] = (x ^ (x >> U64(29))).min()
+    """Hashes of ROWS minima each, under 32-bit multiply-shift families of the mixed hashes."""
+    least = np.full(len(_SEEDS), 2**32 - 1, np.uint32)
+    short = (found >> U64(32)).astype(np.uint32)
+    for lo in range(0, len(short), 1024):
+        x = np.multiply.outer(_SEEDS, short[lo : lo + 1024])
+        x ^= x >> np.uint32(15)
+        np.minimum(least, x.min(1), out=least)
     out = np.arange(TILES, dtype=np.uint64) + U64(1)
-    for column in least.reshape(TILES, ROWS).T:
+    for column in least.astype(np.uint64).reshape(TILES, ROWS).T:
         out = mix64(out * U64(0x9E3779B97F4A7C15) + column)
     return out
 
 
-def band_of(n: F.Column, percent: int) -> F.Column:
+def band_of(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("long")
 
 
@@ -157,18 +159,61 @@ def open_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list
         if not len(fit):
             continue
         apart = np.bitwise_count(maps[fit] ^ maps[i]).sum(1, dtype=np.int64)
-        total = n[fit] + n[i]
-        most = (total - apart) // 2
-        for j in fit[100 * most >= percent * (total - most)].tolist():
+        grown = False
+        for j in fit[may_link(n[fit], n[i], apart, percent)].tolist():
             a, b = sorted((int(ids[i]), int(ids[j])))
             x, y = find(int(root[i])), find(int(root[j]))
             if x != y and (a, b) not in refuted:
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
-        label = np.array([find(int(r)) for r in range(len(names))])[root] if out else label
+                grown = True
+        if grown:
+            label = np.array([find(r) for r in range(len(names))])[root]
     return out
 
 
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes at this bitmap distance can reach the threshold."""
+    most = (n + m - apart) // 2
+    return 100 * most >= percent * (n + m - most)
+
+
+def bounded_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the bitmaps' bound lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+            widths = [min(len(x), len(y)) for x, y in zip(left, right, strict=True)]
+            apart = [int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) for x, y, w in zip(left, right, widths, strict=True)]
+            keep = may_link(batch.column("n").to_numpy(), batch.column("m").to_numpy(), np.array(apart, np.int64), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = pairs.join(reps.select(F.col("doc_id").alias("a"), "n", F.col("bits").alias("left")), "a")
+    both = both.where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
+    both = both.join(reps.select(F.col("doc_id").alias("b"), F.col("bits").alias("right")), "b")
+    return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn, of batches whose rows come key by key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(c).to_numpy() for c in key])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            now = tuple(columns[:, lo].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(doc_id, component)`` of every node; a node without links is its own component."""
     found = connected_components(links)
@@ -177,56 +222,61 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
     """Verified links ``(a, b)`` that connect all linked representatives."""
-    schema = "a long, b long"
-    keyed = reps.select("doc_id", "n", F.explode("tiles").alias("key"), band_of(F.col("n"), percent).alias("band"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre")).where("m > 1")
-    members = scratch_table(keyed.join(shared, "key").select("key", "doc_id", "n", "band", "m", "centre"), "tile-members")
-    busy = members.select("doc_id").distinct()
+    keyed = reps.select("doc_id", "n", F.explode("tiles").alias("key"))
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "doc_id")).alias(f"s{i}") for i in (0, 1)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre"), *hashes).where("m > 1")
+    # tiles with the same documents are one tile
+    shared = shared.groupBy("m", "s0", "s1").agg(F.min("key").alias("key"), F.min("centre").alias("centre"))
+    members = scratch_table(keyed.join(shared.select("key", "m", "centre"), "key").withColumn("band", band_of(F.col("n"), percent)), "tile-members")
+
+    first = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("m")).distinct()
+    first = scratch_table(bounded_pairs(first, reps, percent), "pairs-first")
+    crowd = members.where("m > 2")  # in a tile of two the one pair has been looked at
+    busy = first.select(F.col("a").alias("doc_id")).union(first.select("b")).union(crowd.select("doc_id")).distinct()
     sets = scratch_table(_sets(docs, busy), "tile-sets")
+    all_tested = [scratch_table(verify(first, sets, percent), "links-tested")]
 
-    centres = members.groupBy("doc_id", "centre").agg(F.max("n").alias("n")).where("doc_id <> centre")
-    sizes = reps.select(F.col("doc_id").alias("centre"), F.col("n").alias("m"))
-    first = centres.join(sizes, "centre").where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    tested = scratch_table(verify(first.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), sets, percent), "links-tested")
+    unit_key = ["key", "band", "x", "y", "kind"]
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, n, component, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "side"))
-        refuted = {(a, b) for a, others in zip(ids.tolist(), table.column("refuted").to_pylist(), strict=True) for b in others or ()}
-        found = open_pairs(ids, n, component, table.column("bits").to_pylist(), side, refuted, percent)
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, unit_key):
+            ids, n, component, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "side"))
+            refuted = {(a, b) for a, others in zip(ids.tolist(), table.column("refuted").to_pylist(), strict=True) for b in others or ()}
+            found = open_pairs(ids, n, component, table.column("bits").to_pylist(), side, refuted, percent)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield arrow_rows({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
-    all_tested = [tested]
     while True:
         tested = all_tested[0]
         for more in all_tested[1:]:
             tested = tested.union(more)
         links = tested.where("same").select("a", "b")
-        labels = _components(busy, links)
-        labelled = members.join(labels, "doc_id")
-        still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-        left = labelled.drop("m", "centre").join(still, "key")
-        left = scratch_table(left.withColumn("blocks", F.ceil(F.col("m") / unit)), "tiles-open")
+        labelled = crowd.join(_components(crowd.select("doc_id").distinct(), links), "doc_id")
+        still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        left = scratch_table(labelled.join(still, "key").drop("centre").withColumn("blocks", F.ceil(F.col("m") / unit)), "tiles-open")
         if left.isEmpty():
             return links
         # a document's refuted partners travel with it, under the smaller id
         no = tested.where("not same").groupBy(F.least("a", "b").alias("doc_id")).agg(F.collect_set(F.greatest("a", "b")).alias("refuted"))
         mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("mine")
         part = left.select("key", "doc_id", "n", "component", "band", "blocks", mine)
-        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        wide = part.select("*", others)
-        # within a band: block pairs, the diagonal ones with all pairs, the others with pairs across
-        within = wide.select("key", "doc_id", "n", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                             F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), F.lit(0).alias("kind"))
-        lower = wide.select("key", "doc_id", "n", "component", "band", F.col("mine").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), F.lit(1).alias("kind"))
-        upper = wide.select("key", "doc_id", "n", "component", (F.col("band") - 1).alias("band"), F.col("other").alias("x"), F.col("mine").alias("y"), F.lit(1).alias("side"), F.lit(1).alias("kind"))
+        wide = part.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+
+        def units_of(rows: DataFrame, band: Column, x: Column, y: Column, side: Column, kind: int) -> DataFrame:
+            return rows.select("key", "doc_id", "n", "component", band.alias("band"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"), F.lit(kind).alias("kind"))
+
+        band, me, other = F.col("band"), F.col("mine"), F.col("other")
+        # within a band: block pairs, the diagonal ones with all pairs, the others with pairs across; then a band and the next
+        within = units_of(wide, band, F.least(me, other), F.greatest(me, other), F.when(me == other, 2).when(me < other, 0).otherwise(1), 0)
+        lower = units_of(wide, band, me, other, F.lit(0), 1)
+        upper = units_of(wide, band - 1, other, me, F.lit(1), 1)
         units = within.union(lower).union(upper)
-        unit_key = ["key", "band", "x", "y", "kind"]
         alive = units.groupBy(*unit_key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("s"), F.max("side").alias("t"))
         alive = alive.where("lo < hi and (s < t or t = 2)").select(*unit_key)
         rows = units.join(alive, unit_key).join(reps.select("doc_id", "bits"), "doc_id").join(no, "doc_id", "left")
-        pairs = rows.groupBy(*unit_key).applyInArrow(compare, schema).distinct()
-        pairs = scratch_table(pairs, "pairs-open")
+        dealt = rows.repartition(*unit_key).sortWithinPartitions(*unit_key, "doc_id")
+        pairs = scratch_table(dealt.mapInArrow(compare, "a long, b long").distinct(), "pairs-open")
         if pairs.isEmpty():
             return links
         all_tested.append(scratch_table(verify(pairs, sets, percent), "links-tested"))
@@ -251,6 +301,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, unit: int = U
     member = scratch_table(full.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "members")
     # with repeated ids a representative can stand for several sets; its first is enough to start from
     reps = full.join(member.where("doc_id = rep").select("doc_id", "n"), ["doc_id", "n"], "left_semi").select("doc_id", "n", "bits", "tiles")
+    reps = scratch_table(reps, "class-reps")
     links = class_links(source, reps, percent, unit)
     own = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = connected_components(links.union(own))
