@@ -486,6 +486,8 @@ ORACLE["compare_answers"] = duckdb_ctes("answer_pairs", "verdicts") + (
 
 # ---- 2.1 sources / sinks ----
 ORACLE["read_jsonl"] = _R + "SELECT id, problem, answer, grade FROM reasoning"
+ORACLE["read_text_blob"] = "SELECT CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents"
+ORACLE["read_json_records"] = "SELECT conv_id, turn, role, text FROM conversations"
 ORACLE["read_dataset"] = _R + "SELECT id, problem FROM reasoning WHERE lang = 'en'"
 ORACLE["write_jsonl_with_summary"] = duckdb_ctes("answer_pairs", "verdicts") + (
     f'SELECT count(*) FILTER (WHERE eq = true) AS "true", count(*) FILTER (WHERE eq = false) AS "false" FROM '
@@ -496,7 +498,7 @@ ORACLE["append_result"] = _with(("completions",), DETAILS + """,
 summ AS (SELECT lang, coalesce(sum(CAST(is_correct AS BIGINT)) / count(*) * 100.0, 0.0) AS accuracy,
    coalesce(sum(token_generated) / count(*), 0.0) AS avg_tokens FROM g5 GROUP BY lang),
 models AS (SELECT unnest(['fixture-a', 'fixture-b']) AS model)
-SELECT model, 'reasoning' AS dataset, printf('%.2f', accuracy) AS accuracy, printf('%.2f', avg_tokens) AS avg_tokens_generated, count(*) AS n
+SELECT model, 'reasoning' AS dataset, printf('%.2f', accuracy) AS accuracy, printf('%.2f', avg_tokens) AS avg_tokens_generated, true AS dated, count(*) AS n
 FROM summ, models GROUP BY ALL""")
 
 # ---- 2.10 streams ----

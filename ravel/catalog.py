@@ -711,6 +711,28 @@ def q_read_jsonl(spark, sf):
     return IO.read_jsonl(spark, path, schema)
 
 
+@register("read_text_blob")
+def q_read_text_blob(spark, sf):
+    """Documents written as text files and read back as one string per file: characters over all files."""
+    path = scratch_path(spark, "blobs")
+    T(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    blobs = IO.read_text_blob(spark, path)
+    return blobs.agg(F.sum(F.length("value")).alias("n_chars"))
+
+
+@register("read_json_records")
+def q_read_json_records(spark, sf):
+    """Turns as JSON arrays, a file for each thousand conversation ids, read back."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    path = scratch_path(spark, "json-arrays")
+    turn = F.struct("conv_id", "turn", "role", "text")
+    arrays = T(spark, sf, "conversations").groupBy(F.floor(F.col("conv_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(turn)).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    schema = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("role", StringType()), StructField("text", StringType())])
+    return IO.read_json_records(spark, f"{path}/part=*", schema)
+
+
 @register("read_dataset")
 def q_read_dataset(spark, sf):
     path = scratch_path(spark, "dataset")
@@ -759,7 +781,8 @@ def q_append_result(spark, sf):
     for lang_model in ("fixture-a", "fixture-b"):
         IO.append_result(summary.withColumnRenamed("lang", "_l"), path, lang_model, "reasoning")
     back = spark.read.options(header="true").csv(path)
-    return back.groupBy("model", "dataset", "accuracy", "avg_tokens_generated").agg(F.count(F.lit(1)).alias("n"))
+    dated = F.col("timestamp").rlike(r"\A\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z").alias("dated")
+    return back.groupBy("model", "dataset", "accuracy", "avg_tokens_generated", dated).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _replay(spark, sf, name: str, order: str, key: str | None = None, parts: int = 4):
