@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ravel.session import scratch_path
@@ -125,10 +125,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
         .distinct()
     )
-    links = scratch_table(pairs, "links")
-    summary = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    seen = links.agg(*summary).first()
-    while True:
+
+    def written(rows: DataFrame) -> tuple[DataFrame, dict]:
+        """The links as a table, and their number and a sum of hashes taken while they are written."""
+        seen = Observation()
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        return scratch_table(rows.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), "links"), seen.get
+
+    links, seen = written(pairs)
+    while seen["n"]:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u hangs on u's smallest neighbour
@@ -137,8 +142,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: u and its smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = scratch_table(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = links.agg(*summary).first()
+        links, now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if now == seen:
             break
         seen = now

@@ -13,9 +13,9 @@ each class goes on.  It leaves
 Documents that share a tile are compared only within neighbouring size bands (a
 band spans a factor of 1 / threshold, so similar sets lie in one band or in two neighbours).
 The first round verifies, as far as the bitmaps allow a link, the documents of a tile against its smallest id and
-joins what is linked; tiles within one component are done.  Later rounds compare the
-bitmaps of the others' open pairs, in units of bounded size, and verify a spanning forest of the
-pairs that the bound lets pass, until no open pair is left.  So a group of many
+joins what is linked; tiles within one component are done.  The later rounds compare the
+bitmaps of the others' open pairs, in units of bounded size: the second round verifies a spanning forest of the
+pairs that the bound lets pass, the third all open pairs of the tiles where the forest was wrong.  So a group of many
 near copies costs links in its size, not its square, and no link between
 components is lost.  Verification intersects sorted arrays; it alone decides.
 """
@@ -131,8 +131,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, found binary")
 
 
-def open_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes], side: np.ndarray, refuted: set, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs across components that the bitmap bound lets pass.
+def open_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes], side: np.ndarray, refuted: set, percent: int, spanning: bool) -> list[tuple[int, int]]:
+    """Pairs across components that the bitmap bound lets pass: a spanning forest of them, or all.
 
     ``side`` 0 pairs with 1, and 2 with 2; ``refuted`` pairs are left out.
     """
@@ -163,10 +163,11 @@ def open_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list
         for j in fit[may_link(n[fit], n[i], apart, percent)].tolist():
             a, b = sorted((int(ids[i]), int(ids[j])))
             x, y = find(int(root[i])), find(int(root[j]))
-            if x != y and (a, b) not in refuted:
-                parent[max(x, y)] = min(x, y)
+            if (x != y or not spanning) and (a, b) not in refuted:
                 out.append((a, b))
-                grown = True
+                if spanning:
+                    parent[max(x, y)] = min(x, y)
+                    grown = True
         if grown:
             label = np.array([find(r) for r in range(len(names))])[root]
     return out
@@ -234,29 +235,26 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit:
     crowd = members.where("m > 2")  # in a tile of two the one pair has been looked at
     busy = first.select(F.col("a").alias("doc_id")).union(first.select("b")).union(crowd.select("doc_id")).distinct()
     sets = scratch_table(_sets(docs, busy), "tile-sets")
-    all_tested = [scratch_table(verify(first, sets, percent), "links-tested")]
+    tested = scratch_table(verify(first, sets, percent), "links-tested")
 
     unit_key = ["key", "band", "x", "y", "kind"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, unit_key):
             ids, n, component, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "component", "side"))
             refuted = {(a, b) for a, others in zip(ids.tolist(), table.column("refuted").to_pylist(), strict=True) for b in others or ()}
-            found = open_pairs(ids, n, component, table.column("bits").to_pylist(), side, refuted, percent)
+            found = open_pairs(ids, n, component, table.column("bits").to_pylist(), side, refuted, percent, spanning)
             if found:
                 a, b = zip(*found, strict=True)
                 yield arrow_rows({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
-    while True:
-        tested = all_tested[0]
-        for more in all_tested[1:]:
-            tested = tested.union(more)
+    def open_round(tested: DataFrame, tiles: DataFrame | None, spanning: bool) -> DataFrame:
+        """Pairs still open after ``tested`` (in some ``tiles`` only), verified."""
         links = tested.where("same").select("a", "b")
-        labelled = crowd.join(_components(crowd.select("doc_id").distinct(), links), "doc_id")
+        rows = crowd if tiles is None else crowd.join(tiles, "key", "left_semi")
+        labelled = rows.join(_components(rows.select("doc_id").distinct(), links), "doc_id")
         still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         left = scratch_table(labelled.join(still, "key").drop("centre").withColumn("blocks", F.ceil(F.col("m") / unit)), "tiles-open")
-        if left.isEmpty():
-            return links
         # a document's refuted partners travel with it, under the smaller id
         no = tested.where("not same").groupBy(F.least("a", "b").alias("doc_id")).agg(F.collect_set(F.greatest("a", "b")).alias("refuted"))
         mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("mine")
@@ -274,12 +272,23 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit:
         units = within.union(lower).union(upper)
         alive = units.groupBy(*unit_key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("s"), F.max("side").alias("t"))
         alive = alive.where("lo < hi and (s < t or t = 2)").select(*unit_key)
-        rows = units.join(alive, unit_key).join(reps.select("doc_id", "bits"), "doc_id").join(no, "doc_id", "left")
-        dealt = rows.repartition(*unit_key).sortWithinPartitions(*unit_key, "doc_id")
-        pairs = scratch_table(dealt.mapInArrow(compare, "a long, b long").distinct(), "pairs-open")
-        if pairs.isEmpty():
-            return links
-        all_tested.append(scratch_table(verify(pairs, sets, percent), "links-tested"))
+        met = units.join(alive, unit_key).join(reps.select("doc_id", "bits"), "doc_id").join(no, "doc_id", "left")
+        dealt = met.repartition(*unit_key).sortWithinPartitions(*unit_key, "doc_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return compare(batches, spanning)
+
+        pairs = scratch_table(dealt.mapInArrow(run, "a long, b long").distinct(), "pairs-open")
+        return scratch_table(verify(pairs, sets, percent), "links-tested")
+
+    second = open_round(tested, None, True)
+    tested = tested.union(second)
+    # only where a pair of a forest was refuted can a pair that the forest made needless be open still
+    wrong = second.where("not same")
+    if not wrong.isEmpty():
+        touched = wrong.select(F.col("a").alias("doc_id")).union(wrong.select("b")).distinct()
+        tested = tested.union(open_round(tested, crowd.join(touched, "doc_id", "left_semi").select("key").distinct(), False))
+    return tested.where("same").select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
