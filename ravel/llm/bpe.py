@@ -25,9 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from ravel.llm.chunks import ChunkEncoder, Numbering, gather
+from ravel.llm.chunks import ChunkEncoder
 from ravel.llm.common import slices, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -93,7 +93,7 @@ class BytePairEncoder:
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         two = (self.single[:, None].astype(np.int64) << 20 | self.single[None, :]).ravel()
         self.byte_pairs = self.pair_ranks(two).reshape(256, 256)
-        self.cache = ChunkEncoder(self.encode_chunks)
+        self.texts = ChunkEncoder(lambda distinct: self.merge([p.encode() for p in distinct]), self.pattern.findall)
 
     def pair_ranks(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -184,28 +184,9 @@ class BytePairEncoder:
             touched[at] = False
         return ids[:n][alive], np.bincount(owner[alive], minlength=len(pieces))
 
-    def encode_chunks(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks: cut by the pattern, equal pre-tokens merged once."""
-        number, rows, per_chunk = Numbering(), [], []
-        for chunk in distinct:
-            body = chunk[1:] if chunk[0] == " " else chunk
-            if body.isalpha():  # letters only: one pre-token
-                found = (chunk,)
-            elif body[:-1].isalpha() and not (body[-1].isalnum() or body[-1].isspace()):
-                found = (chunk[:-1], body[-1])
-            else:
-                found = self.pattern.findall(chunk)
-            per_chunk.append(len(found))
-            rows.extend(map(number.__getitem__, found))
-        flat, size = self.merge([p.encode() for p in number])
-        ids, n = gather(flat, np.cumsum(size) - size, size, np.array(rows, np.int64))
-        ends = np.concatenate([[0], np.cumsum(n)])
-        border = np.concatenate([[0], np.cumsum(per_chunk)])
-        return ids, ends[border[1:]] - ends[border[:-1]]
-
     def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids."""
-        return self.cache.encode(many)
+        return self.texts.encode(many)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -235,8 +216,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*names, ids_col]
             )
 
-    schema = source.schema.add(ids_col, ArrayType(IntegerType()))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -251,7 +231,7 @@ def decode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             body = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(body, pa.binary())], names=[*names, bytes_col])
 
-    return source.mapInArrow(run, source.schema.add(bytes_col, "binary"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(bytes_col, BinaryType())]))
 
 
 def encoding_digests(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ chunks encoded once.  All other white space stays inside a chunk.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import islice
 
 import numpy as np
@@ -44,36 +44,75 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.nda
     return flat[at], n
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk; ids of distinct chunks are kept up to ``limit`` chunks, then forgotten.
+class Remembered:
+    """Ids of strings, each encoded once while it is remembered.
 
-    ``encode_distinct`` gets distinct chunks and returns their ids one after
-    another and each chunk's number of ids.
+    Past ``limit`` strings, those seen only once since the last time are forgotten,
+    and if that is not enough all of them, so memory is bounded and frequent strings stay.
+    ``encode_distinct`` gets distinct strings and returns their ids one after
+    another and each one's number of ids.
     """
 
-    def __init__(self, encode_distinct: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode_distinct: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
         self.encode_distinct, self.limit = encode_distinct, limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.number, self.flat, self.sizes = Numbering(), np.empty(0, np.int32), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and each text's number of ids."""
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        number = Numbering()
+        if len(rows):
+            keys = list(self.number)
+            number.update((keys[r], i) for i, r in enumerate(rows.tolist()))
+            self.flat, self.sizes = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, rows)
+        else:
+            self.flat, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.number, self.seen = number, np.zeros(len(number), np.int64)
+
+    def __call__(self, lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings of all lists one after another, and each list's number of ids."""
         if len(self.number) > self.limit:
-            self.forget()
+            often = np.flatnonzero(self.seen > 1)
+            self._keep(often if len(often) < self.limit // 2 else often[:0])
         known = len(self.number)
-        per_text, rows = [], []
-        for text in texts:
-            parts = chunks(text)
-            per_text.append(len(parts))
-            rows.extend(map(self.number.__getitem__, parts))
+        per_list, rows = [], []
+        for strings in lists:
+            per_list.append(len(strings))
+            rows.extend(map(self.number.__getitem__, strings))
         if not rows:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.empty(0, np.int32), np.zeros(len(per_list), np.int64)
         if len(self.number) > known:
             flat, sizes = self.encode_distinct(list(islice(reversed(self.number), len(self.number) - known))[::-1])
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-        ids, n = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, np.array(rows, np.int64))
+        at = np.array(rows, np.int64)
+        seen = np.bincount(at, minlength=len(self.number))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        ids, n = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, at)
         ends = np.concatenate([[0], np.cumsum(n)])
-        border = np.concatenate([[0], np.cumsum(per_text)])
+        border = np.concatenate([[0], np.cumsum(per_list)])
         return ids, ends[border[1:]] - ends[border[:-1]]
+
+
+def pieces(chunk: str) -> tuple[str, ...] | None:
+    """The pre-tokens of a chunk that is a word, or a word and one sign; None for other chunks."""
+    body = chunk[1:] if chunk[0] == " " else chunk
+    if body.isalpha():
+        return (chunk,)
+    if body[:-1].isalpha() and not (body[-1].isalnum() or body[-1].isspace()):
+        return (chunk[:-1], body[-1])
+    return None
+
+
+class ChunkEncoder:
+    """Encodes texts chunk by chunk and chunks piece by piece, remembering both.
+
+    ``encode_distinct`` encodes distinct pieces (see :class:`Remembered`);
+    ``cut`` cuts a chunk that is not simply a word into pieces.
+    """
+
+    def __init__(self, encode_distinct: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], list[str]], limit: int = 600_000):
+        words = Remembered(encode_distinct, limit)
+        self.chunks = Remembered(lambda distinct: words([pieces(c) or cut(c) for c in distinct]), limit)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and each text's number of ids."""
+        return self.chunks([chunks(t) for t in texts])

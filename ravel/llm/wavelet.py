@@ -37,6 +37,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 PARTITION_CHARS = 24 << 20
 SLICE = 6 << 20
+JOINED = 64
 _MAGIC = b"WVM1"
 _BLOCK = 512
 _HEAD = struct.Struct("<4sIIIQ")
@@ -182,13 +183,23 @@ def _library(path: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    # a special token cuts a text before anything else, so pieces joined by one are encoded as if alone
+    special = next(((i, t.content) for i, t in library.get_added_tokens_decoder().items() if t.special), None)
 
-    def encode(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in library.encode_batch_fast(distinct, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+    def one_by_one(distinct: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in library.encode_batch_fast(distinct, add_special_tokens=False)]
 
-    return ChunkEncoder(encode)
+    def encode(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if special is None or any(special[1] in piece for piece in distinct):
+            found = one_by_one(distinct)
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        found = one_by_one([special[1].join(distinct[i : i + JOINED]) for i in range(0, len(distinct), JOINED)])
+        border = np.array([special[0]], np.int32)
+        flat = np.concatenate([x for ids in found for x in (ids, border)])
+        cuts = np.flatnonzero(flat == special[0])
+        return flat[flat != special[0]], np.diff(cuts, prepend=-1) - 1
+
+    return ChunkEncoder(encode, lambda chunk: [chunk])
 
 
 def write_token_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partition_chars: int = PARTITION_CHARS) -> None:
