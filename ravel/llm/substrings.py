@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ravel.llm.common import arrow_rows, slices, text_bytes
 
 MIN_WORDS = 20
+SLICE = 1 << 20
 WINDOW, APART, WIDE, LONGEST = 16, 8, 256, 1024
 _BORDER_BITS = 5
 _GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -69,7 +70,7 @@ _CHUNKS = "h1 long, h2 long, doc_id long, start int, size int, words int"
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """Every chunk of every row: digest, doc_id, first code point, code points, words begun."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             digests, ids, starts, sizes, words = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 if not text:
@@ -109,30 +110,30 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per_doc = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     # two documents hold a chunk exactly when its smallest and its largest doc_id differ
     repeated = per_doc.where("owner < last").select("h1", "h2", "owner")
-    held = chunks.join(repeated, ["h1", "h2"]).select("doc_id", F.struct("start", "size", "words", "owner").alias("c"))
-    lists = held.groupBy("doc_id").agg(F.collect_list("c").alias("c"))
+    held = chunks.join(repeated, ["h1", "h2"]).select("doc_id", "start", "size", "words", "owner")
+    # a document's chunks come in order, so a run is followed from batch to batch without gathering it
+    dealt = held.repartition("doc_id").sortWithinPartitions("doc_id", "start")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = np.empty((6, 0), np.int64)  # the last run, which may go on: doc, start, end, words, words lost, owner
         for batch in batches:
-            items = batch.column("c")
-            flat = items.flatten()
-            size = np.diff(items.offsets.to_numpy())
-            doc = np.repeat(batch.column("doc_id").to_numpy(), size)
-            start, chars, words, owner = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "size", "words", "owner"))
-            order = np.lexsort((start, doc))
-            doc, start, chars, words, owner = (x[order] for x in (doc, start, chars, words, owner))
-            if not len(doc):
+            if not batch.num_rows:
                 continue
-            first = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + chars[:-1]))
+            doc, start, size, words, owner = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "size", "words", "owner"))
+            rows = np.stack([doc, start, start + size, words, np.where(owner != doc, words, 0), owner])
+            rows = np.concatenate([pending, rows], axis=1)
+            first = np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] > rows[2, :-1]))
             at = np.flatnonzero(first)
-            total = np.add.reduceat(words, at)
-            lost = np.add.reduceat(np.where(owner != doc, words, 0), at)
-            end = np.append(at[1:], len(doc)) - 1
-            keep = total >= min_words
-            columns = (doc[at], start[at], start[end] + chars[end], total, lost, np.minimum.reduceat(owner, at))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[keep], pa.int64()) for x in columns), pa.array((lost > 0)[keep], pa.bool_())],
-                names=["doc_id", "start", "end", "n_words", "n_words_dropped", "owner_id", "dropped"],
-            )
-
-    return lists.mapInArrow(runs, "doc_id long, start long, end long, n_words long, n_words_dropped long, owner_id long, dropped boolean")
+            whole = np.stack([rows[0, at], rows[1, at], np.maximum.reduceat(rows[2], at), np.add.reduceat(rows[3], at),
+                              np.add.reduceat(rows[4], at), np.minimum.reduceat(rows[5], at)])
+            pending = whole[:, -1:]
+            yield from spans(whole[:, :-1])
+        yield from spans(pending)
+
+    def spans(whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = whole[:, whole[3] >= min_words]
+        if kept.shape[1]:
+            names = ["doc_id", "start", "end", "n_words", "n_words_dropped", "owner_id", "dropped"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in kept), pa.array(kept[4] > 0, pa.bool_())], names=names)
+
+    return dealt.mapInArrow(runs, "doc_id long, start long, end long, n_words long, n_words_dropped long, owner_id long, dropped boolean")
