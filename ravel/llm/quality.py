@@ -60,38 +60,40 @@ def token_slots(text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys // SHAPES, WORDS + keys % SHAPES
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the sparse index vector of every slot; fixed by the seed."""
+def index_vectors() -> np.ndarray:
+    """The sparse ternary index vector of every slot: NONZERO entries of +-1; fixed by the seed."""
     rng = np.random.default_rng(20_24)
     at = np.argsort(rng.random((SLOTS, DIM)), axis=1)[:, :NONZERO]
-    return at.astype(np.int64), rng.choice(np.array([-1, 1]), (SLOTS, NONZERO)).astype(np.float64)
+    out = np.zeros((SLOTS, DIM), np.float32)
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), (SLOTS, NONZERO)), 1)
+    return out
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Context vectors of all slots over all documents, rows scaled to length one (untouched rows are zero)."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sign = index_vectors()
-        table, used = np.zeros(SLOTS * DIM), False
+        index = np.concatenate([index_vectors(), np.zeros((1, DIM), np.float32)])  # the last row is no token
+        table, used = np.zeros((SLOTS, DIM)), False
         for batch in slices(batches, "text"):
             runs = [token_slots(t) for t in texts(batch.column("text"))]
-            sizes = np.array([len(w) for w, _ in runs])
-            if not sizes.sum():
+            if not any(len(w) for w, _ in runs):
                 continue
             used = True
-            words, shapes = (np.concatenate(x) for x in zip(*runs, strict=True))
-            doc = np.repeat(np.arange(len(runs)), sizes)
-            own = (words, shapes)
+            gap = np.full(WINDOW, SLOTS)  # so that no window reaches into the next document
+            words = np.concatenate([gap, *(x for w, _ in runs for x in (w, gap))])
+            shapes = np.concatenate([gap, *(x for _, s in runs for x in (s, gap))])
+            own = index[words] + index[shapes]
+            around = np.zeros_like(own)
             for off in range(1, WINDOW + 1):
-                same = np.flatnonzero(doc[:-off] == doc[off:])
-                for left in own:
-                    a = left[same]
-                    for right in own:
-                        b = right[same + off]
-                        for x, y in ((a, b), (b, a)):
-                            cells = (x[:, None] * DIM + at[y]).ravel()
-                            table += np.bincount(cells, weights=sign[y].ravel(), minlength=SLOTS * DIM)
+                around[off:] += own[:-off]
+                around[:-off] += own[off:]
+            for slots in (words, shapes):
+                order = np.argsort(slots.astype(np.uint16), kind="stable")
+                kinds, first = np.unique(slots[order], return_index=True)
+                sums = np.add.reduceat(around[order], first, axis=0)
+                table[kinds[kinds < SLOTS]] += sums[kinds < SLOTS]
         if used:
-            for part, piece in enumerate(np.array_split(table.astype(np.float32).reshape(SLOTS, DIM), PARTS)):
+            for part, piece in enumerate(np.array_split(table.astype(np.float32), PARTS)):
                 yield arrow_rows({"part": ([part], pa.int32()), "body": ([zlib.compress(piece.tobytes(), 1)], pa.binary())})
 
     def add(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
