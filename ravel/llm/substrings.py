@@ -1,15 +1,18 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the text's UTF-8 bytes proposes a border where its top
-five bits are zero (one byte in 32 on average).  The hash sees the last
-``WINDOW`` bytes only, and a border counts unless another proposal lies within
-``APART`` bytes before it; both rules look at nearby bytes alone, so an insertion
-moves the borders around it and no others.  Stretches of more than ``WIDE`` bytes without a
-border (one word over and over, say) are cut after each space, and every ``LONGEST`` bytes.  Chunks are deduplicated by 128-bit digest.
+Borders lie at beginnings of words, chosen by winnowing: every word has a hash of itself and
+the word before it, and of each ``WINDOW`` words in a row the one with the smallest hash (the
+last of equal ones) begins a chunk.  Only words nearby decide, so an insertion moves the
+borders around it and no others.  Chunks of more than ``LONGEST`` bytes are cut there.  Chunks
+are deduplicated by 128-bit digest of the chunk or, where it is shorter, the ``ANCHOR`` words from
+its beginning, as single words are found anywhere.
 
 A span is a run of neighbouring chunks that other documents hold as well, of at least
-``MIN_WORDS`` words.  A repeated passage of more than 50 words loses less than a
-chunk at either end, so its span stays above that.  Each chunk belongs to the
+``MIN_WORDS`` words.  A repeated passage of n whole words has its first common border among its
+first ``WINDOW`` + 1 words and its last among its last ``WINDOW``, whatever stands around it, and
+the same borders between; so its span has n - 2 ``WINDOW`` words at least, and none of more than
+50 words (48 and more whole ones, as words may be cut at its ends) falls below ``MIN_WORDS``.
+At either end a span may lack up to ``WINDOW`` words of the passage.  Each chunk belongs to the
 smallest doc_id that holds it; a span is dropped where its chunks belong to others.
 """
 
@@ -23,36 +26,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravel.llm.common import arrow_rows, slices, text_bytes
+from ravel.llm.common import arrow_rows, mix64, slices, text_bytes
 
 MIN_WORDS = 20
 SLICE = 1 << 20
-WINDOW, APART, WIDE, LONGEST = 16, 8, 256, 1024
-_BORDER_BITS = 5
-_GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256, dtype=np.uint16)
+WINDOW, ANCHOR, LONGEST = 12, 5, 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def word_begins(raw: np.ndarray) -> np.ndarray:
+    space = _SPACE[raw]
+    return np.flatnonzero(~space & np.append(True, space[:-1]))
+
+
 def borders(raw: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a text's bytes, the last one at its end."""
     n = len(raw)
     if not n:
         return np.empty(0, np.int64)
-    h = _GEAR[raw]
-    for step in (1, 2, 4, 8):  # 16-bit gear hash: after the doublings each value covers the last 16 bytes
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint16(step) if step < n else np.empty(0, np.uint16)
-        h = more
-    ends = np.flatnonzero(h[WINDOW - 1 :] >> np.uint16(16 - _BORDER_BITS) == 0) + WINDOW
-    ends = ends[ends < n]
-    ends = ends[(raw[ends] & 0xC0) != 0x80]  # not within a character
-    ends = ends[np.diff(ends, prepend=-APART) >= APART]
-    whole = np.concatenate([[0], ends, [n]])
-    gaps = np.flatnonzero(np.diff(whole) > WIDE)
-    if len(gaps):
-        words = [np.flatnonzero(_SPACE[raw[whole[g] : whole[g + 1] - 1]]) + whole[g] + 1 for g in gaps]
-        whole = np.union1d(whole, np.concatenate(words))
+    begins = word_begins(raw)
+    whole = np.array([0, n])
+    if len(begins) > WINDOW:
+        space = _SPACE[raw]
+        ends = np.flatnonzero(~space & np.append(space[1:], True))
+        size = ends - begins + 1
+        # a word counts by its last eight bytes and its size; equal hashes only make more borders
+        last = np.lib.stride_tricks.sliding_window_view(np.append(np.zeros(7, np.uint8), raw), 8)[ends].view("<u8")[:, 0]
+        word = mix64((last >> (8 * (8 - np.minimum(size, 8))).astype(np.uint64)) + mix64(size))
+        least = mix64(word[:-1] * np.uint64(3) + word[1:])
+        at = np.arange(1, len(begins))
+        for step in (1, 2, 4, WINDOW - 8):  # after the doublings the smallest of 8 words, then of WINDOW
+            later = least[step:] <= least[:-step]
+            least = np.where(later, least[step:], least[:-step])
+            at = np.where(later, at[step:], at[:-step])
+        whole = np.union1d(whole, begins[at])
     gaps = np.flatnonzero(np.diff(whole) > LONGEST)
     if len(gaps):
         extra = np.concatenate([np.arange(whole[g] + LONGEST, whole[g + 1], LONGEST) for g in gaps])
@@ -64,6 +72,17 @@ def borders(raw: np.ndarray) -> np.ndarray:
     return whole[1:]
 
 
+def keyed_chunks(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of a text's chunks: the border before each and the end, digests, and words begun before each border."""
+    raw = np.frombuffer(text, np.uint8)
+    cuts = np.append(0, borders(raw))
+    begins = word_begins(raw)
+    begun = np.searchsorted(begins, cuts)
+    reach = np.append(begins, len(raw))[np.minimum(begun[:-1] + ANCHOR, len(begins))]
+    ends = np.maximum(cuts[1:], np.minimum(reach, cuts[:-1] + LONGEST))
+    return cuts, [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(cuts[:-1].tolist(), ends.tolist(), strict=True)], begun
+
+
 _CHUNKS = "h1 long, h2 long, doc_id long, start int, size int, words int"
 
 
@@ -75,14 +94,10 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 if not text:
                     continue
-                raw = np.frombuffer(text, np.uint8)
-                ends = borders(raw)
-                cuts = [0, *ends.tolist()]
-                digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[cuts]
-                space = _SPACE[raw]
-                begun = np.concatenate([[0], np.cumsum(~space & np.append(True, space[:-1]))])[cuts]
-                ids.append(np.full(len(ends), doc if doc is not None else -1, np.int64))
+                cuts, keys, begun = keyed_chunks(text)
+                digests += keys
+                points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[cuts]
+                ids.append(np.full(len(keys), doc if doc is not None else -1, np.int64))
                 starts.append(points[:-1])
                 sizes.append(np.diff(points))
                 words.append(np.diff(begun))
