@@ -722,15 +722,14 @@ def q_read_text_blob(spark, sf):
 
 @register("read_json_records")
 def q_read_json_records(spark, sf):
-    """Turns as JSON arrays, a file for each thousand conversation ids, read back."""
+    """Turns as JSON arrays of bounded size, a folder for each thousand conversation ids, read back."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     path = scratch_path(spark, "json-arrays")
-    turn = F.struct("conv_id", "turn", "role", "text")
-    arrays = T(spark, sf, "conversations").groupBy(F.floor(F.col("conv_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(turn)).alias("value"))
-    arrays.write.partitionBy("part").text(path)
+    turns = T(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    IO.write_json_arrays(turns, path, F.floor(F.col("conv_id") / 1000))
     schema = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("role", StringType()), StructField("text", StringType())])
-    return IO.read_json_records(spark, f"{path}/part=*", schema)
+    return IO.read_json_records(spark, f"{path}/part=*/block=*", schema)
 
 
 @register("read_dataset")

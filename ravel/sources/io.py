@@ -7,7 +7,7 @@ CSV) are not reproduced.  Schemas are always given explicitly on read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +47,22 @@ def write_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
         w.parquet(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, part: Column, rows: int = 10_000, size: int = 8 << 20) -> None:
+    """JSON arrays of objects, one in each file ``part=*/block=*/*``, for :func:`read_json_records`.
+
+    A part is dealt over as many blocks as leave about ``rows`` rows and ``size``
+    bytes to an array at most (one row at least), so the files of a large part, a
+    null one or one of equal rows grow in number and not in size.
+    """
+    values = df.select(part.alias("part"), F.to_json(F.struct(*df.columns)).alias("value"),
+                       F.xxhash64(F.monotonically_increasing_id()).alias("dealt"))  # equal rows are dealt too
+    needed = F.greatest(F.count(F.lit(1)) / rows, F.sum(F.octet_length("value")) / size)
+    blocks = values.groupBy(F.col("part").alias("of")).agg(F.ceil(needed).alias("blocks"))
+    dealt = values.join(blocks, F.col("part").eqNullSafe(F.col("of"))).withColumn("block", F.expr("pmod(dealt, blocks)"))
+    arrays = dealt.groupBy("part", "block").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part", "block").text(path)
+
+
 def write_with_rejects(df: DataFrame, path: str, decision: str = "decision", fmt: str = "parquet") -> None:
     """Kept and rejected rows in one pass: one sub-folder per decision value."""
     w = df.write.mode("overwrite").partitionBy(decision)
