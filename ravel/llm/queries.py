@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravel.llm import bpe, decontam, jaccard, lines, quality, secrets, substrings, toxicity, vectors, wavelet
+from ravel.llm import archives, bpe, decontam, jaccard, lines, quality, secrets, substrings, toxicity, turns, vectors, wavelet, whitening
 from ravel.session import scratch_path
 
 
@@ -58,8 +58,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(bpe.encode_documents(docs.select("doc_id", "text")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "archives")
+    archives.write_archives(table(spark, sf_dir, "pages"), out)
+    records = archives.read_records(archives.read_index(spark, out), out, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_token_shards,
-    op6_toxicity, op7_decontamination, op8_secret_scan, op9_near_vectors, op10_byte_bpe,
+    op6_toxicity, op7_decontamination, op8_secret_scan, op9_near_vectors, op10_byte_bpe, op11_whitening, op12_warc,
+    op13_conversation_trie,
 )}
-ORACLE = {"op1_line_dedup": lines.LINE_DIGESTS_SQL, "op4_jaccard_join": jaccard.GROUPS_SQL, "op7_decontamination": decontam.CONTAMINATED_SQL, "op9_near_vectors": vectors.NEAR_SQL}
+ORACLE = {
+    "op1_line_dedup": lines.LINE_DIGESTS_SQL, "op4_jaccard_join": jaccard.GROUPS_SQL, "op7_decontamination": decontam.CONTAMINATED_SQL, "op9_near_vectors": vectors.NEAR_SQL,
+    "op12_warc": archives.ARCHIVES_SQL, "op13_conversation_trie": turns.TRIE_SQL,
+}
