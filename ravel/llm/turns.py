@@ -51,7 +51,7 @@ def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(conv, depth, d1, d2, bytes, last)`` of every rebuilt turn, and ``(conv, len)`` of every rebuilt conversation."""
     source = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    slim = source.mapInArrow(_digests, "conv long, turn long, d1 long, d2 long, bytes long").withColumn("u", F.monotonically_increasing_id())
+    slim = scratch_table(source.mapInArrow(_digests, "conv long, turn long, d1 long, d2 long, bytes long"), "trie-digests").withColumn("u", F.monotonically_increasing_id())
     # places come from one order over all rows, so a conversation with very many turns is no single task
     ranked = global_rank(slim, ["conv", "turn", "d1", "d2", "u"], "rank").select("conv", "rank", "d1", "d2", "bytes")
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % (LONGEST + 1)
