@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle import sql as o
-from ravel.sources.fixtures import duckdb_ctes
+from ravel.sources.fixtures import duckdb_ctes, token_id
 
 ORACLE: dict[str, str] = {}
 
@@ -81,7 +81,7 @@ LAB = ("lab AS (SELECT id, input_ids, CASE WHEN coalesce(list_position(input_ids
        "CAST(list_transform(input_ids, lambda x, i: CASE WHEN i <= list_position(input_ids, 1000) THEN -100 ELSE x END) AS INTEGER[]) "
        "END AS labels FROM token_rows)")
 ORACLE["sft_examples"] = _with(("token_rows",), LAB + " SELECT id, input_ids, labels FROM lab")
-SEQS = [[len(w)] if w not in ("Let", "Now") else [3, len(w) + 1] for w in MASK_WORDS]
+SEQS = [[token_id(w)] if w not in ("Let", "Now") else [3, token_id(w)] for w in MASK_WORDS]
 
 
 def _step_mask(src: str) -> str:
@@ -162,7 +162,7 @@ ORACLE["strip_outer_tags"] = duckdb_ctes("completions") + (
     f"SELECT completion_id, {o.strip_outer_tags('split_part(content, ' + Q('</think>') + ', 1)')} AS think FROM completions")
 _TAGS = "content"
 for _t in ("think", "answer"):
-    _TAGS = f"regexp_replace({_TAGS}, {Q('</?' + _t + '(>|[^' + o.JW + '>][^>]*>)')}, '', 'gi')"
+    _TAGS = f"regexp_replace({_TAGS}, {Q('</?' + _t + '(>|' + o.NW[:-1] + '>][^>]*>)')}, '', 'gi')"
 ORACLE["strip_named_tags"] = duckdb_ctes("completions") + f"SELECT completion_id, {_TAGS} AS content FROM completions"
 ORACLE["bucket_difficulty"] = duckdb_ctes("reasoning") + (
     f"SELECT id, CASE WHEN {o.approx_tokens('think')} < 700 THEN 'easy' WHEN {o.approx_tokens('think')} < 1400 THEN 'medium' "
@@ -264,6 +264,10 @@ act AS (SELECT id, (label <> -100 AND nll >= 0.1) AS a, nll, neg_logprob_sum AS
 g AS (SELECT id, count(*) FILTER (WHERE a) AS n, sum(CASE WHEN a THEN nll * w ELSE 0.0 END) AS sn,
         sum(CASE WHEN a THEN s * w ELSE 0.0 END) AS ss FROM act GROUP BY id)
 SELECT id, n AS n_active, round(CASE WHEN n = 0 THEN 0.0 ELSE ((0.9 * sn) / n + (0.1 * ss) / (n * 10.0)) / 1.0 END, 9) AS loss FROM g""")
+ORACLE["length_sketch"] = "SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS quantile, true AS within"
+ORACLE["distinct_problem_sketch"] = _R + (
+    f"SELECT src, count(DISTINCT {o.key('problem')}) AS n_unique, true AS within FROM reasoning GROUP BY src "
+    f"UNION ALL SELECT 'all', count(DISTINCT {o.key('problem')}), true FROM reasoning")
 ORACLE["distinct_problems"] = _R + f"SELECT count(DISTINCT {o.key('problem')}) AS n_unique FROM reasoning"
 
 # ---- 2.6 windows / 2.7 ordering ----
@@ -365,7 +369,7 @@ ORACLE["reward_formula"] = duckdb_ctes(*_C) + (
     f"SELECT completion_id, CASE WHEN regexp_matches({_HDR}, {Q('(?m)^- formula ' + o.D + '+:')}) THEN 1.0 ELSE 0.0 END AS reward FROM completions")
 _LATEX = r"(?s)\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{.*?\}.*?\\end\{.*?\}"
 _LCMD = r"\\[a-zA-Z]+(?:\{[^{}]*\}|\[[^\[\]]*\])*"
-_NL = r"[\x{0400}-\x{04FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{0600}-\x{06FF}\x{0590}-\x{05FF}\x{0E00}-\x{0E7F}\x{0370}-\x{03FF}]"
+_NL = o.flagged_class()
 ORACLE["flag_script"] = duckdb_ctes(*_C) + (
     f"SELECT completion_id, CASE WHEN regexp_matches(regexp_replace(regexp_replace(coalesce(content, ''), {Q(_LATEX)}, '', 'g'), {Q(_LCMD)}, '', 'g'), "
     f"{Q(_NL)}) THEN 0.0 ELSE 1.0 END AS reward FROM completions")
@@ -442,11 +446,12 @@ def curate_sql(p: str, src: str, name: str, q_: str, a: str, think: str | None,
 
 
 CUR_R = curate_sql("ra", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
+CUR_R0 = curate_sql("ra", "reasoning", "reasoning", "problem", "response", "think", "id", correct="grade", min_tok=10)
 CUR_C = curate_sql("cb", "completions", "completions", "problem", "content", "content", "completion_id", split_think=True, max_tok=8000)
 ORACLE["curate_source"] = _with(("reasoning",), CUR_R + " SELECT * FROM ra_out")
 _ALT = ("CASE WHEN lang <> 'en' THEN concat('Aufgabe: ', problem, CASE WHEN length(problem) % 7 = 0 THEN ' Figure 3' ELSE '' END) END")
-CUR_2 = curate_sql("rb", "reasoning2", "reasoning", "problem2", "response", "think", "id", correct="grade", min_tok=10, max_tok=6000)
-ORACLE["alternate_question"] = _with(("reasoning",), f"reasoning2 AS (SELECT *, {_ALT} AS problem2 FROM reasoning)," + CUR_R + "," + CUR_2 + """,
+CUR_2 = curate_sql("rb", "reasoning2", "reasoning", "problem2", "response", "think", "id", correct="grade", min_tok=10)
+ORACLE["alternate_question"] = _with(("reasoning",), f"reasoning2 AS (SELECT *, {_ALT} AS problem2 FROM reasoning)," + CUR_R0 + "," + CUR_2 + """,
 ev AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', '3407', CAST(id AS VARCHAR))), id) AS rk, a.problem AS p1, b.problem AS p2
    FROM (SELECT row_id AS id FROM ra_out UNION SELECT row_id FROM rb_out) i LEFT JOIN ra_out a ON a.row_id = i.id LEFT JOIN rb_out b ON b.row_id = i.id),
 walk AS (SELECT 1 AS rk, 0 AS parity UNION ALL
@@ -454,7 +459,7 @@ walk AS (SELECT 1 AS rk, 0 AS parity UNION ALL
    FROM walk w JOIN ev e ON e.rk = w.rk)
 SELECT e.id AS row_id, CASE WHEN w.parity = 0 THEN p1 ELSE p2 END AS problem FROM ev e JOIN walk w ON w.rk = e.rk
 WHERE CASE WHEN w.parity = 0 THEN p1 ELSE p2 END IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1)
-ORACLE["write_records"] = ORACLE["curate_source"]
+ORACLE["write_records"] = _with(("reasoning",), CUR_R0 + " SELECT * FROM ra_out")
 ORACLE["build_corpus"] = _with(("completions",), CUR_R + "," + CUR_C + " SELECT * FROM ra_out UNION ALL SELECT * FROM cb_out")
 ORACLE["build_test_set"] = _with(("reasoning",), curate_sql("ts", "reasoning", "test", "problem", "response", None, "id", signal="So ")
                                  + " SELECT * FROM ts_out")
@@ -489,6 +494,7 @@ ORACLE["read_jsonl"] = _R + "SELECT id, problem, answer, grade FROM reasoning"
 ORACLE["read_text_blob"] = "SELECT CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents"
 ORACLE["read_json_records"] = "SELECT conv_id, turn, role, text FROM conversations"
 ORACLE["read_dataset"] = _R + "SELECT id, problem FROM reasoning WHERE lang = 'en'"
+ORACLE["stream_dataset"] = ORACLE["read_dataset"]
 ORACLE["write_jsonl_with_summary"] = duckdb_ctes("answer_pairs", "verdicts") + (
     f'SELECT count(*) FILTER (WHERE eq = true) AS "true", count(*) FILTER (WHERE eq = false) AS "false" FROM '
     f"(SELECT {o.parse_verdict('v.verdict_text')} AS eq FROM answer_pairs a LEFT JOIN verdicts v ON v.id = a.id)")
@@ -506,3 +512,8 @@ ORACLE["stream_topk"] = ORACLE["topk_rewards"]
 ORACLE["stream_best_step"] = ORACLE["best_step"]
 ORACLE["stream_curate"] = _with(("reasoning",), CUR_R + f" SELECT DISTINCT md5({o.key('problem')}) AS key_md5 FROM ra_out")
 ORACLE["stream_dedup"] = _R + f"SELECT DISTINCT md5({o.key('problem')}) AS key_md5 FROM reasoning"
+
+# answers are read by a recursive CTE
+for _name, _sql in list(ORACLE.items()):
+    if "UNION ALL SELECT s, lane, substr(" in _sql and not _sql.startswith("WITH RECURSIVE "):
+        ORACLE[_name] = _sql.replace("WITH ", "WITH RECURSIVE ", 1)

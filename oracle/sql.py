@@ -8,6 +8,10 @@ Spark code.
 
 from __future__ import annotations
 
+import unicodedata
+
+from ravel.params import FLAGGED_SCRIPTS
+
 # Python's str.isspace() set.
 WS = r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 W = r"[\pL\pN_]"
@@ -163,18 +167,68 @@ def numeric(x: str) -> str:
             f"WHEN regexp_full_match({x}, {q(slash)}) THEN {ratio(f'regexp_extract({x}, {q(slash)}, 1)', f'regexp_extract({x}, {q(slash)}, 2)')} END)")
 
 
+NUMBER = r"~?[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?"
+LANES = (1, 2)
+
+
+def expression_ctes(src: str, out: str) -> str:
+    """CTEs up to ``{out}v`` (s, v1, v2): values of the expressions among the canonical answers at two real points.
+
+    Found by rewriting text: letters become numbers, products are spelled out, and then the first
+    innermost bracket is worked off, one operation a step, until a number is left (``~`` is a sign).
+    """
+    cols = ("pa_c", "ga_c", "pf_c", "gf_c")
+    bare = f"regexp_replace(s, {q(r'\\[A-Za-z]+')}, ' ', 'g')"
+    frac = q(r"\\frac\{([^{}]*)\}\{([^{}]*)\}")
+    t = f"regexp_replace(regexp_replace(s, {frac}, {q(r'((\1)/(\2))')}, 'g'), {frac}, {q(r'((\1)/(\2))')}, 'g')"
+    t = f"regexp_replace(regexp_replace({t}, {q(r'[\[{]')}, '(', 'g'), {q(r'[\]}]')}, ')', 'g')"
+    t = f"regexp_replace({t}, {q(r'\\(sin|cos)([a-z])')}, {q(r'\\\1(\2)')}, 'g')"
+    for name, sign in (("sin", "§"), ("cos", "¢"), ("sqrt", "¤"), ("cdot", "*"), ("times", "*"), ("pi", "(3.141592653589793)")):
+        t = f"replace({t}, {q(chr(92) + name)}, {q(sign)})"
+    t = f"regexp_replace({t}, {q(r'(^|[(*/+^-])-')}, {q(r'\1(0-1)*')}, 'g')"
+    letter = "CASE WHEN c = 'e' THEN '(2.718281828459045)' WHEN regexp_matches(c, '[A-Za-z]') THEN printf('(%.4f)', 0.5 + ((ascii(c) * 7919 * lane + 1729) % 1000) / 700.0) ELSE c END"
+    t = f"array_to_string(list_transform(string_split({t}, ''), lambda c: {letter}), '')"
+    times = q(r"([0-9)])([(§¢¤])")
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, {times}, {q(r'\1*\2')}, 'g'), {times}, {q(r'\1*\2')}, 'g'), {q(r'(\))([0-9])')}, {q(r'\1*\2')}, 'g')"
+    inner = q(r"([§¢¤]?)\(([^()]*)\)")
+    num = lambda x: f"TRY_CAST(replace({x}, '~', '-') AS DOUBLE)"
+    signed = lambda v: f"(CASE WHEN {v} < 0 THEN '~' ELSE '' END || CAST(abs({v}) AS VARCHAR))"
+
+    def reduced(pattern: str, value: str) -> str:
+        m = f"regexp_extract(c, {q(pattern)}, ['a', 'x', 'o', 'y', 'z'])"
+        return f"(SELECT m.a || {signed('v')} || m.z FROM (SELECT m, {value} AS v FROM (SELECT {m} AS m)))"
+
+    power, product, total = rf"^(|.*[-+*/^])({NUMBER})(\^)({NUMBER})(.*)$", rf"^(|.*?[-+*/])({NUMBER})([*/])({NUMBER})(.*)$", rf"^()({NUMBER})([-+])({NUMBER})(.*)$"
+    x, y = num("m.x"), num("m.y")
+    step = f"""CASE WHEN regexp_full_match(c, {q(NUMBER)}) THEN (SELECT {signed('v')} FROM (SELECT CASE f WHEN '§' THEN sin({num('c')}) WHEN '¢' THEN cos({num('c')}) WHEN '¤' THEN sqrt({num('c')}) ELSE {num('c')} END AS v))
+      WHEN regexp_matches(c, {q(power)}) THEN f || '(' || {reduced(power, f'pow({x}, {y})')} || ')'
+      WHEN regexp_matches(c, {q(product)}) THEN f || '(' || {reduced(product, f"CASE WHEN m.o = '*' THEN {x} * {y} ELSE {x} / {y} END")} || ')'
+      WHEN regexp_matches(c, {q(total)}) THEN f || '(' || {reduced(total, f"CASE WHEN m.o = '+' THEN {x} + {y} ELSE {x} - {y} END")} || ')' END"""
+    return f"""
+{out}t AS MATERIALIZED (SELECT s, lane, '(' || {t} || ')' AS e FROM (SELECT DISTINCT s FROM ({' UNION ALL '.join(f'SELECT {c} AS s FROM {src}' for c in cols)})), (SELECT unnest({list(LANES)}) AS lane)
+  WHERE regexp_full_match(s, {q(r'[-A-Za-z0-9.+*/^(){}\[\]\\]+')}) AND NOT regexp_matches({bare}, '[A-Za-z]{{3}}')),
+{out}w AS (SELECT s, lane, e, 0 AS n FROM {out}t WHERE regexp_full_match(e, {q(r'[-0-9.+*/^()§¢¤]+')})
+  UNION ALL SELECT s, lane, substr(e, 1, p - 1) || r || substr(e, p + length(g)), n + 1 FROM (
+    SELECT s, lane, e, n, g, strpos(e, g) AS p, {step} AS r FROM (
+      SELECT s, lane, e, n, regexp_extract(e, {inner}, 0) AS g, regexp_extract(e, {inner}, 1) AS f, regexp_extract(e, {inner}, 2) AS c FROM {out}w WHERE contains(e, '(') AND n < 200))
+  WHERE r IS NOT NULL),
+{out}v AS MATERIALIZED (SELECT s, {', '.join(f'max(CASE WHEN lane = {k} THEN {num("e")} END) AS v{k}' for k in LANES)} FROM {out}w WHERE regexp_full_match(e, {q(NUMBER)}) GROUP BY s)"""
+
+
 def grade_ctes(src: str, question: str, pred: str, gold: str, ignore: bool, out: str = "g") -> str:
-    """CTEs ``{out}1..{out}5``; ``{out}5`` has the source columns + ``is_correct``."""
+    """CTEs up to ``{out}5``, which has the source columns + ``is_correct`` (one of them is recursive)."""
     eq_parts = []
 
     def eq(a: str, b: str) -> str:
         ca, cb = f"{a}_c", f"{b}_c"
         same_num = (f"({a}_v IS NOT NULL AND {b}_v IS NOT NULL AND abs({a}_v - {b}_v) <= 1e-9 * greatest(1.0, abs({b}_v)))")
-        same = f"({ca} <> '' AND ({ca} = {cb} OR {same_num}))"
+        points = " AND ".join(f"abs({a}_e.v{k} - {b}_e.v{k}) <= 1e-9 * greatest(1.0, abs({b}_e.v{k}))" for k in LANES)
+        same = f"({ca} <> '' AND ({ca} = {cb} OR {same_num} OR coalesce({points}, false)))"
         return f"({cb} = '' OR {same})" if ignore else f"coalesce({same}, false)"
 
     eq_parts.append(eq("pa", "ga"))
     eq_parts.append(eq("pf", "gf"))
+    names = ("pa", "ga", "pf", "gf")
     return f"""
 {out}1 AS MATERIALIZED (SELECT *, {dne(text_cmd(f'coalesce({pred}, {q("")})'))} AS _p0, {dne(text_cmd(f'coalesce({gold}, {q("")})'))} AS _g0 FROM {src}),
 {out}2 AS MATERIALIZED (SELECT *, {choice_letter('_p0')} AS _pl, {choice_letter('_g0')} AS _gl FROM {out}1),
@@ -182,9 +236,11 @@ def grade_ctes(src: str, question: str, pred: str, gold: str, ignore: bool, out:
                     CASE WHEN _gl <> '' AND {choice_value('_gl', question)} <> '' THEN {choice_value('_gl', question)} ELSE _g0 END AS _g FROM {out}2),
 {out}4 AS MATERIALIZED (SELECT *, {canonical(after_equals('_p'))} AS pa_c, {canonical(after_equals('_g'))} AS ga_c,
                     {canonical('_p')} AS pf_c, {canonical('_g')} AS gf_c FROM {out}3),
-{out}5 AS MATERIALIZED (SELECT * EXCLUDE (_p0, _g0, _pl, _gl, _p, _g, pa_c, ga_c, pf_c, gf_c, pa_v, ga_v, pf_v, gf_v),
+{expression_ctes(out + "4", out)},
+{out}5 AS MATERIALIZED (SELECT x.* EXCLUDE (_p0, _g0, _pl, _gl, _p, _g, pa_c, ga_c, pf_c, gf_c, pa_v, ga_v, pf_v, gf_v),
                   coalesce({eq_parts[0]} OR {eq_parts[1]}, false) AS is_correct
-           FROM (SELECT *, {numeric('pa_c')} AS pa_v, {numeric('ga_c')} AS ga_v, {numeric('pf_c')} AS pf_v, {numeric('gf_c')} AS gf_v FROM {out}4))"""
+           FROM (SELECT *, {numeric('pa_c')} AS pa_v, {numeric('ga_c')} AS ga_v, {numeric('pf_c')} AS pf_v, {numeric('gf_c')} AS gf_v FROM {out}4) x
+           {' '.join(f'LEFT JOIN {out}v {n}_e ON {n}_e.s = x.{n}_c' for n in names)})"""
 
 
 def last_line(x: str) -> str:
@@ -268,3 +324,11 @@ def histogram_select(round_edges: bool = False) -> str:
     if round_edges:
         lo, hi = f"round({lo}, 9)", f"round({hi}, 9)"
     return f"SELECT a.bin, {lo} AS lo, {hi} AS hi, coalesce(c.n, 0) AS n FROM h_all a LEFT JOIN h_c c ON c.bin = a.bin"
+
+
+def flagged_class() -> str:
+    """Characters whose compatibility decomposition holds a flagged script, as an RE2 class."""
+    scripts = {c for lo, hi in FLAGGED_SCRIPTS for c in range(lo, hi + 1)}
+    held = {c for c in range(0x30000) if not 0xD800 <= c < 0xE000 and not scripts.isdisjoint(map(ord, unicodedata.normalize("NFKD", chr(c))))}
+    starts, ends = sorted(c for c in held if c - 1 not in held), sorted(c for c in held if c + 1 not in held)
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ravel.operators.dedup import dedup_problems
 from ravel.operators.filters import low_quality, step_by_step, topic_match
-from ravel.session import scratch_path
-from ravel.sources.fixtures import table
+from ravel.session import scratch_path, written
+from ravel.sources.fixtures import table, token_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -62,13 +62,12 @@ from ravel.operators import rewards as RWD  # noqa: E402
 from ravel.operators import sampling as SM  # noqa: E402
 from ravel.operators import selection as SL  # noqa: E402
 from ravel.operators import split as SP  # noqa: E402
-from ravel.operators.dedup import dedup_keep_first, distinct_problems  # noqa: E402
+from ravel.operators.dedup import dedup_keep_first, distinct_problems, estimated_problems, key_digest, problem_sketches  # noqa: E402
 from ravel.operators.ranking import sort_by_difficulty  # noqa: E402
 from ravel.params import EQUIVALENCE_PROMPT, EQUIVALENCE_SLOTS, MASK_WORDS  # noqa: E402
 
-# Stand-in token sequences of the mask words: token_rows has word lengths for ids, so a word is its length; "Let" and "Now"
-# become two tokens, as a sub-word tokeniser may cut them.
-MASK_SEQS = [[len(w)] if w not in ("Let", "Now") else [3, len(w) + 1] for w in MASK_WORDS]
+# Stand-in token sequences of the mask words; "Let" and "Now" become two tokens, as a sub-word tokeniser may cut them.
+MASK_SEQS = [[token_id(w)] if w not in ("Let", "Now") else [3, token_id(w)] for w in MASK_WORDS]
 R9 = 9  # decimals kept for transcendental results (engines differ in the last bits)
 
 
@@ -427,8 +426,7 @@ def q_union_sources(spark, sf):
 def _details(spark, sf):
     from ravel.plans.evaluate import evaluation_details
 
-    d = evaluation_details(_samples(spark, sf), _outputs(spark, sf), gold_last_line=True)
-    return d.join(_samples(spark, sf).select("sample_id", "lang"), "sample_id")
+    return evaluation_details(_samples(spark, sf), _outputs(spark, sf), gold_last_line=True, carry=("lang",))
 
 
 @register("eval_accuracy")
@@ -495,11 +493,39 @@ def q_weighted_token_loss(spark, sf):
     return t.select("id", "n_active", F.round("loss", R9).alias("loss"))
 
 
+LENGTH_QUANTILES = [0.1, 0.5, 0.9]
+
+
+@register("length_sketch")
+def q_length_sketch(spark, sf):
+    """Lengths by source as mergeable sketches: are the ranks of the quantiles read from their union within 2 %?"""
+    r = T(spark, sf, "reasoning").select("src", RW.think_length("think").alias("len"))
+    merged = AG.merged_sketch(AG.length_sketches(r, "len", ["src"]))
+    read = AG.sketch_quantiles(merged, LENGTH_QUANTILES)
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(c).alias("value")) for q, c in zip(LENGTH_QUANTILES, read.columns, strict=True)]))
+    told = F.broadcast(read.select(asked.alias("x")).select("x.*"))  # one row per quantile
+    ranks = r.join(told, F.lit(True)).groupBy("quantile").agg(
+        F.avg((F.col("len") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("len") <= F.col("value")).cast("double")).alias("upto"))
+    return ranks.select("quantile", ((F.col("below") <= F.col("quantile") + 0.02) & (F.col("upto") >= F.col("quantile") - 0.02)).alias("within"))
+
+
 @register("distinct_problems")
 def q_distinct_problems(spark, sf):
     return distinct_problems(T(spark, sf, "reasoning"), "problem")
 
 
+@register("distinct_problem_sketch")
+def q_distinct_problem_sketch(spark, sf):
+    """Unique problems of every source and of all sources from the same sketches: are they within 5 % of the exact numbers?"""
+    r = T(spark, sf, "reasoning").select("src", "problem")
+    sketches = written(problem_sketches(r, ["src"]), "problem-sketches")
+    estimates = estimated_problems(sketches, ["src"]).union(estimated_problems(sketches).select(F.lit("all").alias("src"), "n_unique"))
+    exact = r.groupBy("src").agg(F.count_distinct(key_digest(TX.normalized_key("problem"))).alias("n")).union(
+        distinct_problems(r).select(F.lit("all").alias("src"), F.col("n_unique").alias("n")))
+    return estimates.join(exact, estimates["src"].eqNullSafe(exact["src"])).select(
+        exact["src"], F.col("n").alias("n_unique"), (F.abs(F.col("n_unique") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
+
+
 # ---- 2.6 windows / 2.7 ordering, sampling, splitting ------------------------
 
 
@@ -643,7 +669,7 @@ SECOND_QUESTION = ("CASE WHEN lang <> 'en' THEN concat('Aufgabe: ', problem, "
 @register("alternate_question")
 def q_alternate_question(spark, sf):
     raw = T(spark, sf, "reasoning").withColumn("problem2", F.expr(SECOND_QUESTION))
-    return CU.curate_source(raw, replace(REASONING_SPEC, question_alt_col="problem2")).select("row_id", "problem")
+    return CU.curate_source(raw, replace(REASONING_SPEC, question_alt_col="problem2", max_token=None)).select("row_id", "problem")
 
 
 @register("build_corpus")
@@ -715,7 +741,7 @@ def q_read_jsonl(spark, sf):
 def q_read_text_blob(spark, sf):
     """Documents written as text files and read back as one string per file: characters over all files."""
     path = scratch_path(spark, "blobs")
-    T(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    IO.write_text_blobs(T(spark, sf, "documents"), path, "text")
     blobs = IO.read_text_blob(spark, path)
     return blobs.agg(F.sum(F.length("value")).alias("n_chars"))
 
@@ -740,10 +766,21 @@ def q_read_dataset(spark, sf):
     return IO.read_dataset(spark, path, subset="en", split="train").select("id", "problem")
 
 
+@register("stream_dataset")
+def q_stream_dataset(spark, sf):
+    """:func:`read_dataset` as a stream, a few files at a time, appended to a table."""
+    from ravel.streaming.trackers import append_stream
+
+    path = scratch_path(spark, "dataset")
+    r = T(spark, sf, "reasoning").select("id", "problem", F.col("lang").alias("subset"), F.lit("train").alias("split"))
+    r.repartition(4).write.partitionBy("subset", "split").parquet(path)
+    return append_stream(IO.stream_dataset(spark, path, r.schema, subset="en", split="train", files_per_trigger=2), "dataset").select("id", "problem")
+
+
 @register("write_records")
 def q_write_records(spark, sf):
     path = scratch_path(spark, "records")
-    corpus = CU.curate_source(T(spark, sf, "reasoning"), REASONING_SPEC)
+    corpus = CU.curate_source(T(spark, sf, "reasoning"), replace(REASONING_SPEC, max_token=None))
     IO.write_records(corpus, path, "json")
     return spark.read.schema(corpus.schema).json(path)
 
@@ -767,7 +804,7 @@ def q_write_jsonl_with_summary(spark, sf):
 @register("write_eval_details")
 def q_write_eval_details(spark, sf):
     path = scratch_path(spark, "details")
-    d = _details(spark, sf).drop("lang")
+    d = EV.evaluation_details(_samples(spark, sf), _outputs(spark, sf), gold_last_line=True)
     IO.write_eval_details(d, path)
     return IO.read_eval_details(spark, path, d.schema).select("sample_id", "question", "ground_truth", "prediction",
                                                              "raw_output", "token_generated", "is_correct")

@@ -7,11 +7,12 @@ question, then a comparison of the after-``=`` forms or else the full forms.
 The comparison itself is re-aimed: the original calls a symbolic maths
 verifier per row.  Here two answers are equal when their canonical strings
 are equal (whitespace, ``$``, ``\\left``/``\\right``, spacing commands,
-``\\dfrac``/``\\tfrac``, degree marks and a trailing period removed) or when
+``\\dfrac``/``\\tfrac``, degree marks and a trailing period removed), when
 both parse as the same number (integer, decimal, ``a/b``, ``\\frac{a}{b}``,
-signed).  An empty canonical gold counts as "not parseable".  Answers that
-need algebra to match (``x+1`` vs ``1+x``) are not found equal; the
-``join_verdicts`` operator lets an external verdict table fill that gap.
+signed), or when both are expressions with the same values (``x+1`` and
+``1+x``, see :mod:`ravel.functions.algebra`).  An empty canonical gold counts as
+"not parseable".  Sets, intervals, relations and matrices are compared as strings
+only; the ``join_verdicts`` operator lets an external verdict table fill that gap.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ravel.functions import algebra
 from ravel.functions.boxed import after_equals
 from ravel.functions.text import WS, col_, last_line, py_rstrip_chars, py_strip
-from ravel.params import GOLD_SIGNAL, TOPIC_WORD
+from ravel.params import GOLD_SIGNAL, TEXT_COMMAND, TEXT_LETTER, TOPIC_WORD
 
-TEXT_CMD = r"\\text\{([^}]*)\}"
 LETTERS = ("A", "B", "C", "D")
 
 
 def normalize_text_cmd(c: Column | str) -> Column:
     """``\\text{X}`` -> lowercase ``X`` (every occurrence)."""
     s = col_(c)
-    pieces = F.split(s, TEXT_CMD)
-    inner = F.regexp_extract_all(s, F.lit(TEXT_CMD), F.lit(1))
+    pieces = F.split(s, TEXT_COMMAND)
+    inner = F.regexp_extract_all(s, F.lit(TEXT_COMMAND), F.lit(1))
     lowered = F.concat(F.transform(inner, lambda x: F.lower(x)), F.array(F.lit("")))
     return F.array_join(F.zip_with(pieces, lowered, lambda p, m: F.concat(p, m)), "")
 
@@ -39,15 +40,14 @@ def normalize_text_cmd(c: Column | str) -> Column:
 def normalize_dne(c: Column | str) -> Column:
     """Whole text "does not exist" (any case, any spacing) -> ``dne``."""
     s = col_(c)
-    return F.when(py_strip(s).rlike(r"(?iU)\Adoes\s+not\s+exist\z"), F.lit("dne")).otherwise(s)
+    return F.when(py_strip(s).rlike(rf"(?iU)\Adoes{WS}+not{WS}+exist\z"), F.lit("dne")).otherwise(s)
 
 
 def choice_letter(c: Column | str) -> Column:
     """``A``..``D`` (any case) or ``\\text{A}`` -> uppercase letter, else ''."""
     t = py_strip(c)
-    boxed_letter = r"\A\\text\{([A-Da-d])\}\z"
     return (
-        F.when(t.rlike(boxed_letter), F.upper(F.regexp_extract(t, boxed_letter, 1)))
+        F.when(t.rlike(TEXT_LETTER), F.upper(F.regexp_extract(t, TEXT_LETTER, 1)))
         .when(F.upper(t).isin(*LETTERS), F.upper(t))
         .otherwise(F.lit(""))
     )
@@ -147,10 +147,23 @@ def with_grade(df, question: str, pred: Column | str, gold: Column | str, out: s
     for c in ("pa", "ga", "pf", "gf"):
         s = s.withColumn(f"_g{c}v", numeric_value(f"_g{c}"))
 
+    # expressions are read only where strings and numbers leave the question open, and the full forms only where they differ from the others
+    def is_open(p: str, g: str) -> Column:
+        cp, cg = F.col(f"_g{p}"), F.col(f"_g{g}")
+        settled = (cp == cg) | (F.col(f"_g{p}v").isNotNull() & F.col(f"_g{g}v").isNotNull())
+        return ~settled & algebra.looks_algebraic(cp) & algebra.looks_algebraic(cg)
+
+    s = s.withColumn("_goa", is_open("pa", "ga"))
+    s = s.withColumn("_gof", is_open("pf", "gf") & ~((F.col("_gpa") == F.col("_gpf")) & (F.col("_gga") == F.col("_ggf"))))
+    read = [F.when(F.col("_goa"), F.col(f"_g{c}")) for c in ("pa", "ga")] + [F.when(F.col("_gof"), F.col(f"_g{c}")) for c in ("pf", "gf")]
+    s = s.withColumn("_gx", F.when(F.col("_goa") | F.col("_gof"), algebra.values(F.array(*read))))
+
+    sides = {"pa": 0, "ga": 1, "pf": 2, "gf": 3}
+
     def eq(p: str, g: str) -> Column:
         cp, cg, vp, vg = F.col(f"_g{p}"), F.col(f"_g{g}"), F.col(f"_g{p}v"), F.col(f"_g{g}v")
         same_num = vp.isNotNull() & vg.isNotNull() & (F.abs(vp - vg) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(vg)))
-        same = (cp != "") & ((cp == cg) | same_num)
+        same = (cp != "") & ((cp == cg) | same_num | algebra.same_values(F.get("_gx", sides[p]), F.get("_gx", sides[g])))
         return ((cg == "") | same) if ignore_not_parseable else F.coalesce(same, F.lit(False))
 
     s = s.withColumn(out, F.coalesce(eq("pa", "ga") | eq("pf", "gf"), F.lit(False)))

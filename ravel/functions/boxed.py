@@ -79,7 +79,7 @@ def fix_choice_box(c: Column | str) -> Column:
     box = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
     pieces = F.split(s, box)
     boxes = F.regexp_extract_all(s, F.lit(box), F.lit(0))
-    letter_pat = r"(?iU)([A-D])(?=[\s.),:;]|$)"
+    letter_pat = r"(?idU)([A-D])(?=[\s\x1c-\x1f.),:;]|$)"
 
     def fix(b):
         inner = F.regexp_extract(b, r"(?s)\A\\boxed\{(.*)\}\z", 1)

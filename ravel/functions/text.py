@@ -163,7 +163,7 @@ def strip_outer_tags(c: Column | str) -> Column:
 def strip_named_tags(c: Column | str, tags: list[str] | tuple[str, ...]) -> Column:
     """Remove ``<tag ...>`` and ``</tag>`` for each listed tag (any case), keep content."""
     return reduce(
-        lambda acc, tag: F.regexp_replace(acc, rf"(?iU)</?{tag}\b[^>]*>", ""), tags, col_(c)
+        lambda acc, tag: F.regexp_replace(acc, py_pattern(rf"(?iU)</?{tag}\b[^>]*>"), ""), tags, col_(c)
     )
 
 

@@ -9,6 +9,7 @@ with md5 so a recomputed task gives the same labels.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,33 +163,39 @@ def word_spans(ids: Column | str, word_seqs: list[list[int]]) -> Column:
 
     At each free position the first listed sequence that matches wins;
     duplicates of a sequence keep their first place; empty sequences are
-    ignored.
+    ignored.  Only positions whose token starts a sequence are compared with the sequences, and only
+    matches are folded.
     """
     s = col_(ids)
     seqs: list[list[int]] = []
     for w in word_seqs:
         if w and list(w) not in seqs:
             seqs.append(list(w))
-    if all(len(q) == 1 for q in seqs):
-        # single-token words cannot overlap: every matching position is a span (linear, no fold)
-        wanted = F.array(*[F.lit(int(q[0])) for q in seqs]).cast("array<int>")
-        hits = F.filter(
-            F.zip_with(_positions(s), F.zip_with(s, F.array_repeat(wanted, F.size(s)), lambda x, w: F.array_contains(w, x)),
-                       lambda k, h: F.struct(k.alias("s"), F.lit(1).alias("l"), h.alias("h"))),
-            lambda e: e["h"],
-        )
-        return F.transform(hits, lambda e: F.struct(e["s"].alias("s"), e["l"].alias("l")))
-    init = F.struct(s.alias("a"), F.lit(0).alias("free"), _empty("array<struct<s:int,l:int>>").alias("spans"))
-
-    def step(acc, k):
-        hit = F.lit(0)
+    if not seqs:
+        return F.when(s.isNotNull(), _empty("array<struct<s:int,l:int>>"))
+    # every position with the tokens that may follow; those whose token starts no sequence go at once (one look-up in a set)
+    width = max(len(q) for q in seqs)
+    shifted = [F.slice(s, i + 1, F.greatest(F.size(s) - i, F.lit(0))) for i in range(width)]
+    windows = F.arrays_zip(_positions(s).alias("k"), *[a.alias(f"t{i}") for i, a in enumerate(shifted)])
+    starts = F.filter(windows, lambda w: w["t0"].isin(sorted({q[0] for q in seqs})))
+
+    def hit(w: Column) -> Column:
+        size = F.lit(0)
         for seq in reversed(seqs):
-            hit = F.when(F.slice(acc["a"], k + 1, len(seq)) == _int_array(seq), F.lit(len(seq))).otherwise(hit)
-        take = (k >= acc["free"]) & (hit > 0)
-        spans = F.concat(acc["spans"], F.array(F.struct(k.alias("s"), hit.alias("l"))))
-        return F.when(take, F.struct(acc["a"].alias("a"), (k + hit).alias("free"), spans.alias("spans"))).otherwise(acc)
+            same = reduce(lambda a, b: a & b, [w[f"t{i}"] == x for i, x in enumerate(seq)])
+            size = F.when(same, F.lit(len(seq))).otherwise(size)
+        return F.struct(w["k"].alias("s"), size.alias("l"))
 
-    return F.aggregate(_positions(s), init, step)["spans"]
+    hits = F.filter(F.transform(starts, hit), lambda h: h["l"] > 0)
+    if width == 1:
+        return hits  # single tokens cannot overlap
+    init = F.struct(F.lit(0).alias("free"), _empty("array<struct<s:int,l:int>>").alias("spans"))
+
+    def step(acc, h):
+        taken = F.struct((h["s"] + h["l"]).alias("free"), F.concat(acc["spans"], F.array(h)).alias("spans"))
+        return F.when(h["s"] >= acc["free"], taken).otherwise(acc)
+
+    return F.aggregate(hits, init, step)["spans"]
 
 
 def mask_marker_words(

@@ -2,19 +2,23 @@
 
 Exact medians and quantile curves avoid collecting values: the length
 distribution is first reduced to ``(length, count)`` (one row per distinct
-length) and positions are found on that small table.
+length) and positions are running totals over ranges of that table.  Where
+an estimate will do, ``length_sketches`` keeps a mergeable quantile sketch per group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravel.functions.answers import parse_verdict
 from ravel.functions.markers import marker_counts
 from ravel.functions.text import col_
+from ravel.operators.ranking import attach_one_row, running_total
 from ravel.params import HISTOGRAM_BINS, LOSS_HISTOGRAM_BINS, MARKER_WORDS
 
+SKETCH_K = 200
+
 
 def eval_accuracy(details: DataFrame, group: list[str], correct: str = "is_correct", tokens: str = "token_generated",
                   percent: bool = True) -> DataFrame:
@@ -51,16 +55,10 @@ def verdict_counts(df: DataFrame, verdict_text: str = "verdict_text") -> DataFra
     )
 
 
-def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row aggregate to every row (broadcast equi-join on a constant)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def _distribution(df: DataFrame, value: Column | str) -> DataFrame:
     """(v, n, start, end): each distinct value with its count and [start, end) position in sorted order."""
     dist = df.groupBy(col_(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return dist.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
+    return running_total(dist, ["v"], "n")
 
 
 def length_profile(df: DataFrame, length: Column | str) -> DataFrame:
@@ -72,9 +70,8 @@ def length_profile(df: DataFrame, length: Column | str) -> DataFrame:
         F.avg(col_(length)).alias("mean_len"),
         F.stddev_pop(col_(length)).alias("std_len"),
     )
-    dist = _distribution(df, length)
-    total = F.max("end").over(Window.partitionBy())
-    lo, hi = F.floor((total - 1) / 2), F.floor(total / 2)
+    dist = attach_one_row(_distribution(df, length), base.select(F.col("n").alias("_total")))
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     marked = dist.select(
         F.when((F.col("start") <= lo) & (lo < F.col("end")), F.col("v")).alias("lo_v"),
         F.when((F.col("start") <= hi) & (hi < F.col("end")), F.col("v")).alias("hi_v"),
@@ -85,6 +82,25 @@ def length_profile(df: DataFrame, length: Column | str) -> DataFrame:
     )
 
 
+def length_sketches(df: DataFrame, length: Column | str, group: list[str], k: int = SKETCH_K) -> DataFrame:
+    """A KLL sketch of the lengths of every group (``sketch``): a few KB whatever the group holds, and mergeable.
+
+    A rank read from it is off by at most ``1.65 %`` at k = 200 (99 % confidence); larger k is closer.
+    """
+    return df.groupBy(*group).agg(F.kll_sketch_agg_bigint(col_(length).cast("long"), F.lit(k)).alias("sketch"))
+
+
+def merged_sketch(sketches: DataFrame, group: list[str] | None = None, sketch: str = "sketch") -> DataFrame:
+    """The sketches of all rows (of each ``group``) as one."""
+    return sketches.groupBy(*(group or [])).agg(F.kll_merge_agg_bigint(sketch).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: list[float], sketch: str = "sketch") -> DataFrame:
+    """``q_<percent>`` columns in place of the sketch, each a length that was seen."""
+    names = [(q, f"q_{q * 100:g}".replace(".", "_")) for q in quantiles]
+    return sketches.select(*[c for c in sketches.columns if c != sketch], *[F.kll_sketch_get_quantile_bigint(sketch, F.lit(q)).alias(name) for q, name in names])
+
+
 def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """numpy.histogram bin of x for equal-width bins over [lo, hi] (last bin closed)."""
     xd, lod, hid = x.cast("double"), lo.cast("double"), hi.cast("double")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ravel.functions.text import col_, normalized_key
 
+HLL_BITS = 12
+
 
 def key_digest(key: Column | str) -> Column:
     """256-bit digest that stands for a text key in shuffles (null stays null)."""
@@ -44,3 +46,20 @@ def dedup_problems(df: DataFrame, problem: str = "problem", order: list[str] | N
 def distinct_problems(df: DataFrame, problem: str = "problem") -> DataFrame:
     """Number of unique normalised problems (exact)."""
     return df.agg(F.count_distinct(key_digest(normalized_key(problem))).alias("n_unique"))
+
+
+def problem_sketches(df: DataFrame, group: list[str], problem: str = "problem", bits: int = HLL_BITS) -> DataFrame:
+    """A HyperLogLog sketch of the normalised problems of every group (``sketch``), for :func:`estimated_problems`.
+
+    Sketches of new rows are united with those kept from before, so a count over sources or days needs no second pass.
+    """
+    return df.groupBy(*group).agg(F.hll_sketch_agg(key_digest(normalized_key(problem)), F.lit(bits)).alias("sketch"))
+
+
+def estimated_problems(sketches: DataFrame, group: list[str] | None = None, sketch: str = "sketch") -> DataFrame:
+    """Estimated number of unique problems in the union of the sketches (of each ``group``).
+
+    The relative standard error is about 0.83 / sqrt(2 ** bits): 1.3 % at 12 bits.
+    """
+    united = sketches.groupBy(*(group or [])).agg(F.hll_union_agg(sketch).alias("_u"))
+    return united.select(*(group or []), F.hll_sketch_estimate("_u").alias("n_unique"))

@@ -82,7 +82,12 @@ def low_quality(problem: Column | str, think: Column | str | None, response: Col
     after = F.substring_index(resp, THINK_END, -1)
     no_box = ~after.rlike(py_pattern(r"(?U)\\boxed\s*\{"))
     fields = [resp, col_(problem)] + ([col_(think)] if think is not None else [])  # the short one first
-    return reduce(lambda a, b: a | b, [has_any(f, LOW_QUALITY_PATTERNS, "iUd") for f in fields], no_box)
+    return reduce(lambda a, b: a | b, [low_quality_text(f) for f in fields], no_box)
+
+
+def low_quality_text(c: Column | str) -> Column:
+    """Any low-quality pattern occurs in the text."""
+    return has_any(c, LOW_QUALITY_PATTERNS, "iUd")
 
 
 def filter_low_quality(df: DataFrame, problem="problem", think="think", response="response") -> DataFrame:

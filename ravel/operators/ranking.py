@@ -19,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravel.operators.aggregates import attach_one_row
 from ravel.session import ensure_checkpoint_dir
 
 
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row (broadcast equi-join on a constant)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -54,6 +58,24 @@ def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank"
     return ranked.drop("_mid", "_pid", "_off", "_all")
 
 
+def running_total(df: DataFrame, order: list[str], amount: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Add the sum of ``amount`` over the rows before each row in ``order`` (a unique key) and up to it.
+
+    The rows are range-partitioned; each partition adds up its own, and the totals before it come
+    from a table with one row per partition (broadcast).  No task sees more than its range.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ranged = df.repartitionByRange(_partitions(df, None), *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col("_pid").alias("_p")).agg(F.sum(amount).alias("_t"))
+    offsets = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    counted = ranged.withColumn("_in", F.sum(amount).over(inside)).join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))
+    upto = F.col("_before") + F.col("_in")
+    return counted.withColumn(end, upto).withColumn(start, upto - F.col(amount)).drop("_pid", "_p", "_before", "_in")
+
+
 def take_first(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     """First ``n`` rows in ``order`` (a unique key), whatever ``n`` is.
 

@@ -2,13 +2,15 @@
 
 Each reward is a Column builder, so a scoring job is one projection; only
 ``reward_length`` needs per-group extremes, computed by a grouped
-aggregate joined back (no window holds a whole group in one task).
+aggregate joined back with hot groups salted (no task holds a whole group).
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 from ravel.functions.boxed import extract_boxed
 from ravel.functions.markers import marker_total
 from ravel.functions.text import col_, count_literal, py_split_ws
-from ravel.params import REPETITION_MAX_PENALTY, REPETITION_NGRAM, STEP_REWARD_PATTERN, CosineParams
+from ravel.operators.joins import join_per_key
+from ravel.params import (
+    FLAGGED_SCRIPTS, LATEX_COMMAND, LATEX_SPAN, REPETITION_MAX_PENALTY, REPETITION_NGRAM, STEP_REWARD_PATTERN, CosineParams,
+)
 
 
 def with_correct(df: DataFrame, content: str = "content", solution: str = "solution", out: str = "_correct") -> DataFrame:
@@ -87,29 +92,47 @@ def reward_formula(content: Column | str) -> Column:
     return F.when(header.rlike(r"(?mdU)^- formula \d+:"), 1.0).otherwise(0.0)
 
 
-_LATEX = r"(?s)\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{.*?\}.*?\\end\{.*?\}"
-_LATEX_CMD = r"\\[a-zA-Z]+(?:\{[^{}]*\}|\[[^\[\]]*\])*"
-_NON_LATIN = r"[\u0400-\u04FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\u0600-\u06FF\u0590-\u05FF\u0E00-\u0E7F\u0370-\u03FF]"
+@lru_cache(maxsize=1)
+def flagged_class() -> str:
+    """Regex class of the characters whose compatibility decomposition (NFKD) holds one of the flagged scripts.
+
+    Made by rule over all code points: a character of these scripts may decompose into others (the Greek
+    question mark is a semicolon), and others may decompose into them (the ohm sign, the micro sign).
+    """
+    def flagged(c: int) -> bool:
+        return any(lo <= ord(x) <= hi for x in unicodedata.normalize("NFKD", chr(c)) for lo, hi in FLAGGED_SCRIPTS)
+
+    runs: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if flagged(c):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in runs) + "]"
 
 
 def flag_script(content: Column | str) -> Column:
-    """1.0 when the text outside LaTeX has no Cyrillic/CJK/Arabic/Hebrew/Thai/Greek letters, else 0.0.
+    """1.0 when the text outside LaTeX, in compatibility decomposition, has no Cyrillic/CJK/Arabic/Hebrew/Thai/Greek letters, else 0.0.
 
     The script test of the (disabled) language reward; its statistical
     language detector is not rebuilt.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(col_(content), F.lit("")), _LATEX, ""), _LATEX_CMD, "")
-    return F.when(text.rlike(_NON_LATIN), 0.0).otherwise(1.0)
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(col_(content), F.lit("")), LATEX_SPAN, ""), LATEX_COMMAND, "")
+    return F.when(text.rlike(flagged_class()), 0.0).otherwise(1.0)
 
 
 def reward_length(df: DataFrame, content: str = "content", solution: str = "solution", group: str = "prompt_id",
-                  out: str = "reward_length") -> DataFrame:
+                  out: str = "reward_length", row_id: str = "completion_id") -> DataFrame:
     """Length reward within a group: λ = 0.5 - (len - min)/(max - min); wrong answers get min(0, λ);
-    0 for every row when all lengths in the group are equal."""
+    0 for every row when all lengths in the group are equal.  Rows without a group get none.
+
+    The rows of a hot group are dealt over salts by ``row_id`` (by the whole row where there is none)."""
     has_flag = "_correct" in df.columns
     with_len = (df if has_flag else with_correct(df, content, solution)).withColumn("_len", F.length(F.col(content)))
-    ext = with_len.groupBy(group).agg(F.min("_len").alias("_min"), F.max("_len").alias("_max"))
-    j = with_len.join(ext, on=group, how="inner")
+    length = F.length(F.col(content))
+    ext = df.groupBy(group).agg(F.min(length).alias("_min"), F.max(length).alias("_max"), F.count(F.lit(1)).alias("_rows"))
+    j = join_per_key(with_len, ext, group, "_rows", spread=row_id if row_id in df.columns else None)
     lam = F.lit(0.5) - (F.col("_len") - F.col("_min")) / (F.col("_max") - F.col("_min"))
     val = F.when(F.col("_max") == F.col("_min"), 0.0).when(F.col("_correct"), lam).otherwise(F.least(F.lit(0.0), lam))
     out_df = j.withColumn(out, val).drop("_len", "_min", "_max")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravel.operators.joins import join_per_key
 from ravel.operators.ranking import global_rank
 from ravel.params import EVAL_BATCH_SIZE
+from ravel.session import written
 
 RANGE = 1000  # batches per range of a running sum
 
@@ -47,21 +49,19 @@ def topk_rewards(df: DataFrame, k: int, run: str = "run_id", step: str = "step",
     """
     logged = df.filter(F.col(reward).isNotNull())
     w_desc = Window.partitionBy(run).orderBy(F.col(reward).desc(), F.col(step).asc())
-    top = logged.withColumn("_rd", F.row_number().over(w_desc)).filter(F.col("_rd") <= k)
-    stats = top.groupBy(run).agg(F.count(F.lit(1)).alias("_ntop"), F.min(reward).alias("_v"))
-    above = top.join(stats, run).groupBy(run).agg(F.count_if(F.col(reward) > F.col("_v")).alias("_m"))
-    stats = stats.join(above, run)
-    j = logged.join(stats, run)
-    small = j.filter(F.col("_ntop") < k)
-    full = j.filter((F.col("_ntop") == k) & (F.col(reward) >= F.col("_v")))
+    top = written(logged.withColumn("_rd", F.row_number().over(w_desc)).filter(F.col("_rd") <= k).drop("_rd"), "topk")  # k rows a run at most
+    rewards = F.array_sort(F.collect_list(reward))
+    held = top.groupBy(run).agg(rewards.alias("_top")).select(
+        run, F.get("_top", 0).alias("_v"), F.size("_top").alias("_ntop"), F.size(F.filter("_top", lambda x: x > F.array_min("_top"))).alias("_m"))
+    above = top.join(held, run).filter((F.col("_ntop") < k) | (F.col(reward) > F.col("_v"))).select(*df.columns)
+    # the rows of full runs that reach v, in step order: a hot run is dealt over salts before the per-task limit of the rank
+    full = held.filter(F.col("_ntop") == k).join(logged.groupBy(run).agg(F.count(F.lit(1)).alias("_rows")), run)
+    reach = join_per_key(logged, full, run, "_rows", spread=[step, reward]).filter(F.col(reward) >= F.col("_v"))
     w_step = Window.partitionBy(run).orderBy(F.col(step).asc())
-    cand = full.withColumn("_rs", F.row_number().over(w_step)).filter(F.col("_rs") <= k)
-    ties = cand.filter(F.col(reward) == F.col("_v"))
+    ties = reach.withColumn("_rs", F.row_number().over(w_step)).filter((F.col("_rs") <= k) & (F.col(reward) == F.col("_v")))
     w_late = Window.partitionBy(run).orderBy(F.col(step).desc())
     kept_ties = ties.withColumn("_rl", F.row_number().over(w_late)).filter(F.col("_rl") <= F.lit(k) - F.col("_m"))
-    kept_above = full.filter(F.col(reward) > F.col("_v"))
-    cols = df.columns
-    return small.select(*cols).unionByName(kept_above.select(*cols)).unionByName(kept_ties.select(*cols))
+    return above.unionByName(kept_ties.select(*df.columns))
 
 
 def running_accuracy(details: DataFrame, group: list[str], order: str = "sample_id", correct: str = "is_correct",
@@ -72,8 +72,8 @@ def running_accuracy(details: DataFrame, group: list[str], order: str = "sample_
     first rank, and running sums go by ranges of batches, so no task holds a whole group.
     """
     ranked = global_rank(details.select(*group, order, correct), [*group, order], "_g")
-    first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
-    per = ranked.join(first, group).withColumn("batch", F.floor((F.col("_g") - F.col("_g0")) / batch_size).cast("long"))
+    first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_rows"))
+    per = join_per_key(ranked, first, group, "_rows", spread="_g").withColumn("batch", F.floor((F.col("_g") - F.col("_g0")) / batch_size).cast("long"))
     batches = per.groupBy(*group, "batch").agg(
         F.sum(F.col(correct).cast("long")).alias("_c"), F.count(F.lit(1)).alias("_n")
     )

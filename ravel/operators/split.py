@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ravel.functions.rewrite import think_length
 from ravel.functions.text import normalized_key
+from ravel.operators.joins import join_per_key
 from ravel.operators.ranking import global_rank
 from ravel.params import TEST_RATIO, VAL_RATIO
 
@@ -90,22 +91,30 @@ def even_spaced_rank(df: DataFrame, problem: str = "problem", think: str = "thin
     return grid.select(F.col(row_id), "think_len", "rank", "grid_index")
 
 
-def leakage(train: DataFrame, holdout: DataFrame, problem: str = "problem") -> DataFrame:
+def _by_holdout(df: DataFrame, holdout: DataFrame, problem: str, holdout_text: str, how: str, row_id: str) -> DataFrame:
+    """Semi or anti join on digests of the normalised problems.
+
+    Held-out digests are first reduced to those that ``df`` has, with the number of its
+    rows, so that the rows of a hot problem can be dealt over salts.
+    """
+    key = F.sha2(normalized_key(problem), 256).alias("_k")
+    held = holdout.select(F.sha2(normalized_key(holdout_text), 256).alias("_k")).distinct()
+    counts = df.select(key).where(F.col("_k").isNotNull()).groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = df.withColumn("_k", key)
+    spread = row_id if row_id in df.columns else None
+    return join_per_key(rows, counts.join(held, "_k", "left_semi"), "_k", "_rows", how, spread).select(*df.columns)
+
+
+def leakage(train: DataFrame, holdout: DataFrame, problem: str = "problem", row_id: str = "id") -> DataFrame:
     """Train rows whose normalised problem also occurs in the hold-out (should be empty)."""
-    t = train.withColumn("_k", F.sha2(normalized_key(problem), 256))
-    h = holdout.select(F.sha2(normalized_key(problem), 256).alias("_k")).distinct()
-    return t.join(h, "_k", "left_semi").drop("_k")
+    return _by_holdout(train, holdout, problem, problem, "left_semi", row_id)
 
 
-def antijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text") -> DataFrame:
+def antijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text", row_id: str = "id") -> DataFrame:
     """Rows whose normalised problem is not in the hold-out texts."""
-    t = df.withColumn("_k", F.sha2(normalized_key(problem), 256))
-    h = holdout.select(F.sha2(normalized_key(holdout_text), 256).alias("_k")).distinct().filter(F.col("_k").isNotNull())
-    return t.join(h, "_k", "left_anti").drop("_k")
+    return _by_holdout(df, holdout, problem, holdout_text, "left_anti", row_id)
 
 
-def semijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text") -> DataFrame:
+def semijoin_holdout(df: DataFrame, holdout: DataFrame, problem: str = "problem", holdout_text: str = "text", row_id: str = "id") -> DataFrame:
     """Rows whose normalised problem is in the hold-out texts."""
-    t = df.withColumn("_k", F.sha2(normalized_key(problem), 256))
-    h = holdout.select(F.sha2(normalized_key(holdout_text), 256).alias("_k")).distinct()
-    return t.join(h, "_k", "left_semi").drop("_k")
+    return _by_holdout(df, holdout, problem, holdout_text, "left_semi", row_id)

@@ -70,9 +70,6 @@ MASK_WORDS: tuple[str, ...] = (
 )
 MASK_RATIO = 0.30
 
-# Step-number prefix inserted by the step rewrite.
-STEP_PREFIX = "### Step "
-
 # Default system message of the chat template and its boxed instruction.
 SYSTEM_PROMPT = (
     "You are a helpful and harmless assistant. "
@@ -163,6 +160,17 @@ COSINE_MAX_LEN = 12000
 COSINE_MAX_WORD = 15
 REPETITION_NGRAM = 3
 REPETITION_MAX_PENALTY = -0.5
+# Script flag: LaTeX spans and commands that are removed first, and the ranges of
+# Cyrillic, CJK, Arabic, Hebrew, Thai and Greek characters that are flagged.
+LATEX_SPAN = r"(?s)\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{.*?\}.*?\\end\{.*?\}"
+LATEX_COMMAND = r"\\[a-zA-Z]+(?:\{[^{}]*\}|\[[^\[\]]*\])*"
+FLAGGED_SCRIPTS: tuple[tuple[int, int], ...] = (
+    (0x0400, 0x04FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+    (0x0600, 0x06FF), (0x0590, 0x05FF), (0x0E00, 0x0E7F), (0x0370, 0x03FF),
+)
+# Answer commands: text and a choice letter in text.
+TEXT_COMMAND = r"\\text\{([^}]*)\}"
+TEXT_LETTER = r"\A\\text\{([A-Da-d])\}\z"
 STEP_REWARD_PATTERN = r"(Step \d+:|^\d+\.|\n-|\n\*|First,|Second,|Next,|Finally,)"
 
 # ---------------------------------------------------------------------------

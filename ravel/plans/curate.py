@@ -11,7 +11,6 @@ think, boxed_force``.
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -23,11 +22,12 @@ from ravel.functions.chat import build_messages, render_chat
 from ravel.functions.rewrite import approx_token_count, box_answer_signal, bucket_difficulty, rewrite_steps, split_think_answer
 from ravel.functions.text import py_strip, strip_named_tags, strip_outer_tags
 from ravel.operators.filters import (
-    any_key_equals, correct_flag, good_thinking, low_quality, nonempty, step_by_step, token_in_range, topic_match,
+    any_key_equals, correct_flag, good_thinking, low_quality, low_quality_text, nonempty, step_by_step, token_in_range, topic_match,
 )
 from ravel.operators.ranking import global_rank, take_first
 from ravel.operators.sampling import cap_per_group, sample_by_length, sample_first_accepted, seeded_shuffle, shuffle_key
 from ravel.params import TEST_SHUFFLE_SEED, SourceSpec
+from ravel.session import written
 
 BUCKET = 100_000  # rows per bucket of the turn of questions
 CURATED_COLUMNS = ["row_id", "problem", "response", "data_type", "difficulty", "source", "answer", "mask", "think", "boxed_force"]
@@ -52,18 +52,16 @@ def rendered_token_count(question: str, think: str, answer: str, spec: SourceSpe
     return around + approx_token_count(question) + approx_token_count(think) + approx_token_count(answer)
 
 
-def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Per-row mapping and filters (no caps): ``_q, _a, _think, _tok`` plus the raw columns."""
+def _source_rows(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     df = raw
     if spec.max_data_samples is not None:
         df = take_first(df, [F.col(spec.row_id_col)], spec.max_data_samples)
-    if spec.keys_equal:
-        df = df.filter(any_key_equals(spec.keys_equal))
-    q = F.col(spec.question_col).cast("string")
+    return df.filter(any_key_equals(spec.keys_equal)) if spec.keys_equal else df
+
+
+def _shape_answers(df: DataFrame, spec: SourceSpec) -> DataFrame:
+    """What a row's shape and filters take from its answer and thinking alone: ``_a, _think`` plus the raw columns."""
     answer = _first(df, spec.answer_col).cast("string") if spec.answer_col in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("_q", q).filter(nonempty("_q"))
-    if spec.topic_only:
-        df = df.filter(topic_match("_q", spec.topic_patterns))
     if spec.correct_col is not None:
         df = df.filter(correct_flag(df, spec.correct_col))
     df = df.withColumn("_a", answer)
@@ -83,14 +81,26 @@ def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     df = df.filter(F.col("_a").isNotNull())
     if spec.strip_answer_tags:
         df = df.withColumn("_a", strip_named_tags("_a", spec.strip_answer_tags))
-    df = df.filter(step_by_step("_a") & good_thinking("_think", "_a", spec.max_think_segment_chars))
-    df = df.filter(~low_quality("_q", "_think", "_a"))
+    return df.filter(step_by_step("_a") & good_thinking("_think", "_a", spec.max_think_segment_chars) & ~low_quality(F.lit(""), "_think", "_a"))
+
+
+def _asked(question: str, spec: SourceSpec) -> Column:
+    """Is the question itself one to keep (whatever its length)."""
+    good = nonempty(question) & ~low_quality_text(question)
+    return good & topic_match(question, spec.topic_patterns) if spec.topic_only else good
+
+
+def _token_count(question: str, spec: SourceSpec) -> Column:
     if spec.token_len_col is not None:
-        tok = F.col(spec.token_len_col).cast("long")
-    else:
-        tok = rendered_token_count("_q", "_think", "_a", spec)
-    df = df.withColumn("_tok", tok).filter(token_in_range("_tok", spec.min_token, spec.max_token))
-    return df
+        return F.col(spec.token_len_col).cast("long")
+    return rendered_token_count(question, "_think", "_a", spec)
+
+
+def shape_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Per-row mapping and filters (no caps): ``_q, _a, _think, _tok`` plus the raw columns."""
+    df = _source_rows(raw, spec).withColumn("_q", F.col(spec.question_col).cast("string")).filter(_asked("_q", spec))
+    df = _shape_answers(df, spec)
+    return df.withColumn("_tok", _token_count("_q", spec)).filter(token_in_range("_tok", spec.min_token, spec.max_token))
 
 
 def _parity(before: WindowSpec, start: Column) -> Column:
@@ -100,17 +110,15 @@ def _parity(before: WindowSpec, start: Column) -> Column:
     return F.pmod(F.when(held.isNotNull(), held["_set"] + flips - held["done"]).otherwise(start + flips), F.lit(2)).cast("int")
 
 
-def alternate_questions(first: DataFrame, second: DataFrame, row_id: str, order: list[Column], bucket: int = BUCKET) -> DataFrame:
+def alternate_questions(flags: DataFrame, row_id: str, order: list[Column], bucket: int = BUCKET) -> DataFrame:
     """``(row_id, alternate)`` of the accepted rows when the second question is asked after an odd number of accepted rows.
 
-    ``first`` / ``second``: the rows that would be accepted with either question.  Going
-    through the rows in ``order``, one that both accept flips the parity, one that only
+    ``flags`` says with ``_e`` and ``_v`` (1 or 0, not both 0) whether a row would be accepted with the first
+    and the second question.  Going through the rows in ``order``, one that both accept flips the parity, one that only
     the first (second) accepts sets it to 1 (0).  These four maps compose, so buckets of
     ``bucket`` rows are summed up on their own, a table with one row per bucket gives each its
     start, and the rows of a bucket follow from there: no task sees the whole source.
     """
-    ids = first.select(row_id, F.lit(1).alias("_e"), F.lit(0).alias("_v")).union(second.select(row_id, F.lit(0), F.lit(1)))
-    flags = ids.groupBy(row_id).agg(F.max("_e").alias("_e"), F.max("_v").alias("_v"))
     keys = [k.alias(f"_k{i}") for i, k in enumerate(order)]
     ranked = global_rank(flags.select(row_id, "_e", "_v", *keys), [f"_k{i}" for i in range(len(order))], "_rank")
     rows = (ranked.withColumn("_b", F.floor(F.col("_rank") / bucket))
@@ -132,17 +140,25 @@ def alternate_questions(first: DataFrame, second: DataFrame, row_id: str, order:
 
 
 def _accepted(raw: DataFrame, spec: SourceSpec, order: list[Column]) -> DataFrame:
-    """Shaped rows; with a second question column, each row with the question that its turn asks."""
+    """Shaped rows; with a second question column, each row with the question that its turn asks.
+
+    Answer and thinking are shaped once, each question is tested on the same row, and what either question would accept is
+    written once; the turns are read from its slim flags and the output from its rows.
+    """
     if spec.question_alt_col is None:
         return shape_source(raw, spec)
     if spec.group_col is not None:
         raise ValueError("the turn of a question depends on all rows accepted before; it can't be paired with a cap per group")
-    first = shape_source(raw, replace(spec, question_alt_col=None))
-    second = shape_source(raw, replace(spec, question_col=spec.question_alt_col, question_alt_col=None))
-    turns = alternate_questions(first, second, spec.row_id_col, order)
-    parts = [rows.join(turns.filter(F.col("alternate") == flag).select(spec.row_id_col), spec.row_id_col, "left_semi")
-             for flag, rows in ((False, first), (True, second))]
-    return parts[0].unionByName(parts[1])
+    both = {"_q1": F.col(spec.question_col).cast("string"), "_q2": F.col(spec.question_alt_col).cast("string")}
+    asked = _source_rows(raw, spec).withColumns(both).withColumns({f"_ask{i}": F.coalesce(_asked(f"_q{i}", spec), F.lit(False)) for i in (1, 2)})
+    shaped = _shape_answers(asked.filter("_ask1 or _ask2"), spec)
+    counted = shaped.withColumns({f"_tok{i}": F.when(F.col(f"_ask{i}"), _token_count(f"_q{i}", spec)) for i in (1, 2)})
+    fits = {flag: F.coalesce(F.col(f"_ask{i}") & token_in_range(f"_tok{i}", spec.min_token, spec.max_token), F.lit(False)).cast("int") for i, flag in ((1, "_e"), (2, "_v"))}
+    rows = written(counted.withColumns(fits).drop("_ask1", "_ask2").filter("_e + _v > 0"), "questions")
+    turns = alternate_questions(rows.select(spec.row_id_col, "_e", "_v"), spec.row_id_col, order)
+    second = F.col("alternate")
+    told = rows.join(turns, spec.row_id_col).withColumns({"_q": F.when(second, F.col("_q2")).otherwise(F.col("_q1")), "_tok": F.when(second, F.col("_tok2")).otherwise(F.col("_tok1"))})
+    return told.drop("_q1", "_q2", "_tok1", "_tok2", "_e", "_v", "alternate")
 
 
 def curate_source(raw: DataFrame, spec: SourceSpec) -> DataFrame:

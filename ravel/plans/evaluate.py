@@ -18,8 +18,8 @@ from ravel.params import EQUIVALENCE_PROMPT, EQUIVALENCE_SLOTS, MASK_RATIO, REWA
 
 def evaluation_details(samples: DataFrame, outputs: DataFrame, key: str = "sample_id", problem: str = "problem",
                        answer: str = "answer", output: str = "output", tokens: str = "token_generated",
-                       eval_size: int = 0, gold_last_line: bool = True) -> DataFrame:
-    """Per-sample details: question, ground_truth, prediction, raw_output, token_generated, is_correct."""
+                       eval_size: int = 0, gold_last_line: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per-sample details: question, ground_truth, prediction, raw_output, token_generated, is_correct, and the columns to ``carry``."""
     s = take_first(samples, [F.col(key)], eval_size) if eval_size and eval_size > 0 else samples
     j = s.join(outputs, on=key, how="inner")
     gold = normalize_gold(answer) if gold_last_line else F.col(answer).cast("string")
@@ -30,16 +30,15 @@ def evaluation_details(samples: DataFrame, outputs: DataFrame, key: str = "sampl
         extract_boxed(output).alias("prediction"),
         py_strip(output).alias("raw_output"),
         F.col(tokens).alias("token_generated"),
+        *carry,
     )
     return with_grade(staged, "question", "prediction", "ground_truth", "is_correct")
 
 
 def evaluate_runs(samples: DataFrame, outputs: DataFrame, group: list[str], **kw) -> tuple[DataFrame, DataFrame]:
     """(details, summary): summary = accuracy (%) and mean generated tokens per group."""
-    details = evaluation_details(samples, outputs, **kw)
-    extra = [g for g in group if g not in details.columns]
-    if extra:
-        details = details.join(samples.select(kw.get("key", "sample_id"), *extra), on=kw.get("key", "sample_id"))
+    own = {kw.get("key", "sample_id"), "question", "ground_truth", "prediction", "raw_output", "token_generated"}
+    details = evaluation_details(samples, outputs, carry=tuple(g for g in group if g not in own), **kw)
     return details, eval_accuracy(details, group)
 
 

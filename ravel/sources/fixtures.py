@@ -14,6 +14,7 @@ literal braces.  ``chr(10)``/``chr(92)`` avoid escape differences.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,22 +51,46 @@ FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 
 # Model completions: four per prompt_id; some have a formula header, some
 # lack the newline around the closing think tag; the final line boxes one
-# of several answer forms (plain, fraction, "x = n", \text{DNE}, spelled
-# out, a choice letter, \text{c}, or a box that is never closed).
+# of several answer forms: plain, fraction, "x = n", \text{DNE}, spelled
+# out, a choice letter, \text{c}, a box that is never closed, expressions that are
+# equal to the solution (or just not) after some algebra, and answers and
+# tails with characters on which regex engines differ.
 COMPLETIONS = """
-SELECT id AS completion_id, prompt_id, problem, answer AS solution,
+SELECT id AS completion_id, prompt_id, problem,
+ CASE id % 20
+   WHEN 8 THEN concat('(x+', answer, ')/6')
+   WHEN 9 THEN 'x^2+2x+1'
+   WHEN 10 THEN '1+x'
+   WHEN 11 THEN concat('2', chr(92), 'sqrt{{2}}')
+   WHEN 12 THEN concat(chr(92), 'frac{{x^2-1}}{{x-1}}')
+   WHEN 13 THEN concat(chr(92), 'sin(2x)')
+   WHEN 14 THEN 'e^{{2x}}'
+   WHEN 15 THEN '-x^2'
+   ELSE answer END AS solution,
  concat('<think>', chr(10), CASE WHEN id % 3 = 0 THEN concat('- formula 1: f', chr(10)) ELSE '' END, 'Step 1: start',
   chr(10), chr(10), coalesce(think, ''),
   CASE WHEN id % 7 = 6 THEN '</think>' ELSE concat(chr(10), '</think>', chr(10)) END, response, chr(10), 'Final: ',
-  CASE id % 8
-    WHEN 0 THEN concat(chr(92), 'boxed{{', answer, '}}')
+  CASE id % 20
     WHEN 1 THEN concat(chr(92), 'boxed{{', chr(92), 'frac{{', CAST(2 * (id % 13) AS STRING), '}}{{2}}}}')
     WHEN 2 THEN concat(chr(92), 'boxed{{x = ', answer, '}}')
     WHEN 3 THEN concat(chr(92), 'boxed{{', chr(92), 'text{{DNE}}}}')
     WHEN 4 THEN concat(chr(92), 'boxed{{Does  Not Exist}}')
     WHEN 5 THEN concat(chr(92), 'boxed{{B}}')
     WHEN 6 THEN concat(chr(92), 'boxed{{ ', chr(92), 'text{{c}} }}.')
-    ELSE concat(chr(92), 'boxed{{', answer, ' and more') END) AS content,
+    WHEN 7 THEN concat(chr(92), 'boxed{{', answer, ' and more')
+    WHEN 8 THEN concat(chr(92), 'boxed{{', chr(92), 'frac{{1}}{{6}}x+', chr(92), 'frac{{', answer, '}}{{6}}}}')
+    WHEN 9 THEN concat(chr(92), 'boxed{{y = (x+1)^{{2}}}}')
+    WHEN 10 THEN concat(chr(92), 'boxed{{x+2}}')
+    WHEN 11 THEN concat(chr(92), 'boxed{{', chr(92), 'sqrt{{8}}}}')
+    WHEN 12 THEN concat(chr(92), 'boxed{{x + 1}}')
+    WHEN 13 THEN concat(chr(92), 'boxed{{2', chr(92), 'sin x', chr(92), 'cos x}}')
+    WHEN 14 THEN concat(chr(92), 'boxed{{(e^x)^2}}')
+    WHEN 15 THEN concat(chr(92), 'boxed{{(-x)^2}}')
+    WHEN 16 THEN concat(chr(92), 'boxed{{Does', chr(28), 'Not Exist}}')
+    WHEN 17 THEN concat(chr(92), 'boxed{{A', chr(28), 'x}}')
+    WHEN 18 THEN concat(chr(92), 'boxed{{', answer, '}} <think\u0301 a> \u2126')
+    WHEN 19 THEN concat(chr(92), 'boxed{{', answer, '}} \u00b5m')
+    ELSE concat(chr(92), 'boxed{{', answer, '}}') END) AS content,
  CAST(length(response) AS BIGINT) AS token_generated
 FROM {reasoning}
 """
@@ -94,18 +119,26 @@ ANSWER_PAIRS = """
 SELECT id, problem AS instruction, response AS ans1, answer AS ans2 FROM {reasoning}
 """
 
-# Token rows: word lengths stand in for token ids over the whole think and
-# response; 1000 = think start, 1001 = think end.
-TOKEN_ROWS_SPARK = """
-SELECT id, concat(array(1, 2, 1000), transform(split(coalesce(think, ''), ' '), w -> length(w)),
-  array(1001), transform(split(response, ' '), w -> length(w))) AS input_ids
-FROM {reasoning}
-"""
-TOKEN_ROWS_DUCKDB = """
-SELECT id, CAST(list_concat(list_concat([1, 2, 1000], list_transform(string_split(coalesce(think, ''), ' '), lambda w: length(w))),
-  list_concat([1001], list_transform(string_split(response, ' '), lambda w: length(w)))) AS INTEGER[]) AS input_ids
-FROM {reasoning}
-"""
+# Token rows: every word of the whole think and response stands for a token.  Words of 2 to 4
+# letters have their length as id, so that step prefixes (3, 4) and colons (2) occur; all others have one of
+# ``VOCABULARY`` ids by their md5, so that a marker word is as rare as any other.  1000 = think start, 1001 = think end.
+VOCABULARY = 800
+TOKEN_ROWS_SPARK = f"""
+SELECT id, concat(array(1, 2, 1000), transform(split(coalesce(think, ''), ' '), w -> TOKEN), array(1001),
+  transform(split(response, ' '), w -> TOKEN)) AS input_ids
+FROM {{reasoning}}
+""".replace("TOKEN", f"CASE WHEN length(w) BETWEEN 2 AND 4 THEN length(w) ELSE CAST(1002 + CAST(conv(substr(md5(w), 1, 7), 16, 10) AS INT) % {VOCABULARY} AS INT) END")
+TOKEN_ROWS_DUCKDB = f"""
+SELECT id, CAST(list_concat(list_concat([1, 2, 1000], list_transform(string_split(coalesce(think, ''), ' '), lambda w: TOKEN)),
+  list_concat([1001], list_transform(string_split(response, ' '), lambda w: TOKEN))) AS INTEGER[]) AS input_ids
+FROM {{reasoning}}
+""".replace("TOKEN", f"CASE WHEN length(w) BETWEEN 2 AND 4 THEN length(w) ELSE 1002 + CAST('0x' || substr(md5(w), 1, 7) AS INTEGER) % {VOCABULARY} END")
+
+
+def token_id(word: str) -> int:
+    """The id of a word that is no step prefix or colon: one of ``VOCABULARY``, whatever its length."""
+    return 1002 + int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % VOCABULARY
+
 
 # Per-token losses of the token rows (stand-in for a model's forward pass).
 TOKEN_LOSSES_SPARK = """

@@ -7,10 +7,14 @@
 * ``stream_curate`` runs the row-wise curation of a source and a streaming
   ``dropDuplicates`` on a digest of the normalised problem; ``stream_dedup`` only the latter.
 
-Sources are file directories read with a fixed schema; checkpoints and the
-keyed tables live in the shared checkpoint folder, so a restarted query resumes.
+Sources are file directories read with a fixed schema.  Every stream takes a ``location``, a
+folder that holds its checkpoint and its table: a query started again with the same
+location, in whatever session, goes on after the last micro-batch that was committed.  Without one, a fresh
+folder below the shared checkpoint folder is used once.
+
 A version of a keyed table is written per micro-batch under the batch's number; a
-batch that is run again overwrites its own version and reads the one before.
+batch that is run again overwrites its own version and reads the one before, so
+the last two versions are kept and older ones removed.
 """
 
 from __future__ import annotations
@@ -26,30 +30,20 @@ from ravel.operators.dedup import key_digest
 from ravel.operators.selection import topk_rewards
 from ravel.params import SourceSpec
 from ravel.plans.curate import curated_columns, shape_source
-from ravel.session import scratch_path
+from ravel.session import folder_names, remove_folder, scratch_path
 
 FILES_PER_BATCH = 8
 
 
-def keep_topk(held: list[tuple[float, int]], reward: float, step: int, k: int) -> list[tuple[float, int]]:
-    """One arrival at the online keeper: admit while not full, else only above the minimum,
-    evicting the oldest among the minimum; the list stays sorted by reward (stable)."""
-    if len(held) < k:
-        held = sorted(held + [(reward, step)], key=lambda x: x[0])
-    elif reward > held[0][0]:
-        held = sorted(held[1:] + [(reward, step)], key=lambda x: x[0])
-    return held
-
-
 def _read(spark: SparkSession, source_dir: str, schema: StructType, files_per_batch: int) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
 
-def _fold(src: DataFrame, name: str, reduce_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _fold(src: DataFrame, name: str, reduce_rows: Callable[[DataFrame], DataFrame], location: str | None) -> DataFrame:
     """The keyed table after all available micro-batches: ``reduce_rows`` of the rows held and the new ones, batch by batch."""
     spark = src.sparkSession
-    state, ckpt = scratch_path(spark, f"{name}-state"), scratch_path(spark, f"{name}-ckpt")
-    done = []
+    base = location or scratch_path(spark, name)
+    state = f"{base}/state"
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -57,26 +51,34 @@ def _fold(src: DataFrame, name: str, reduce_rows: Callable[[DataFrame], DataFram
         if number:
             rows = session.read.schema(src.schema).parquet(f"{state}/{number - 1}").unionByName(batch)
         reduce_rows(rows).write.mode("overwrite").parquet(f"{state}/{number}")
-        done.append(number)
+        for old in _versions(session, state):
+            if old < number - 1:
+                remove_folder(session, f"{state}/{old}")
 
-    query = src.writeStream.foreachBatch(step).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    query = src.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not done:
+    versions = _versions(spark, state)
+    if not versions:
         return spark.createDataFrame([], src.schema)
-    return spark.read.schema(src.schema).parquet(f"{state}/{done[-1]}")
+    return spark.read.schema(src.schema).parquet(f"{state}/{max(versions)}")
+
+
+def _versions(spark: SparkSession, state: str) -> list[int]:
+    return [int(name) for name in folder_names(spark, state) if name.isdigit()]
 
 
-def _append(query_df: DataFrame, name: str) -> DataFrame:
-    spark = query_df.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    query = (query_df.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+def append_stream(rows: DataFrame, name: str, location: str | None = None) -> DataFrame:
+    """All rows that a stream has appended to the table of its ``location`` after all available micro-batches."""
+    spark = rows.sparkSession
+    base = location or scratch_path(spark, name)
+    query = (rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/table")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(query_df.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(f"{base}/table")
 
 
 def stream_topk(spark: SparkSession, source_dir: str, schema: StructType, k: int, run: str = "run_id",
-                step: str = "step", reward: str = "reward", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+                step: str = "step", reward: str = "reward", files_per_batch: int = FILES_PER_BATCH, location: str | None = None) -> DataFrame:
     """Final top-k rows per run after all files of ``source_dir`` arrived (a run's batches in step order).
 
     Keeping on from the rows held is the same as keeping from the start, so the batch
@@ -84,12 +86,12 @@ def stream_topk(spark: SparkSession, source_dir: str, schema: StructType, k: int
     """
     src = _read(spark, source_dir, schema, files_per_batch).select(
         F.col(run).alias("run_id"), F.col(step).alias("step"), F.col(reward).cast("double").alias("reward"))
-    return _fold(src, "topk", lambda rows: topk_rewards(rows, k))
+    return _fold(src, "topk", lambda rows: topk_rewards(rows, k), location)
 
 
 def stream_best_step(spark: SparkSession, source_dir: str, schema: StructType, eval_steps: int, run: str = "run_id",
                      step: str = "step", accuracy: str = "accuracy", tokens: str = "avg_tokens",
-                     files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+                     files_per_batch: int = FILES_PER_BATCH, location: str | None = None) -> DataFrame:
     """Best evaluated step per run: highest accuracy, then lowest tokens, then earliest step."""
     src = _read(spark, source_dir, schema, files_per_batch).select(
         F.col(run).alias("run_id"), F.col(step).alias("step"), F.col(accuracy).alias("accuracy"), F.col(tokens).alias("avg_tokens"))
@@ -99,7 +101,7 @@ def stream_best_step(spark: SparkSession, source_dir: str, schema: StructType, e
         top = F.max(F.struct(F.col("accuracy").alias("a"), (-F.col("avg_tokens")).alias("t"), (-F.col("step")).alias("s"))).alias("b")
         return rows.groupBy("run_id").agg(top).select("run_id", (-F.col("b.s")).alias("step"), F.col("b.a").alias("accuracy"), (-F.col("b.t")).alias("avg_tokens"))
 
-    return _fold(evaluated, "best-step", best)
+    return _fold(evaluated, "best-step", best, location)
 
 
 def _first_arrivals(rows: DataFrame, problem: str, within: tuple[str, str] | None) -> DataFrame:
@@ -111,20 +113,20 @@ def _first_arrivals(rows: DataFrame, problem: str, within: tuple[str, str] | Non
 
 
 def stream_curate(spark: SparkSession, source_dir: str, schema: StructType, spec: SourceSpec,
-                  within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+                  within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH, location: str | None = None) -> DataFrame:
     """Row-wise curation of a source (no caps or samples, which need the whole source), then streaming dedup."""
     rows = curated_columns(shape_source(_read(spark, source_dir, schema, files_per_batch), spec), spec)
-    return _append(_first_arrivals(rows, "problem", within), "curate")
+    return append_stream(_first_arrivals(rows, "problem", within), "curate", location)
 
 
 def stream_dedup(spark: SparkSession, source_dir: str, schema: StructType, problem: str = "problem",
-                 within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+                 within: tuple[str, str] | None = None, files_per_batch: int = FILES_PER_BATCH, location: str | None = None) -> DataFrame:
     """Streaming keep-first dedup (the first arrival of a key is kept).
 
     The state holds a digest of every key seen; ``within`` = (time column, delay) bounds
     it to duplicates that arrive within the watermark's delay.
     """
-    return _append(_first_arrivals(_read(spark, source_dir, schema, files_per_batch), problem, within), "dedup")
+    return append_stream(_first_arrivals(_read(spark, source_dir, schema, files_per_batch), problem, within), "dedup", location)
 
 
 def write_in_arrival_order(df: DataFrame, path: str, order: str, parts: int, key: str | None = None) -> None:

@@ -1,7 +1,6 @@
 """Golden cases of the Column functions, with results worked out by hand."""
 
 import math
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from ravel.functions import text as TX
 from ravel.functions.markers import marker_total
 from ravel.operators import filters as FL
 from ravel.operators import rewards as RWD
+from ravel.sources.io import two_decimals
 
 
 @pytest.mark.parametrize("s,want", [
@@ -53,12 +53,35 @@ def test_py_strip(spark, s):
     assert one(spark, TX.py_strip(F.col("s")), s=s) == s.strip()
 
 
-@pytest.mark.parametrize("s", ["Does  Not Exist", "does not exist.", " DOES\u00a0not exist ", "it does not exist"])
-def test_normalize_dne(spark, s):
-    want = "dne" if re.match(r"does\s+not\s+exist$", s.strip(), re.IGNORECASE) else s
+@pytest.mark.parametrize("s,want", [
+    ("Does  Not Exist", "dne"), ("does not exist.", "does not exist."), (" DOES\u00a0not exist ", "dne"),
+    ("it does not exist", "it does not exist"), ("does\x1cnot exist", "dne"), ("does\u2028not\x1f\x1e exist\n", "dne"),
+])
+def test_normalize_dne(spark, s, want):
     assert one(spark, A.normalize_dne(F.col("s")), s=s) == want
 
 
+@pytest.mark.parametrize("s,want", [
+    ("\\boxed{A\x1cx}", "\\boxed{A}"), ("\\boxed{b)}", "\\boxed{B}"), ("\\boxed{c\u2028}", "\\boxed{C}"), ("\\boxed{Ax}", "\\boxed{Ax}"),
+    ("\\boxed{Ax\n}", "\\boxed{Ax\n}"), ("\\boxed{{B}, x}", "\\boxed{{B}, x}"), ("\\boxed{x d\n} and \\boxed{5}", "\\boxed{D} and \\boxed{5}"),
+])
+def test_fix_choice_box(spark, s, want):
+    assert one(spark, B.fix_choice_box(F.col("s")), s=s) == want
+
+
+@pytest.mark.parametrize("s,want", [
+    ("plain text, naïve café", 1.0), ("10 \u2126", 0.0), ("5 \u00b5m", 0.0), ("why\u037e", 1.0), ("\u03c0", 0.0), ("x² ½ ﬁ", 1.0),
+    ("$\\alpha \u03b1$ and \\(\u03b2\\)", 1.0), ("\u1f00", 0.0), ("㍍", 0.0), ("\u0430", 0.0), ("", 1.0),
+])
+def test_flag_script(spark, s, want):
+    assert one(spark, RWD.flag_script(F.col("s")), s=s) == want
+
+
+@pytest.mark.parametrize("x,want", [(0.125, "0.12"), (2.675, "2.67"), (1.005, "1.00"), (0.375, "0.38"), (1234567.895, "1234567.90"), (0.0, "0.00"), (66.66666666666667, "66.67"), (100.0, "100.00")])
+def test_two_decimals_as_in_c(spark, x, want):
+    assert one(spark, two_decimals("x"), x=x) == want == "%.2f" % x
+
+
 def test_text_cmd_and_choice(spark):
     assert one(spark, A.normalize_text_cmd(F.col("s")), s="\\text{DNE} or \\text{Yes}") == "dne or yes"
     assert one(spark, A.choice_letter(F.col("s")), s=" \\text{b} ") == "B"
@@ -87,7 +110,9 @@ def test_grade_ignore_unparseable(spark):
 def test_one_box_fold_in_reward_plans(spark):
     rows = spark.createDataFrame([("\\boxed{5}", "5")], "content string, solution string")
     plan = RWD.with_correct(rows)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("aggregate(") <= 2  # the fold's state is read twice at most
+    folds = [line.count("aggregate(") for line in plan.splitlines() if "aggregate(" in line]
+    assert len(folds) == 2  # one projection reads expressions, one the box
+    assert folds[-1] <= 2 and folds[0] <= 10  # the box fold's state is read twice at most; expressions are one tree for all sides and points
 
 
 def test_normalize_gold(spark):
@@ -118,6 +143,7 @@ def test_strip_tags(spark):
     got = one(spark, TX.strip_outer_tags(F.col("s")), s="  <think>\ninner </b> text </think>  ")
     assert got == "inner </b> text"
     assert one(spark, TX.strip_named_tags(F.col("s"), ["think"]), s="<THINK a=1>x</think><thinking>") == "x<thinking>"
+    assert one(spark, TX.strip_named_tags(F.col("s"), ["think"]), s="<think\u0301 a>x<think_ a></think\u0b83>") == "x<think_ a></think\u0b83>"
 
 
 def test_low_quality_patterns(spark):

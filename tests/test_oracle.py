@@ -9,7 +9,8 @@ from ravel.sources.fixtures import BASE_TABLES
 
 SAMPLE = ["usable_topic_problems", "grade", "extract_boxed", "curate_source", "split_train_val_test", "topk_rewards",
           "reward_total", "length_histogram", "token_weights", "filter_topic", "build_corpus", "stream_topk", "stream_best_step",
-          "stream_dedup", "prepare_sft", "weighted_token_loss", "alternate_question", "semijoin_holdout"]
+          "stream_dedup", "prepare_sft", "weighted_token_loss", "alternate_question", "semijoin_holdout", "read_json_records", "flag_script",
+          "strip_named_tags", "fix_choice_box", "stream_dataset"]
 
 
 def _norm(v):

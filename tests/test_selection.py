@@ -1,30 +1,38 @@
-"""Top-k closed form vs the sequential keeper; best step; split properties; masks by worked examples."""
+"""Top-k by worked examples; best step; split properties; masks by worked examples."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ravel.operators import selection as SL
 from ravel.operators import split as SP
 from ravel.sources.fixtures import table
-from ravel.streaming.trackers import keep_topk
-
-
-def test_topk_matches_simulation(spark):
-    rng = random.Random(7)
-    rows, expected = [], set()
-    for run in range(40):
-        n = rng.randint(0, 12)
-        held = []
-        for step in range(n):
-            r = float(rng.randint(0, 4))
-            rows.append((run, step, r))
-            held = keep_topk(held, r, step, 3)
-        expected |= {(run, s, r) for r, s in held}
+
+
+@pytest.mark.parametrize("rewards,kept", [
+    ([], []), ([5], [0]), ([1, 1], [0, 1]), ([1, 1, 1], [0, 1, 2]),
+    ([1, 1, 1, 1], [0, 1, 2]),  # an equal reward does not get in
+    ([1, 1, 1, 2], [1, 2, 3]),  # the oldest of the smallest goes
+    ([3, 1, 1, 2], [0, 2, 3]), ([3, 1, 2, 1, 1], [0, 1, 2]), ([1, 2, 3, 4, 5], [2, 3, 4]), ([5, 4, 3, 2, 1], [0, 1, 2]),
+    ([2, 2, 2, 3, 2, 3], [2, 3, 5]),  # the late 2 at step 4 never got in
+    ([1, 2, 2, 2], [1, 2, 3]), ([1, 2, 2, 2, 2], [1, 2, 3]), ([2, 1, 1, 3, 3, 3], [3, 4, 5]), ([None, 1, None, 2], [1, 3]),
+])
+def test_topk(spark, rewards, kept):
+    rows = [(run, i, None if r is None else float(r)) for run in (1, 2) for i, r in enumerate(rewards)]
+    df = spark.createDataFrame(rows, "run_id long, step long, reward double")
+    got = sorted((r.run_id, r.step, r.reward) for r in SL.topk_rewards(df, 3).collect())
+    assert got == [(run, i, float(rewards[i])) for run in (1, 2) for i in kept]
+
+
+def test_topk_of_a_hot_run(spark):
+    rows = [(1, i, float(i % 7)) for i in range(6000)] + [(2 + i % 300, i, 1.0) for i in range(12_000)]
     df = spark.createDataFrame(rows, "run_id long, step long, reward double")
-    got = {(r.run_id, r.step, r.reward) for r in SL.topk_rewards(df, 3).collect()}
-    assert got == expected
+    got = sorted((r.run_id, r.step) for r in SL.topk_rewards(df, 3).collect())
+    assert [s for r, s in got if r == 1] == [6, 13, 20]
+    assert all([s for r, s in got if r == 2 + k] == [k, k + 300, k + 600] for k in range(300))
 
 
 def test_best_step_ties(spark):
@@ -73,6 +81,27 @@ def test_word_spans_and_masks(spark):
     assert none == ids
 
 
+def test_many_sequences_and_long_rows(spark):
+    from ravel.functions import tokens as TK
+
+    rng = random.Random(5)
+    ids = [rng.randrange(3000) for _ in range(30_000)]
+    seqs = [[1000 + i, 2000 + i] for i in range(150)] + [[i] for i in range(150)] + [[], [7], [40, 41, 42]]
+    for at in range(0, 29_000, 100):
+        ids[at : at + 2] = [1000 + at % 150, 2000 + at % 150]
+    df = spark.createDataFrame([(ids,)] * 8, "ids array<int>").repartition(8)
+    began = time.time()
+    spans = df.select(TK.word_spans("ids", seqs).alias("s")).collect()
+    assert time.time() - began < 60
+    known, want, at = {tuple(q): None for q in seqs if q}, [], 0
+    while at < len(ids):
+        size = next((len(q) for q in known if tuple(ids[at : at + len(q)]) == q), 0)
+        want += [(at, size)] * (size > 0)
+        at += size or 1
+    assert all([(x.s, x.l) for x in r.s] == want for r in spans)
+    assert [x.s for x in spark.range(1).select(TK.word_spans(F.array(F.lit(1)), []).alias("s")).collect()] == [[]]
+
+
 def test_one_fold_per_mask_plan(spark):
     from ravel.plans.evaluate import prepare_sft
 
@@ -110,7 +139,8 @@ def test_alternate_questions(spark):
         if v if odd else e:
             want.append((i, odd))
             accepted += 1
-    df = spark.createDataFrame(rows, "id long, e boolean, v boolean")
+    df = spark.createDataFrame(rows, "id long, e boolean, v boolean").filter("e or v")
+    flags = df.select("id", F.col("e").cast("int").alias("_e"), F.col("v").cast("int").alias("_v"))
     for bucket in (7, 1000):
-        got = alternate_questions(df.filter("e").select("id"), df.filter("v").select("id"), "id", [F.col("id")], bucket).collect()
+        got = alternate_questions(flags, "id", [F.col("id")], bucket).collect()
         assert sorted((r.id, r.alternate) for r in got) == want
