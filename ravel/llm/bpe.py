@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from ravel.llm.chunks import ChunkEncoder
-from ravel.llm.common import slices, texts
+from ravel.llm.chunks import ChunkEncoder, encode_pieces
+from ravel.llm.common import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-SLICE = 6 << 20
+SLICE = 3 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -93,7 +93,7 @@ class BytePairEncoder:
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         two = (self.single[:, None].astype(np.int64) << 20 | self.single[None, :]).ravel()
         self.byte_pairs = self.pair_ranks(two).reshape(256, 256)
-        self.texts = ChunkEncoder(lambda distinct: self.merge([p.encode() for p in distinct]), self.pattern.findall)
+        self.texts = ChunkEncoder(lambda distinct: encode_pieces(distinct, self.pattern.findall, lambda parts: self.merge([p.encode() for p in parts])))
 
     def pair_ranks(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -210,7 +210,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in slices(batches, text_col, SLICE):
-            ids, n = bpe.encode(texts(batch.column(text_col)))
+            ids, n = bpe.texts.encode_column(batch.column(text_col))
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*names, ids_col]

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravel.llm.chunks import ChunkEncoder
-from ravel.llm.common import slices, texts
+from ravel.llm.common import slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 PARTITION_CHARS = 24 << 20
-SLICE = 6 << 20
+SLICE = 3 << 20
 JOINED = 64
 _MAGIC = b"WVM1"
 _BLOCK = 512
@@ -59,10 +59,11 @@ class WaveletMatrix:
         present = np.zeros(int(ids.max(initial=-1)) + 1, bool)
         present[ids] = True
         alphabet = np.flatnonzero(present)
-        seq = (np.cumsum(present) - 1).astype(np.uint32)[ids] if len(ids) else np.empty(0, np.uint32)
+        kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
+        seq = (np.cumsum(present) - 1).astype(kind)[ids] if len(ids) else np.empty(0, kind)
         planes = []
         for level in reversed(range(int(max(len(alphabet) - 1, 0)).bit_length())):
-            bit = (seq >> np.uint32(level)) & np.uint32(1) != 0
+            bit = seq & kind(1 << level) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(np.append(packed, np.zeros(-len(packed) % (_BLOCK // 8), np.uint8)))
             seq = np.concatenate([seq[~bit], seq[bit]])
@@ -138,12 +139,13 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence, by undoing the partings from the lowest plane up."""
-        code = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        code = np.zeros(self.n, kind)
         for level in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, kind)
             up[~bit] = code[: self.zeros[level]]
-            up[bit] = code[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[bit] = code[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             code = up
         return self.alphabet[code] if self.n else np.empty(0, np.uint32)
 
@@ -199,7 +201,7 @@ def _library(path: str) -> ChunkEncoder:
         cuts = np.flatnonzero(flat == special[0])
         return flat[flat != special[0]], np.diff(cuts, prepend=-1) - 1
 
-    return ChunkEncoder(encode, lambda chunk: [chunk])
+    return ChunkEncoder(encode, uncut=[t.content for t in library.get_added_tokens_decoder().values()])
 
 
 def write_token_shards(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partition_chars: int = PARTITION_CHARS) -> None:
@@ -227,7 +229,7 @@ def write_token_shards(docs: DataFrame, out: str, path: str | None = None, end_i
             )
 
         for batch in slices(batches, "text", SLICE):
-            ids, n = encoder.encode(texts(batch.column("text")))
+            ids, n = encoder.encode_column(batch.column("text"))
             full = n + 1
             whole = np.full(int(full.sum()), end_id, np.int32)
             last = np.cumsum(full) - 1
