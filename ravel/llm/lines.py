@@ -92,28 +92,21 @@ def _pairs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(h1, h2, n, top)``: digest of every key, the rows of ``docs`` that hold it and the largest doc_id among them."""
+    """``(h1, h2, n, top)``: digest of every key, the documents (distinct doc_ids) that hold it and the largest doc_id among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            seen: dict[bytes, list[int]] = {}
+            keys, holders = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                doc = _NO_ID if doc is None else doc
-                for key in {line_key(line, min_chars) for line in text.split(b"\n")}:
-                    if key is None:
-                        continue
-                    held = seen.get(key)
-                    if held is None:
-                        seen[key] = [1, doc]
-                    else:
-                        held[0] += 1
-                        held[1] = max(held[1], doc)
-            if seen:
-                a, b = _pairs(list(seen))
-                n, top = zip(*seen.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n, pa.int64()), pa.array(top, pa.int64())], names=["h1", "h2", "n", "top"])
+                own = {line_key(line, min_chars) for line in text.split(b"\n")} - {None}
+                keys += own
+                holders += [_NO_ID if doc is None else doc] * len(own)
+            if keys:
+                a, b = _pairs(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(holders, pa.int64())], names=["h1", "h2", "doc"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 long, h2 long, n long, top long")
-    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 long, h2 long, doc long")
+    # a document may have several rows: its keys are counted once; the digest and the id together make no hot key
+    return rows.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("top"))
 
 
 _INDEX = "shard long, sizes array<long>, bits binary, prints binary, counts binary, tops binary"
@@ -141,9 +134,9 @@ def build_index(counts: DataFrame, n_shards: int) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped`` (replacing columns of these names).
 
-    A key of at least ``min_chars`` code points in at least ``min_docs`` rows loses all
-    its lines except in rows with the largest doc_id that holds it.  Every row is a
-    document; a null doc_id is below all others; a null text is one empty line
+    A key of at least ``min_chars`` code points in at least ``min_docs`` documents loses all
+    its lines except in rows with the largest doc_id that holds it.  Rows that share a doc_id are one
+    document, and so are rows without one; a null doc_id is below all others; a null text is one empty line
     and stays null; texts without dropped lines stay as they are; an empty table
     gives an empty result.  Other columns are passed through.
     """
@@ -151,6 +144,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         raise ValueError(f"min_docs must be at least {INDEX_FROM}")
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    block = "_block"
+    while block in {c.lower() for c in names}:
+        block += "_"
     size, = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     # lines of 40 characters and more in a text of so many bytes can't be more than this
@@ -160,14 +156,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     blocked = docs.select(
         *(F.col(f"`{c}`") for c in names),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(n_blocks)).alias("_block"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), F.lit(n_blocks)).alias(block),
     )
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             seen = {
-                (block, key)
-                for block, text in zip(batch.column("_block").to_pylist(), text_bytes(batch.column("text")), strict=True)
+                (number, key)
+                for number, text in zip(batch.column(block).to_pylist(), text_bytes(batch.column("text")), strict=True)
                 for key in {line_key(line, min_chars) for line in text.split(b"\n")}
                 if key is not None
             }
@@ -176,7 +172,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                 a, b = _pairs(list(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(a), pa.array(b)], names=["block", "h1", "h2"])
 
-    probes = blocked.select("_block", "text").mapInArrow(digests, "block long, h1 long, h2 long").distinct()
+    probes = blocked.select(block, "text").mapInArrow(digests, "block long, h1 long, h2 long").distinct()
     probes = probes.withColumn("shard", F.pmod("h1", F.lit(n_shards)))
 
     def lookup(probes: pa.Table, index: pa.Table) -> pa.Table:
@@ -212,7 +208,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     out = docs.select(*(F.col(f"`{c}`") for c in names)).schema.add("n_lines", "long").add("n_dropped", "long")
     # groups are keyed by name, so the result columns must not clash with the key's
-    return blocked.groupBy("_block").cogroup(gone.groupBy("block")).applyInArrow(drop, out)
+    return blocked.groupBy(block).cogroup(gone.groupBy("block")).applyInArrow(drop, out)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
