@@ -5,7 +5,8 @@ a hash of the token); a token's context vector is the sum of the index vectors o
 its neighbours over the whole corpus.  Tokens are hashed to ``WORDS`` word slots and
 ``SHAPES`` slots of letter shapes (``Word,`` -> ``Aa,``), so the table of context
 vectors has a fixed size whatever the corpus, and may be sent to every task.
-A task adds up its documents in one table and ships it in ``PARTS`` compressed parts.
+A task adds up its documents in one table of integers and ships it in ``PARTS`` compressed parts, so the sums are
+exact whatever their order.
 
 A document is pooled to the mean and the spread of its tokens' vectors.  A
 two-layer numpy network reads the pool; its temperature is fitted on training
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,24 @@ ACCEPT_AT = 0.3
 _RUNS = regex.compile(r"(\p{Lu})+|(\p{L})+|(\p{N})+|([^\p{L}\p{N}])\4*")
 
 
+def shape_of(raw: str) -> str:
+    """Runs of capitals as A, of other letters as a, of digits as 0, of any sign as that sign; plain words with a sign at most are told without a search."""
+    for body, tail in ((raw, ""), (raw[:-1], raw[-1])):
+        if body.isalpha():
+            if tail and (tail.isalnum() or not tail.isascii()):
+                break
+            if body.islower():
+                return "a" + tail
+            if body[0].isupper() and (len(body) == 1 or body[1:].islower()):
+                return ("A" if len(body) == 1 else "Aa") + tail
+    return "".join("A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] for m in _RUNS.finditer(raw))
+
+
+@lru_cache(maxsize=50_000)
+def _shape_slot(shape: str) -> int:
+    return xxhash.xxh3_64_intdigest(shape.encode()) % SHAPES
+
+
 class _Tokens(dict):
     """Slots of a raw word, word slot and shape slot in one number; kept for words seen lately."""
 
@@ -45,8 +65,7 @@ class _Tokens(dict):
         if len(self) >= 200_000:
             self.clear()
         word = xxhash.xxh3_64_intdigest(raw.lower().encode()) % WORDS
-        shape = "".join("A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] for m in _RUNS.finditer(raw))
-        key = self[raw] = word * SHAPES + xxhash.xxh3_64_intdigest(shape.encode()) % SHAPES
+        key = self[raw] = word * SHAPES + _shape_slot(shape_of(raw))
         return key
 
 
@@ -73,7 +92,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Context vectors of all slots over all documents, rows scaled to length one (untouched rows are zero)."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.concatenate([index_vectors(), np.zeros((1, DIM), np.float32)])  # the last row is no token
-        table, used = np.zeros((SLOTS, DIM)), False
+        table, used = np.zeros((SLOTS, DIM), np.int64), False
         for batch in slices(batches, "text"):
             runs = [token_slots(t) for t in texts(batch.column("text"))]
             if not any(len(w) for w, _ in runs):
@@ -90,17 +109,17 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for slots in (words, shapes):
                 order = np.argsort(slots.astype(np.uint16), kind="stable")
                 kinds, first = np.unique(slots[order], return_index=True)
-                sums = np.add.reduceat(around[order], first, axis=0)
-                table[kinds[kinds < SLOTS]] += sums[kinds < SLOTS]
+                sums = np.add.reduceat(around[order], first, axis=0)  # integers below 2**24, so exact
+                table[kinds[kinds < SLOTS]] += sums[kinds < SLOTS].astype(np.int64)
         if used:
-            for part, piece in enumerate(np.array_split(table.astype(np.float32), PARTS)):
+            for part, piece in enumerate(np.array_split(table, PARTS)):
                 yield arrow_rows({"part": ([part], pa.int32()), "body": ([zlib.compress(piece.tobytes(), 1)], pa.binary())})
 
     def add(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for frame in rows:
             for body in frame["body"]:
-                piece = np.frombuffer(zlib.decompress(body), np.float32).astype(np.float64)
+                piece = np.frombuffer(zlib.decompress(body), np.int64)
                 total = piece if total is None else total + piece
         yield pd.DataFrame({"part": [key[0]], "body": [total.tobytes()]})
 
@@ -110,14 +129,13 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def add_some(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in add(key, rows):
-            body = np.frombuffer(frame["body"][0], np.float64).astype(np.float32).tobytes()
-            yield pd.DataFrame({"part": [key[0]], "body": [zlib.compress(body, 1)]})
+            yield pd.DataFrame({"part": [key[0]], "body": [zlib.compress(frame["body"][0], 1)]})
 
     some = salted.groupBy("part", "salt").applyInPandas(add_some, "part int, body binary")
     table = np.zeros((SLOTS, DIM))
     rows = {r["part"]: r["body"] for r in some.groupBy("part").applyInPandas(add, "part int, body binary").collect()}
     if rows:
-        table = np.concatenate([np.frombuffer(rows[p], np.float64).reshape(-1, DIM) for p in range(PARTS)])
+        table = np.concatenate([np.frombuffer(rows[p], np.int64).reshape(-1, DIM) for p in range(PARTS)]).astype(np.float64)
     length = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(length > 0, length, 1)).astype(np.float32)
 
