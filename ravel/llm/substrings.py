@@ -1,18 +1,17 @@
-"""Substring dedup by content-defined chunks.
+"""Substring dedup by content-defined chunks with a gear rolling hash.
 
-Borders lie at beginnings of words, chosen by winnowing: every word has a hash of itself and
-the word before it, and of each ``WINDOW`` words in a row the one with the smallest hash (the
-last of equal ones) begins a chunk.  Only words nearby decide, so an insertion moves the
-borders around it and no others.  Chunks of more than ``LONGEST`` bytes are cut there.  Chunks
+The gear hash adds a fixed random number per byte and shifts by one bit a byte; here it rolls over
+``GEAR`` bytes.  Borders lie at beginnings of words: of each ``WINDOW`` words in a row, the one at
+whose end the gear hash is smallest (the last of equal ones) begins a chunk.  So chunks vary with the content, only bytes
+nearby decide, and an insertion moves the borders around it and no others.  Chunks of more than ``LONGEST`` bytes are cut there.  Chunks
 are deduplicated by 128-bit digest of the chunk or, where it is shorter, the ``ANCHOR`` words from
 its beginning, as single words are found anywhere.
 
 A span is a run of neighbouring chunks that other documents hold as well, of at least
-``MIN_WORDS`` words.  A repeated passage of n whole words has its first common border among its
-first ``WINDOW`` + 1 words and its last among its last ``WINDOW``, whatever stands around it, and
-the same borders between; so its span has n - 2 ``WINDOW`` words at least, and none of more than
-50 words (48 and more whole ones, as words may be cut at its ends) falls below ``MIN_WORDS``.
-At either end a span may lack up to ``WINDOW`` words of the passage.  Each chunk belongs to the
+``MIN_WORDS`` words.  A repeated passage of n whole words has its first common border among the ``WINDOW`` words after its first ``GEAR`` bytes and its last among its last
+``WINDOW``, whatever stands around it, and the same borders between; ``GEAR`` bytes begin six words at most.  So
+its span has n - 30 words at least, and none of more than 50 words falls below ``MIN_WORDS``.
+At its beginning a span may lack up to ``GEAR`` bytes and ``WINDOW`` words of the passage, at its end ``WINDOW`` words.  Each chunk belongs to the
 smallest doc_id that holds it; a span is dropped where its chunks belong to others.
 """
 
@@ -27,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravel.llm.common import arrow_rows, mix64, slices, text_bytes
+from ravel.operators.joins import join_per_key
 
 MIN_WORDS = 20
 SLICE = 1 << 20
-WINDOW, ANCHOR, LONGEST = 12, 5, 1024
+WINDOW, GEAR, ANCHOR, LONGEST = 12, 12, 5, 1024
+_GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -40,6 +41,22 @@ def word_begins(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~space & np.append(True, space[:-1]))
 
 
+def gear_hashes(raw: np.ndarray) -> np.ndarray:
+    """The gear hash of the last ``GEAR`` (12) bytes at every byte (of fewer at the beginning)."""
+    one = _GEAR[raw]
+
+    def longer(near: np.ndarray, far: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of ``size`` bytes and of those that ``far`` has before them."""
+        out = near.copy()
+        out[size:] += far[:-size] << np.uint64(size)
+        return out
+
+    two = longer(one, one, 1)
+    four = longer(two, two, 2)
+    eight = longer(four, four, 4)
+    return longer(eight, four, 8)
+
+
 def borders(raw: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a text's bytes, the last one at its end."""
     n = len(raw)
@@ -50,12 +67,8 @@ def borders(raw: np.ndarray) -> np.ndarray:
     if len(begins) > WINDOW:
         space = _SPACE[raw]
         ends = np.flatnonzero(~space & np.append(space[1:], True))
-        size = ends - begins + 1
-        # a word counts by its last eight bytes and its size; equal hashes only make more borders
-        last = np.lib.stride_tricks.sliding_window_view(np.append(np.zeros(7, np.uint8), raw), 8)[ends].view("<u8")[:, 0]
-        word = mix64((last >> (8 * (8 - np.minimum(size, 8))).astype(np.uint64)) + mix64(size))
-        least = mix64(word[:-1] * np.uint64(3) + word[1:])
-        at = np.arange(1, len(begins))
+        least = mix64(gear_hashes(raw)[ends])  # equal hashes only make more borders
+        at = np.arange(len(begins))
         for step in (1, 2, 4, WINDOW - 8):  # after the doublings the smallest of 8 words, then of WINDOW
             later = least[step:] <= least[:-step]
             least = np.where(later, least[step:], least[:-step])
@@ -122,10 +135,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out; rows that share a doc_id are one document; empty tables give no rows.
     """
     chunks = chunk_rows(docs)
-    per_doc = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    per_doc = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held"))
     # two documents hold a chunk exactly when its smallest and its largest doc_id differ
-    repeated = per_doc.where("owner < last").select("h1", "h2", "owner")
-    held = chunks.join(repeated, ["h1", "h2"]).select("doc_id", "start", "size", "words", "owner")
+    repeated = per_doc.where("owner < last").select("h1", "h2", "owner", "held")
+    # a passage in a third of all documents is no hot task: the rows of its chunks are dealt over salts
+    held = join_per_key(chunks, repeated, ["h1", "h2"], "held", spread=["doc_id", "start"]).select("doc_id", "start", "size", "words", "owner")
     # a document's chunks come in order, so a run is followed from batch to batch without gathering it
     dealt = held.repartition("doc_id").sortWithinPartitions("doc_id", "start")
 
