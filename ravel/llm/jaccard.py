@@ -35,7 +35,7 @@ from ravel.llm.common import U64, arrow_rows, connected_components, mix64, scrat
 
 PERCENT = 80
 ROWS, TILES = 3, 28
-UNIT = 2048
+UNIT = 4096
 _LEAST_BITS, _MOST_BITS = 128, 1 << 16
 _SEEDS = (mix64(np.arange(1, ROWS * TILES + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -128,7 +128,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             body = [np.unique(shingle_hashes(t)).tobytes() for t in text_bytes(batch.column("text"))]
             yield arrow_rows({"doc_id": (batch.column("doc_id"), pa.int64()), "found": (body, pa.binary())})
 
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, found binary")
+    # by a shuffle at every size (where the texts are large, Spark filters them by a Bloom filter of the ids first)
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, found binary")
 
 
 def open_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[bytes], side: np.ndarray, refuted: set, percent: int, spanning: bool) -> list[tuple[int, int]]:
@@ -238,6 +239,7 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit:
     tested = scratch_table(verify(first, sets, percent), "links-tested")
 
     unit_key = ["key", "band", "x", "y", "kind"]
+    spread = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def compare(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, unit_key):
@@ -254,7 +256,9 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit:
         rows = crowd if tiles is None else crowd.join(tiles, "key", "left_semi")
         labelled = rows.join(_components(rows.select("doc_id").distinct(), links), "doc_id")
         still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = scratch_table(labelled.join(still, "key").drop("centre").withColumn("blocks", F.ceil(F.col("m") / unit)), "tiles-open")
+        left = labelled.join(still, "key").drop("centre").withColumn("blocks", F.ceil(F.col("m") / unit))
+        # the rows of a hot tile are dealt over all tasks before they are repeated for its blocks
+        left = scratch_table(left.repartition(spread, "key", "doc_id"), "tiles-open")
         # a document's refuted partners travel with it, under the smaller id
         no = tested.where("not same").groupBy(F.least("a", "b").alias("doc_id")).agg(F.collect_set(F.greatest("a", "b")).alias("refuted"))
         mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("mine")
