@@ -14,7 +14,7 @@ Documents that share a tile are compared only within neighbouring size bands (a
 band spans a factor of 1 / threshold, so similar sets lie in one band or in two neighbours).
 The first round verifies, as far as the bitmaps allow a link, the documents of a tile against its smallest id and
 joins what is linked; tiles within one component are done.  The later rounds compare the
-bitmaps of the others' open pairs, in units of bounded size: the second round verifies a spanning forest of the
+bitmaps of the others' open pairs, in units of bounded size (a tile that fits in one is one): the second round verifies a spanning forest of the
 pairs that the bound lets pass, the third all open pairs of the tiles where the forest was wrong.  So a group of many
 near copies costs links in its size, not its square, and no link between
 components is lost.  Verification intersects sorted arrays; it alone decides.
@@ -254,29 +254,30 @@ def class_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT, unit:
         """Pairs still open after ``tested`` (in some ``tiles`` only), verified."""
         links = tested.where("same").select("a", "b")
         rows = crowd if tiles is None else crowd.join(tiles, "key", "left_semi")
-        labelled = rows.join(_components(rows.select("doc_id").distinct(), links), "doc_id")
-        still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(still, "key").drop("centre").withColumn("blocks", F.ceil(F.col("m") / unit))
-        # the rows of a hot tile are dealt over all tasks before they are repeated for its blocks
-        left = scratch_table(left.repartition(spread, "key", "doc_id"), "tiles-open")
-        # a document's refuted partners travel with it, under the smaller id
+        # component, bitmap and refuted partners (under the smaller id) join a document once and not once a tile
+        nodes = rows.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.collect_list(F.struct("key", "m")).alias("tiles"))
         no = tested.where("not same").groupBy(F.least("a", "b").alias("doc_id")).agg(F.collect_set(F.greatest("a", "b")).alias("refuted"))
-        mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("mine")
-        part = left.select("key", "doc_id", "n", "component", "band", "blocks", mine)
-        wide = part.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        labelled = nodes.join(_components(nodes.select("doc_id"), links), "doc_id").join(reps.select("doc_id", "bits"), "doc_id").join(no, "doc_id", "left")
+        labelled = scratch_table(labelled, "tiles-labelled")
+        flat = labelled.select("doc_id", "component", F.explode("tiles.key").alias("key"))
+        still = flat.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        wide = labelled.select("*", F.explode("tiles").alias("t")).select(F.col("t.key").alias("key"), F.ceil(F.col("t.m") / unit).alias("blocks"), "doc_id", "n", "band", "component", "bits", "refuted")
+        left = scratch_table(wide.join(still, "key"), "tiles-open")
 
         def units_of(rows: DataFrame, band: Column, x: Column, y: Column, side: Column, kind: int) -> DataFrame:
-            return rows.select("key", "doc_id", "n", "component", band.alias("band"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"), F.lit(kind).alias("kind"))
-
+            return rows.select("key", "doc_id", "n", "component", band.cast("long").alias("band"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("int").alias("side"),
+                               F.lit(kind).alias("kind"), "bits", "refuted")
+
+        # a tile of at most ``unit`` documents is one unit, whatever their bands
+        whole = units_of(left.where("blocks = 1"), F.lit(0), F.lit(0), F.lit(0), F.lit(2), 2)
+        # a larger one is cut: block pairs within a band, the diagonal ones with all pairs, the others with pairs across; then a band and the next
+        cut = left.where("blocks > 1").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).repartition(spread, "key", "doc_id")
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         band, me, other = F.col("band"), F.col("mine"), F.col("other")
-        # within a band: block pairs, the diagonal ones with all pairs, the others with pairs across; then a band and the next
-        within = units_of(wide, band, F.least(me, other), F.greatest(me, other), F.when(me == other, 2).when(me < other, 0).otherwise(1), 0)
-        lower = units_of(wide, band, me, other, F.lit(0), 1)
-        upper = units_of(wide, band - 1, other, me, F.lit(1), 1)
-        units = within.union(lower).union(upper)
-        alive = units.groupBy(*unit_key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("s"), F.max("side").alias("t"))
-        alive = alive.where("lo < hi and (s < t or t = 2)").select(*unit_key)
-        met = units.join(alive, unit_key).join(reps.select("doc_id", "bits"), "doc_id").join(no, "doc_id", "left")
+        within = units_of(cut, band, F.least(me, other), F.greatest(me, other), F.when(me == other, 2).when(me < other, 0).otherwise(1), 0)
+        lower = units_of(cut, band, me, other, F.lit(0), 1)
+        upper = units_of(cut, band - 1, other, me, F.lit(1), 1)
+        met = whole.union(within).union(lower).union(upper)
         dealt = met.repartition(*unit_key).sortWithinPartitions(*unit_key, "doc_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
