@@ -140,7 +140,8 @@ class ChunkEncoder:
         alone = np.flatnonzero((distinct[:, group] != names).any(0))  # two names with one key
         # known chunks
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = (self.keys[at] == keys) & (self.names[:, at] == distinct).all(0) if len(self.keys) else np.zeros(len(keys), bool)
+        held = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        known = held & (self.names[:, at] == distinct).all(0) if len(self.keys) else held
         self.seen[at[known]] += times[known]
         # the others, long chunks and the odd one out become strings
         new = np.flatnonzero(~known)
@@ -160,9 +161,9 @@ class ChunkEncoder:
         rows[rest] = len(self.keys) + len(new) + np.array(where, np.int64)
         ids, per_chunk = gather(table, np.cumsum(n_ids) - n_ids, n_ids, rows)
         if len(new):
-            taken = ~np.isin(keys[new], self.keys)  # a key that stands for another name is taken
-            small, _ = gather(flat, np.cumsum(n) - n, n, np.flatnonzero(taken))
-            self._remember(keys[new][taken], distinct[:, new][:, taken], small, n[: len(new)][taken], times[new][taken])
+            free = ~held[new]  # the others' keys stand for other names
+            small, _ = gather(flat, np.cumsum(n) - n, n, np.flatnonzero(free))
+            self._remember(keys[new][free], distinct[:, new][:, free], small, n[: len(new)][free], times[new][free])
         total = np.append(0, np.cumsum(per_chunk))
         border = np.searchsorted(starts, offsets)
         return ids, total[border[1:]] - total[border[:-1]]
