@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from ravel.llm.chunks import ChunkEncoder, encode_pieces
-from ravel.llm.common import slices
+from ravel.llm.common import release_memory, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-SLICE = 3 << 20
+SLICE = 3 << 19
 _NONE = np.int32(2**31 - 1)
 
 
@@ -215,6 +215,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*names, ids_col]
             )
+        bpe.texts.forget()
+        release_memory()
 
     return source.mapInArrow(run, StructType([*source.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 

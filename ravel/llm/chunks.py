@@ -106,6 +106,9 @@ class ChunkEncoder:
         self.sizes = self.seen = np.empty(0, np.int32)
         self.flat = np.empty(0, np.int32)
 
+    def forget(self) -> None:
+        self._select(np.empty(0, np.int64))
+
     def _select(self, rows: np.ndarray) -> None:
         self.flat, sizes = gather(self.flat, np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes, rows)
         self.keys, self.names, self.sizes, self.seen = self.keys[rows], self.names[:, rows], sizes, self.seen[rows]

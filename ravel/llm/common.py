@@ -7,6 +7,7 @@ by ``SLICE_BYTES`` and the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,14 @@ def arrow_rows(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and stands beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The public splitmix64 finaliser, elementwise."""
     x = x.astype(U64, copy=True)
