@@ -17,7 +17,7 @@ def greedy(ids, seqs):
     return out
 
 
-@pytest.mark.parametrize("name", ["mask_marker_words"])
+@pytest.mark.parametrize("name", ["mask_marker_words", "prepare_sft"])
 def test_a_share_of_all_words_with_a_markers_length_is_masked(spark, tmp_path, name):
     texts = ["now we see that there is one more sum to add before the very last line", "so it goes " * 40, "", None]
     docs = [(i, t, "en", "web") for i, t in enumerate(texts)]
