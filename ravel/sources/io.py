@@ -73,6 +73,15 @@ def read_dataset(spark: SparkSession, path: str, subset: str | None = None, spli
     return _part_of(spark.read.parquet(path), subset, split)
 
 
+def write_dataset(df: DataFrame, path: str, partitions: list[str], text: str, size: int = 64 << 20, least: int = 4) -> None:
+    """``df`` as Parquet partitioned by ``partitions``, in as many tasks as leave about ``size`` bytes of ``text`` to each, at ``least`` so many.
+
+    Rows are dealt in turn, so a task's share does not grow with the data, however much of it has one text.
+    """
+    total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    df.repartition(max(least, -(-total // size))).write.partitionBy(*partitions).parquet(path)
+
+
 def _part_of(df: DataFrame, subset: str | None, split: str | None) -> DataFrame:
     if subset is not None:
         df = df.filter(F.col("subset") == subset)

@@ -97,3 +97,13 @@ def test_streamed_dataset_is_the_batch_dataset(spark, tmp_path):
     rows.withColumn("id", F.col("id") + 1000).write.mode("append").partitionBy("subset", "split").parquet(f"{tmp_path}/data")
     more = TR.append_stream(IO.stream_dataset(spark.newSession(), f"{tmp_path}/data", rows.schema, "en", "train"), "dataset", f"{tmp_path}/where")
     assert more.count() == 200 and more.select("id").distinct().count() == 200
+
+
+def test_written_datasets_files_grow_in_number_not_in_size(spark, tmp_path):
+    rows = spark.range(400).select("id", F.expr("if(id % 9 = 0, null, repeat('x', 100))").alias("t"), F.lit("en").alias("subset"))
+    for size, least, files in ((1 << 20, 4, 4), (1000, 4, 36)):
+        path = f"{tmp_path}/data-{size}"
+        IO.write_dataset(rows, path, ["subset"], "t", size, least)
+        shares = [r.n for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(shares) == files and sum(shares) == 400 and max(shares) <= 2 * 400 / files
+    IO.write_dataset(rows.limit(0), f"{tmp_path}/none", ["subset"], "t")
