@@ -17,21 +17,23 @@ import base64
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from ravel.llm.chunks import ChunkEncoder, encode_pieces
+from ravel.llm.chunks import ChunkEncoder, encode_pieces, gather
 from ravel.llm.common import release_memory, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 SLICE = 3 << 19
+DECODED_AT_ONCE = 1 << 18
 _NONE = np.int32(2**31 - 1)
 
 
@@ -191,6 +193,23 @@ class BytePairEncoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    @cached_property
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens one after another, where each begins, and each one's number of bytes."""
+        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        return np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def decode_column(self, lists: pa.ListArray) -> Iterator[pa.Array]:
+        """The bytes of every row's ids (null: empty), in arrays of rows with about ``DECODED_AT_ONCE`` ids (one row at least)."""
+        flat, starts, sizes = self.token_bytes
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(counts) - counts) // DECODED_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lists)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            body, n = gather(flat, starts, sizes, lists.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False))
+            ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts[lo:hi]))]
+            yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> BytePairEncoder:
@@ -230,8 +249,12 @@ def decode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            body = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(body, pa.binary())], names=[*names, bytes_col])
+            at = 0
+            for body in bpe.decode_column(batch.column(ids_col)):
+                rows = batch.slice(at, len(body))
+                at += len(body)
+                yield pa.RecordBatch.from_arrays([*rows.columns, body], names=[*names, bytes_col])
+        release_memory()
 
     return source.mapInArrow(run, StructType([*source.schema.fields, StructField(bytes_col, BinaryType())]))
 
