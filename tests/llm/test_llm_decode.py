@@ -25,7 +25,11 @@ def test_decoded_columns_are_the_rows_one_by_one(monkeypatch):
 
 def test_the_last_stage_runs_one_worker_a_task(spark):
     docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
+    was = spark.conf.get(corpus_pipeline.BATCH_BYTES)
+    spark.conf.unset(corpus_pipeline.BATCH_BYTES)
     out = dict(corpus_pipeline.STAGES)["byte-level BPE"](spark, docs, "")
+    assert int(spark.conf.get(corpus_pipeline.BATCH_BYTES).rstrip("b")) <= 4 << 20  # and rows reach it in bounded batches
+    spark.conf.set(corpus_pipeline.BATCH_BYTES, was)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert sorted((r.doc_id, r.text, len(r.ids) > 0) for r in out.collect()) == [(1, "ab cd", True), (2, "", False)]
