@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravel.llm.common import U64, mix64, scratch_table, slices, text_bytes
+from ravel.llm.common import U64, bounded_batches, mix64, scratch_table, slices, text_bytes
 
 MIN_CHARS, MIN_DOCS, INDEX_FROM = 40, 5, 2
-SHARD_LINES, BLOCK_BYTES = 200_000, 8 << 20
+SHARD_LINES, BLOCK_BYTES = 200_000, 2 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 _NO_ID = -(2**63)
 _GAMMA, _LEVELS = 2.0, 64
@@ -142,7 +142,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """
     if min_docs < INDEX_FROM:
         raise ValueError(f"min_docs must be at least {INDEX_FROM}")
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     block = "_block"
     while block in {c.lower() for c in names}:
